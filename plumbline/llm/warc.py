@@ -118,7 +118,7 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", te
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int32())], names=[*b.schema.names, "shard"])
 
     schema = T.StructType([*both.schema.fields, T.StructField("shard", T.IntegerType())])
-    dealt = both.mapInArrow(placed, schema).repartition(shards, "shard").sortWithinPartitions("shard", "k", "d", F.col("p").isNotNull(), "u")
+    dealt = both.mapInArrow(placed, schema).repartitionById(shards, "shard").sortWithinPartitions("shard", "k", "d", F.col("p").isNotNull(), "u")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(out)
