@@ -21,6 +21,8 @@ LEAST, PART = 1e-5, 0.1
 SLOTS, HASHES = 1 << 20, 3
 #: Distinct (language, n-gram) counts that a task holds before it hands them on.
 HELD = 1 << 21
+#: N-grams that a text needs for its language to be refused.
+LEAST_TOLD = 20
 
 _BYTE = np.full(256, 32, np.uint8)
 _BYTE[97:123] = np.arange(97, 123)
@@ -144,13 +146,13 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Filter:
 
 
 def scorer(f: Filter):
-    """g(texts) -> language, score and share of each text."""
+    """g(texts) -> language, score, share and number of n-grams of each text."""
 
-    def g(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def g(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
         n_texts, n_langs = len(texts), len(f.languages)
         if not n_langs:
-            return ["und"] * n_texts, np.zeros(n_texts), np.zeros(n_texts)
+            return ["und"] * n_texts, np.zeros(n_texts), np.zeros(n_texts), np.zeros(n_texts)
         grams, first = ngrams(texts)
         n = np.diff(first).astype(float)
         found = f.hits(grams)
@@ -169,7 +171,7 @@ def scorer(f: Filter):
         sure = letters & (top > 0)
         score = np.where(sure, top / np.maximum(top + second, 1e-9), 0.0)
         share = np.where(sure, top / np.maximum(n, 1), 0.0)
-        return [f.languages[i] if x else "und" for i, x in zip(best.tolist(), letters.tolist(), strict=True)], score, share
+        return [f.languages[i] if x else "und" for i, x in zip(best.tolist(), letters.tolist(), strict=True)], score, share, n
 
     return g
 
@@ -182,7 +184,12 @@ def identify(docs: DataFrame, f: Filter, keep: list[str], text: str = "text") ->
     n-grams. The filter has a fixed number of slots and is broadcast; no shuffle.
     """
     known = docs.sparkSession.sparkContext.broadcast(f)
-    return map_text(docs, text, keep, "lang_pred string, score double, share double", lambda: scorer(known.value))
+
+    def make():
+        g = scorer(known.value)
+        return lambda texts: list(g(texts)[:3])
+
+    return map_text(docs, text, keep, "lang_pred string, score double, share double", make)
 
 
 def learn_and_identify(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -193,15 +200,18 @@ def learn_and_identify(docs: DataFrame, held_out: Column, key: str = "doc_id", t
 
 
 def in_language(docs: DataFrame, f: Filter, least_share: float, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, in a learned language that covers at least `least_share` of the n-grams."""
+    """The rows of docs, all columns kept, with a letter and in a learned language that covers at least `least_share` of the n-grams.
+
+    Texts of fewer than LEAST_TOLD n-grams tell too little and stay. Without a learned language nothing stays.
+    """
     known = docs.sparkSession.sparkContext.broadcast(f)
 
     def make():
         g = scorer(known.value)
 
         def keep(texts: pa.StringArray) -> list[bool]:
-            lang, _, share = g(texts)
-            return [x != "und" and y >= least_share for x, y in zip(lang, share.tolist(), strict=True)]
+            lang, _, share, n = g(texts)
+            return [x != "und" and (y >= least_share or z < LEAST_TOLD) for x, y, z in zip(lang, share.tolist(), n.tolist(), strict=True)]
 
         return keep
 
