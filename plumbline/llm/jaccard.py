@@ -100,7 +100,7 @@ def _ranks(counts: DataFrame) -> np.ndarray:
 def postings(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, counts: np.ndarray, parts: int) -> DataFrame:
     """Prefix postings packed by part: part, and binary keys, nodes, sizes and places; beside them rows of part -1: nodes and their histograms.
 
-    A text whose set the task has met before adds nothing. Shingles are in the order of their bucket's count, rare first.
+    Places are inverted for shingles that are dealt out over several parts. A text whose set the task has met before adds nothing. Shingles are in the order of their bucket's count, rare first.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8), 1 + (counts // HOT).astype(np.int32)))
@@ -137,8 +137,10 @@ def postings(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, c
                     first = np.argsort(rank[bucket], kind="stable")[:prefix]
                     k = s[first]
                     salt = salts[bucket[first]]
+                    place = np.arange(prefix, dtype=np.int32)
+                    place[salt > 1] = ~place[salt > 1]  # dealt out: its members meet in apart()
                     deal = mix(k + U(m & 0xFFFFFFFFFFFFFFFF) % salt.astype(U)) if salt.max() > 1 else k
-                    held.append((k, np.full(prefix, m, np.int64), np.full(prefix, len(s), np.int32), np.arange(prefix, dtype=np.int32), ((deal >> U(20)) % U(parts)).astype(np.int32)))
+                    held.append((k, np.full(prefix, m, np.int64), np.full(prefix, len(s), np.int32), place, ((deal >> U(20)) % U(parts)).astype(np.int32)))
                     size += prefix
                     cells.append((m, np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4")))
                 if cells:
@@ -191,8 +193,9 @@ def met(packed: DataFrame, parts: int, num: int, den: int) -> DataFrame:
             k, v, s, p = k[new], v[new], s[new], p[new]
             at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             run_size = np.diff(np.append(at, len(k)))
-            crowd = np.repeat(run_size > CROWD, run_size)
+            crowd = np.repeat(run_size > CROWD, run_size) | (p < 0)
             few = ~crowd & np.repeat(run_size > 1, run_size)
+            p = np.where(p < 0, ~p, p)
             x = [z[few] for z in (k, v, s, p)]
             found = []
             for d in range(1, CROWD):
