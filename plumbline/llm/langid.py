@@ -42,8 +42,7 @@ def ngrams(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     room[np.arange(len(data)) + owner] = _BYTE[data]
     keep = np.ones(len(room), bool)
     keep[1:] = (room[1:] != 32) | (room[:-1] != 32)
-    keep[offs + np.arange(n + 1)] = True  # each text's own border stays
-    at = np.cumsum(keep) - 1
+    at = np.cumsum(keep) - 1  # a border that is not kept is the space before it
     border = at[offs + np.arange(n + 1)]
     b = room[keep].astype(np.uint32)
     if len(b) < 4:
