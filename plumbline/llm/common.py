@@ -68,7 +68,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             at = to
 
 
-def map_text(df: DataFrame, text: str, keep: list[str], ddl: str, make: Callable[[], Callable[[pa.StringArray], list]]) -> DataFrame:
+def map_text(df: DataFrame, text: str, keep: list[str], ddl: str, make: Callable[[], Callable[[pa.StringArray], list]], limit: int = BLOCK_BYTES) -> DataFrame:
     """Keeps the columns `keep` and adds the columns of `ddl`, one value a row.
 
     `make` is called once a task; what it returns gets the texts of a slice (nulls stay null) and
@@ -83,7 +83,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], ddl: str, make: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, limit):
             out = [x if isinstance(x, pa.Array) and x.type == k else pa.array(x, k) for x, k in zip(f(piece.column(text)), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], *out], names=names)
 
