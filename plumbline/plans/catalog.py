@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import ledger, metrics, points, quality, segments, spatial
+from ..operators import clusters, fits, ledger, metrics, points, quality, segments, spatial, walls
+from ..sources import tables
 from .views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,8 +82,6 @@ def geometry_parameters(spark, sf):
 
 @query("SELECT zone_id, CASE WHEN r <= 3 THEN zone_id ELSE 'zone-overflow' END AS target, count(*) AS n FROM (SELECT zone_id, dense_rank() OVER (ORDER BY f, zone_id) AS r FROM (SELECT zone_id, min(k) OVER (PARTITION BY zone_id) AS f FROM segments_v) q) q GROUP BY 1, 2", SEG)
 def zone_decomposition(spark, sf, most: int = 3):
-    from pyspark.sql import Window as W
-
     zones = view(spark, sf, SEG).groupBy("zone_id").agg(F.min("k").alias("f"), F.count("*").alias("n"))
     # A row for each zone is left, so one task may rank them.
     return zones.withColumn("r", F.dense_rank().over(W.orderBy("f", "zone_id"))).select("zone_id", F.when(F.col("r") <= most, F.col("zone_id")).otherwise("zone-overflow").alias("target"), "n")
@@ -147,9 +147,7 @@ SELECT CAST(grp AS BIGINT) AS cluster, count(*) AS n, round(sum(cz * point_count
     SEG,
 )
 def level_clusters(spark, sf):
-    from ..operators.walls import level_clusters as clusters
-
-    return clusters(view(spark, sf, SEG)).select("cluster", "n", "level_mm")
+    return walls.level_clusters(view(spark, sf, SEG)).select("cluster", "n", "level_mm")
 
 
 # Joins -------------------------------------------------------------------------------------------------------------
@@ -513,3 +511,124 @@ def hourly_events(spark, sf):
 def event_sessions(spark, sf):
     e = view(spark, sf, "events")
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+
+
+# Walls, merges, clusters -------------------------------------------------------------------------------------------
+
+_AX = "(max_x - min_x >= max_y - min_y)"
+_V = f"v AS (SELECT *, {_AX} AS ax FROM segments_v WHERE shape = 'plane_vertical')"
+_ACROSS = "CASE WHEN a.ax THEN abs(a.cy - b.cy) ELSE abs(a.cx - b.cx) END"
+_ALONG = f"CASE WHEN a.ax THEN {_GAP.format('x')} ELSE {_GAP.format('y')} END"
+_HMIN = "least(a.max_z - a.min_z, b.max_z - b.min_z)"
+
+
+@query(
+    f"""WITH RECURSIVE {_V}, e AS (SELECT a.k AS a, b.k AS b FROM v a JOIN v b ON a.k < b.k AND a.ax = b.ax AND {_ACROSS} <= 400 AND {_ALONG} <= 1200 AND (-({_GAP.format("z")}) >= 0.3 * {_HMIN} OR -({_GAP.format("z")}) >= 250) AND {" AND ".join(f"{_GAP.format(x)} <= 1200" for x in "xyz")}),
+x AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT k, k AS m FROM v UNION SELECT r.k, x.b FROM r JOIN x ON r.m = x.a), w AS (SELECT k, min(m) AS wall FROM r GROUP BY 1)
+SELECT wall, count(*) AS fragments, min(min_x) AS min_x, min(min_y) AS min_y, min(min_z) AS min_z, max(max_x) AS max_x, max(max_y) AS max_y, max(max_z) AS max_z, sum(point_count)::BIGINT AS points, max(confidence) AS confidence FROM w JOIN v USING (k) GROUP BY 1""",
+    SEG,
+)
+def wall_groups(spark, sf):
+    return walls.wall_groups(view(spark, sf, SEG), offset_mm=400.0)
+
+
+@query(f"WITH {_V}, p AS (SELECT a.k AS a, b.k AS b, {_ACROSS} AS d FROM v a JOIN v b ON a.k < b.k AND a.ax = b.ax AND {_ALONG} < 0 AND -({_GAP.format('z')}) >= 0.25 * {_HMIN} AND {_GAP.format('z')} <= 450 AND {_GAP.format('x')} <= 450 AND {_GAP.format('y')} <= 450) SELECT a, b, d AS distance_mm, greatest(100, least(600, d)) AS thickness_mm FROM p WHERE d BETWEEN 50 AND 450", SEG)
+def opposing_faces(spark, sf):
+    return walls.face_candidates(view(spark, sf, SEG))
+
+
+_I6, _C6 = f"({_INT}) / ({_VOL.format('a')} + {_VOL.format('b')} - ({_INT}))", f"({_INT}) / least({_VOL.format('a')}, {_VOL.format('b')})"
+_GX, _GY, _GZ = (_GAP.format(x) for x in "xyz")
+_SIDE = f"((-({_GX}) > 300 AND {_GY} <= 120) OR (-({_GY}) > 300 AND {_GX} <= 120))"
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT * FROM segments_v WHERE shape IN ('void', 'valve_candidate') OR point_count >= 1),
+e AS (SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.k < b.k AND a.shape = b.shape AND a.shape LIKE 'plane%' AND abs(a.cz - b.cz) < CASE WHEN a.shape = 'plane_sloped' THEN 300 ELSE 150 END AND {_GX} <= 0 AND {_GY} <= 0 AND {_GZ} <= 0
+ AND ({_I6} >= 0.65 OR {_C6} >= 0.9 OR (a.shape = 'plane_vertical' AND -({_GZ}) > 300 AND {_SIDE}) OR (a.shape <> 'plane_vertical' AND {_GZ} <= 80 AND {_SIDE}))),
+x AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT k, k AS m FROM s UNION SELECT r.k, x.b FROM r JOIN x ON r.m = x.a), w AS (SELECT k, min(m) AS merged FROM r GROUP BY 1)
+SELECT merged, shape, count(*) AS parts, min(min_x) AS min_x, min(min_y) AS min_y, min(min_z) AS min_z, max(max_x) AS max_x, max(max_y) AS max_y, max(max_z) AS max_z, sum(point_count)::BIGINT AS point_count, max(confidence) AS confidence FROM w JOIN s USING (k) GROUP BY 1, 2""",
+    SEG,
+)
+def segment_merge(spark, sf):
+    return clusters.merged(view(spark, sf, SEG))
+
+
+@query()
+def overlap_suppression(spark, sf):
+    return clusters.suppressed(view(spark, sf, SEG))
+
+
+@query()
+def storey_levels(spark, sf):
+    found = walls.levels(view(spark, sf, SEG))
+    return spark.createDataFrame([(z,) for z in found], "level_mm double")
+
+
+@query()
+def point_storeys(spark, sf):
+    return spark.createDataFrame([(z,) for z in points.storeys(view(spark, sf, PTS))], "height double")
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT * FROM points_v WHERE surface = 5), e AS (SELECT a.point_id AS a, b.point_id AS b FROM p a JOIN p b ON a.point_id < b.point_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.25),
+x AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT point_id AS k, point_id AS m FROM p UNION SELECT r.k, x.b FROM r JOIN x ON r.m = x.a) SELECT k AS point_id, min(m) AS cluster FROM r GROUP BY 1""",
+    PTS,
+)
+def euclidean_clusters(spark, sf):
+    return clusters.euclidean(view(spark, sf, PTS).filter("surface = 5"), 0.25)
+
+
+@query()
+def dbscan_clusters(spark, sf):
+    return clusters.dbscan(view(spark, sf, PTS).filter("surface = 5"), 0.6, 8)
+
+
+@query()
+def pca_features(spark, sf):
+    return fits.eigen(view(spark, sf, PTS), "surface").select("surface", "n", *[F.round(c, 4).alias(c) for c in ("nx", "ny", "nz", "linearity", "planarity", "sphericity")])
+
+
+@query()
+def point_normals(spark, sf):
+    return fits.normals(view(spark, sf, PTS).filter("surface < 2"), 0.5)
+
+
+@query()
+def plane_detection(spark, sf):
+    rows = [(i, *p["normal"], p["offset"], p["inliers"]) for i, p in enumerate(fits.planes(view(spark, sf, PTS), hypotheses=32, most=6))]
+    return spark.createDataFrame(rows, "plane long, nx double, ny double, nz double, offset double, inliers long")
+
+
+@query()
+def floor_plan_lines(spark, sf):
+    rows = [(i, *p["normal"], p["offset"], p["inliers"]) for i, p in enumerate(fits.lines(points.in_box(view(spark, sf, PTS), (-1, -1, 1.0), (9, 7, 2.0), 0.0)))]
+    return spark.createDataFrame(rows, "line long, nx double, ny double, offset double, inliers long")
+
+
+@query()
+def bounding_rectangles(spark, sf):
+    return fits.rectangles(view(spark, sf, PTS), "surface")
+
+
+@query()
+def wall_thickness(spark, sf):
+    return fits.thickness(view(spark, sf, PTS).filter("surface IN (0, 1)"), "surface", "y")
+
+
+@query("SELECT segment_id, zone_id, shape, point_count FROM (SELECT concat('syn-', lpad(concat('', id), 8, '0')) AS segment_id, concat('Z', id % 5) AS zone_id, CASE id % 4 WHEN 0 THEN 'plane_vertical' WHEN 1 THEN 'plane_horizontal' WHEN 2 THEN 'cylinder' ELSE 'box' END AS shape, 50 + (id * 7919) % 1000 AS point_count FROM range(1000) t(id)) q")
+def synthetic_segments(spark, sf, n: int = 1000):
+    """A generated scene of any size: every value is a function of the row's number."""
+    i = F.col("id")
+    shape = F.element_at(F.array(*map(F.lit, ("plane_vertical", "plane_horizontal", "cylinder", "box"))), (i % 4 + 1).cast("int"))
+    return spark.range(n).select(F.concat(F.lit("syn-"), F.lpad(i.cast("string"), 8, "0")).alias("segment_id"), F.concat(F.lit("Z"), (i % 5).cast("string")).alias("zone_id"), shape.alias("shape"), (50 + (i * 7919) % 1000).alias("point_count"))
+
+
+@query()
+def step_export(spark, sf):
+    return tables.step_lines(_classified(spark, sf))
+
+
+@query()
+def floor_plan_svg(spark, sf):
+    return tables.svg_shapes(view(spark, sf, SEG))
