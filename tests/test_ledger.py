@@ -69,6 +69,7 @@ def test_streams(spark, tmp_path):
     for part in range(3):
         lines = [{"event_id": i, "ts": t, "user_id": u, "event_type": e, "value": v, "session_id": u} for i, t, u, e, v in rows[part * 20 : part * 20 + 20]]
         (tmp_path / f"{part}.json").write_text("\n".join(json.dumps(x) for x in lines + lines[:5]))
+        os.utime(tmp_path / f"{part}.json", (1_700_000_000 + 60 * part,) * 2)  # the stream takes files by their time
     read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path))
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
@@ -78,7 +79,7 @@ def test_streams(spark, tmp_path):
         assert run(stream.sessions(read()), "sessions").count() >= 0
         for i, f in enumerate(sorted(tmp_path.glob("*.json"))):
             f.write_text("\n".join(f.read_text().splitlines()[:20]))
-            os.utime(f, (1_700_000_000 + 60 * i,) * 2)  # the stream takes files by their time
+            os.utime(f, (1_700_000_000 + 60 * i,) * 2)
         chain = run(stream.chained(read(), KEY), "chain").cache()
         assert chain.count() == 60 and ledger.verified(chain, KEY).count() == 0
     finally:
