@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import clusters, fits, ledger, metrics, points, quality, segments, spatial, walls
+from ..operators import clusters, fits, ledger, mep, metrics, points, quality, segments, semantics, spatial, walls
 from ..sources import tables
 from .views import view, with_views
 
@@ -632,3 +632,141 @@ def step_export(spark, sf):
 @query()
 def floor_plan_svg(spark, sf):
     return tables.svg_shapes(view(spark, sf, SEG))
+
+
+# Semantics and services --------------------------------------------------------------------------------------------
+
+_RGB = "rgb AS (SELECT *, ((point_id * 37) % 256)::DOUBLE AS r, CASE WHEN point_id % 3 = 0 THEN (point_id * 37) % 256 ELSE (point_id * 11) % 256 END::DOUBLE AS g, CASE WHEN point_id % 3 = 0 THEN (point_id * 37) % 256 ELSE (surface * 40) END::DOUBLE AS b FROM points_v)"
+
+
+def _coloured(spark, sf):
+    i = F.col("point_id")
+    r = (i * 37) % 256
+    return view(spark, sf, PTS).withColumns({"r": r.cast("double"), "g": F.when(i % 3 == 0, r).otherwise((i * 11) % 256).cast("double"), "b": F.when(i % 3 == 0, r).otherwise(F.col("surface") * 40).cast("double")})
+
+
+@query(f"WITH {_RGB} SELECT surface, count(*) AS n, '#' || " + " || ".join(f"lpad(to_hex(round(avg({c}))::BIGINT), 2, '0')" for c in "rgb") + " AS colour, round((var_pop(r) + var_pop(g) + var_pop(b)) / 3, 4) AS variance FROM rgb GROUP BY 1", PTS)
+def dominant_colours(spark, sf):
+    return semantics.dominant_colours(_coloured(spark, sf), "surface")
+
+
+@query(
+    f"""WITH {_RGB}, q AS (SELECT CASE WHEN coalesce((greatest(r, g, b) - least(r, g, b)) / nullif(greatest(r, g, b), 0), 0) > 0.05 THEN concat_ws('-', floor(r / 32)::BIGINT, floor(g / 32)::BIGINT, floor(b / 32)::BIGINT) END AS bucket, count(*) AS n FROM rgb GROUP BY 1),
+k AS (SELECT *, sum(CASE WHEN bucket IS NOT NULL THEN n END) OVER () AS total, row_number() OVER (PARTITION BY bucket IS NULL ORDER BY n DESC, bucket) AS rank FROM q)
+SELECT CASE WHEN bucket IS NULL THEN 'grey' WHEN rank <= 12 AND (n >= 120 OR n >= 0.01 * total) THEN bucket ELSE 'misc' END AS grp, sum(n)::BIGINT AS n FROM k GROUP BY 1""",
+    PTS,
+)
+def colour_groups(spark, sf):
+    return semantics.colour_groups(_coloured(spark, sf))
+
+
+_TAX = "CASE shape " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in semantics.TAXONOMY["scan"].items()) + " ELSE 'UNSUPPORTED' END"
+
+
+@query(f"SELECT segment_id, shape, {_TAX} AS canonical FROM segments_v", SEG)
+def taxonomy_mapping(spark, sf):
+    return semantics.mapped(view(spark, sf, SEG).select("segment_id", "shape"), "scan", "shape")
+
+
+@query("SELECT segment_id, round(s, 6) AS support, round(0.35 * confidence + 0.30 * s + 0.20 * ((k % 10) / 10.0E0) + 0.15 * 0.5, 6) AS confidence FROM (SELECT *, 0.4 * least(1.0, point_count / 50.0E0) + 0.4 * greatest(0.0, 1 - ((k % 8) / 100.0E0) / 0.05) + 0.2 * least(1.0, (max_x - min_x) * (max_y - min_y) / 1e6 / 0.5) AS s FROM segments_v) q", SEG)
+def fused_confidence(spark, sf):
+    rows = view(spark, sf, SEG).select("segment_id", F.col("confidence").alias("geometry"), F.col("point_count").alias("points"), ((F.col("k") % 8) / 100).alias("rmse_m"), (E.extent("x") * E.extent("y") / 1e6).alias("area_m2"), ((F.col("k") % 10) / 10).alias("semantic"), F.lit(0.5).alias("context"))
+    return semantics.fused(rows).select("segment_id", "support", "confidence")
+
+
+@query("SELECT point_id, CASE WHEN nz <= 0.35 THEN 'WALL' WHEN nz >= 0.7 AND (z - lo) / (hi - lo) < 0.4 THEN 'FLOOR' WHEN nz >= 0.7 THEN 'CEILING' ELSE 'UNKNOWN' END AS label FROM (SELECT *, CASE WHEN surface < 4 THEN 0 WHEN surface = 4 THEN 1 ELSE 0.5 END AS nz, min(z) OVER () AS lo, max(z) OVER () AS hi FROM points_v) q", PTS)
+def point_semantics(spark, sf):
+    return semantics.point_classes(view(spark, sf, PTS).withColumn("nz", F.when(F.col("surface") < 4, 0.0).when(F.col("surface") == 4, 1.0).otherwise(0.5)))
+
+
+@query()
+def topology_reinforcement(spark, sf):
+    return semantics.reinforced(topology_relations(spark, sf))
+
+
+@query("SELECT segment_id, substr(sha256(concat_ws('|', zone_id, shape, " + ", ".join(f"format('{{:.1f}}', {c})" for c in ("cx", "cy", "cz", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z")) + ")), 1, 32) AS content_id FROM segments_v", SEG)
+def content_ids(spark, sf):
+    return semantics.identity(view(spark, sf, SEG))
+
+
+@query("SELECT zone_id, count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(segment_id), 1, 15))::BIGINT AS DECIMAL(38,0))) AS VARCHAR) AS hash FROM segments_v GROUP BY 1", SEG)
+def output_hashes(spark, sf):
+    return semantics.output_hash(view(spark, sf, SEG), "zone_id", "segment_id")
+
+
+@query(f"WITH {_C}, p AS (SELECT t.k, c2.k AS carrier, sqrt((t.cx - c2.cx) ** 2 + (t.cy - c2.cy) ** 2 + (t.cz - c2.cz) ** 2) AS d FROM c t JOIN c c2 ON t.element_type IN ('sprinkler', 'valve', 'smoke_detector', 'strainer', 'expansion_joint') AND c2.element_type IN {_SET(spatial.CARRIERS)}) SELECT k, arg_min(carrier, (d, carrier)) AS carrier, round(min(d), 3) AS distance_mm FROM p WHERE d <= 1500 GROUP BY 1", SEG)
+def terminal_carriers(spark, sf):
+    return mep.terminals(_classified(spark, sf))
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT *, (max_x - min_x) / 2 AS radius FROM segments_v WHERE shape = 'cylinder'),
+e AS (SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON a.k < b.k AND abs(a.radius - b.radius) <= 0.2 * greatest(a.radius, b.radius) AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) <= greatest(a.radius, b.radius) AND {_GZ} <= 1000),
+x AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT k, k AS m FROM c UNION SELECT r.k, x.b FROM r JOIN x ON r.m = x.a), w AS (SELECT k, min(m) AS chain FROM r GROUP BY 1)
+SELECT chain, count(*) AS parts, min(min_z) AS min_z, max(max_z) AS max_z, round(avg(radius), 4) AS radius FROM w JOIN c USING (k) GROUP BY 1""",
+    SEG,
+)
+def cylinder_chains(spark, sf):
+    return mep.cylinder_chains(view(spark, sf, SEG))
+
+
+_JN = " AND ".join(f"{_GAP.format(x)} <= 400" for x in "xyz")
+
+
+@query(f"WITH {_V} SELECT a.k AS a, b.k AS b, CASE WHEN (b.cx > a.min_x + 400 AND b.cx < a.max_x - 400) OR (a.cy > b.min_y + 400 AND a.cy < b.max_y - 400) THEN 'T' ELSE 'L' END AS kind FROM v a JOIN v b ON a.ax AND NOT b.ax AND {_JN}", SEG)
+def wall_junctions(spark, sf):
+    return mep.junctions(view(spark, sf, SEG))
+
+
+@query(f"SELECT k, arg_min(host, (v, host)) AS host FROM (SELECT a.k, b.k AS host, {_VOL.format('b')} AS v FROM segments_v a JOIN segments_v b ON a.k <> b.k AND a.shape IN ('valve_candidate', 'cylinder') AND b.shape IN ('plane_vertical', 'plane_horizontal') AND " + " AND ".join(f"a.c{x} BETWEEN b.min_{x} - 100 AND b.max_{x} + 100" for x in "xyz") + ") q GROUP BY 1", SEG)
+def detail_hosts(spark, sf):
+    df = view(spark, sf, SEG)
+    return mep.hosted(df.filter(F.col("shape").isin("valve_candidate", "cylinder")), df.filter(F.col("shape").isin("plane_vertical", "plane_horizontal")))
+
+
+@query("SELECT k, arg_min(h, (abs(min_z - h), h))::DOUBLE AS storey_mm FROM segments_v, (VALUES (0.0), (3000.0), (6000.0), (9000.0)) t(h) GROUP BY 1", SEG)
+def nearest_storey(spark, sf):
+    return mep.nearest_storey(view(spark, sf, SEG), [0, 3000, 6000, 9000])
+
+
+@query(
+    f"""WITH w AS (SELECT *, round(cz / 3000.0) AS st FROM segments_v WHERE shape = 'plane_vertical' AND greatest(max_x - min_x, max_y - min_y) >= 800), o AS (SELECT *, round(cz / 3000.0) AS st FROM segments_v WHERE shape <> 'plane_vertical'),
+p AS (SELECT a.k, b.k AS wall, greatest({_GX}, {_GY}) AS g, CASE WHEN a.cy BETWEEN b.min_y - 500 AND b.max_y + 500 AND b.cx < a.cx AND b.max_x <= a.min_x THEN 'W' WHEN a.cy BETWEEN b.min_y - 500 AND b.max_y + 500 AND b.min_x >= a.max_x THEN 'E' WHEN a.cx BETWEEN b.min_x - 500 AND b.max_x + 500 AND b.max_y <= a.min_y THEN 'S' WHEN a.cx BETWEEN b.min_x - 500 AND b.max_x + 500 AND b.min_y >= a.max_y THEN 'N' END AS side FROM o a JOIN w b ON abs(a.st - b.st) <= 1 AND {_GX} <= 6000 AND {_GY} <= 6000),
+m AS (SELECT k, side, arg_min(wall, (g, wall)) AS wall FROM p WHERE side IS NOT NULL GROUP BY 1, 2)
+SELECT k, max(wall) FILTER (side = 'W') AS w, max(wall) FILTER (side = 'E') AS e, max(wall) FILTER (side = 'S') AS s, max(wall) FILTER (side = 'N') AS n FROM m GROUP BY 1 HAVING count(*) = 4""",
+    SEG,
+)
+def enclosed_zones(spark, sf):
+    return mep.enclosed(view(spark, sf, SEG))
+
+
+@query(f"WITH {_GATE} SELECT discipline, count(*) FILTER (gate = 'passed') AS created, count(*) FILTER (gate = 'blocked') AS blocked, count(*) FILTER (gate = 'pending') AS pending FROM g GROUP BY 1", SEG)
+def discipline_status(spark, sf):
+    g = ledger.gates(_classified(spark, sf))
+    return g.groupBy("discipline").agg(*[F.count_if(F.col("gate") == s).alias(n) for s, n in (("passed", "created"), ("blocked", "blocked"), ("pending", "pending"))])
+
+
+@query("SELECT session_id, event_id, ts, event_type FROM audit_v WHERE session_id = 7", AUD)
+def session_events(spark, sf):
+    return ledger.by_session(view(spark, sf, AUD), 7).select("session_id", "event_id", "ts", "event_type")
+
+
+@query("SELECT segment_id, CASE WHEN shape IN ('plane_vertical', 'plane_horizontal') THEN greatest(least(max_x - min_x, max_y - min_y), 200.0) ELSE max_x - min_x END AS thickness_mm, greatest(max_z - min_z, 10.0) AS height_mm FROM segments_v", SEG)
+def solid_dimensions(spark, sf):
+    df = view(spark, sf, SEG)
+    flat = F.col("shape").isin("plane_vertical", "plane_horizontal")
+    return df.select("segment_id", F.when(flat, F.greatest(F.least(E.extent("x"), E.extent("y")), F.lit(200.0))).otherwise(E.extent("x")).alias("thickness_mm"), F.greatest(E.extent("z"), F.lit(10.0)).alias("height_mm"))
+
+
+@query("SELECT surface, round(sqrt(avg(least(x - x0, x1 - x, y - y0, y1 - y, z - z0, z1 - z) ** 2)) * 1000, 4) AS sigma_mm FROM points_v JOIN (SELECT surface, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM points_v GROUP BY 1) m USING (surface) GROUP BY 1", PTS)
+def box_sigma(spark, sf):
+    p = view(spark, sf, PTS)
+    m = p.groupBy("surface").agg(*[f(c).alias(f"{c}{i}") for c in "xyz" for i, f in ((0, F.min), (1, F.max))])
+    d = F.least(*[x for c in "xyz" for x in (F.col(c) - F.col(f"{c}0"), F.col(f"{c}1") - F.col(c))])
+    return p.join(m, "surface").groupBy("surface").agg(F.round(F.sqrt(F.avg(d * d)) * 1000, 4).alias("sigma_mm"))
+
+
+@query("SELECT segment_id, round(a, 4) AS angle FROM (SELECT segment_id, CASE WHEN degrees(atan2(y, x)) < 0 THEN degrees(atan2(y, x)) + 180 WHEN degrees(atan2(y, x)) >= 180 THEN degrees(atan2(y, x)) - 180 ELSE degrees(atan2(y, x)) END AS a FROM (SELECT segment_id, (k % 13) - 6.5E0 AS x, (k % 7) - 3.25E0 AS y FROM segments_v) q) q", SEG)
+def wall_angles(spark, sf):
+    df = view(spark, sf, SEG)
+    return df.select("segment_id", E.axis_angle((F.col("k") % 13) - 6.5, (F.col("k") % 7) - 3.25).alias("angle"))
