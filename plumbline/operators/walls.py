@@ -74,3 +74,37 @@ def face_candidates(walls: DataFrame, least_mm: float = 50.0, most_mm: float = 4
     along = F.when(F.col("a.along_x"), -E.gap("x")).otherwise(-E.gap("y"))
     tall = -E.gap("z") >= 0.25 * F.least(E.extent("z", "a"), E.extent("z", "b"))
     return pairs.filter(across.between(least_mm, most_mm) & (along > 0) & tall).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), across.alias("distance_mm"), F.greatest(F.lit(100.0), F.least(F.lit(600.0), across)).alias("thickness_mm"))
+
+
+# Weights of the wall score, and the classes of a vertical plane in the order in which they are looked at.
+SCORE = {"height": 0.18, "length": 0.18, "fill": 0.24, "density": 0.14, "normals": 0.10, "aligned": 0.08, "envelope": 0.08}
+CLASSES = [
+    ("curvature >= 0.55 OR (curvature >= 0.35 AND centre_m < 1.6 AND height_m >= 4.0)", "curved_structural_surface"),
+    ("score >= 0.52 AND aligned AND height_m >= 1.8 AND length_m >= 1.5 AND curvature < 0.35", "architectural_wall"),
+    ("score >= 0.38 AND aligned AND height_m >= 0.40 AND length_m >= 0.30 AND curvature < 0.40", "wall_fragment"),
+    ("(centre_m < 1.3 AND (fill < 0.32 OR density < 30 OR NOT aligned)) OR (fill < 0.20 AND length_m < 2.0) OR (density < 18 AND length_m < 2.0)", "mep_equipment"),
+    ("height_m < 1.0 AND length_m < 1.0", "furniture_object"),
+    ("length_m < 0.80 AND height_m >= 2.0", "structural_nonwall"),
+    ("NOT aligned AND centre_m < 2.0", "mep_equipment"),
+]
+
+
+def plane_features(points: DataFrame, by: str, cell_m: float = 0.25) -> DataFrame:
+    """Features of vertical planes from their points (u along the wall and z in metres): robust length and height, density,
+    share of occupied cells and of occupied metres of height. Percentiles and distinct cells are partial aggregates."""
+    span = lambda c: F.percentile(c, 0.95) - F.percentile(c, 0.05)
+    ends = points.groupBy(by).agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("z").alias("z0"), F.max("z").alias("z1"), F.count("*").alias("points"), F.greatest(F.lit(0.1), span("u")).alias("length_m"), F.greatest(F.lit(0.1), span("z")).alias("height_m"))
+    cells = points.join(ends.select(by, "u0", "z0"), by).select(by, F.floor((F.col("u") - F.col("u0")) / cell_m).alias("cu"), F.floor((F.col("z") - F.col("z0")) / cell_m).alias("cz"), F.floor(F.col("z") - F.col("z0")).alias("m")).distinct()
+    occupied = cells.groupBy(by).agg(F.countDistinct("cu", "cz").alias("occupied"), F.countDistinct("m").alias("metres"))
+    whole = (F.floor((F.col("u1") - F.col("u0")) / cell_m) + 1) * (F.floor((F.col("z1") - F.col("z0")) / cell_m) + 1)
+    out = ends.join(occupied, by)
+    return out.select(by, "points", "length_m", "height_m", (F.col("points") / F.greatest(F.lit(0.05), F.col("length_m") * F.col("height_m"))).alias("density"), (F.col("occupied") / whole).alias("fill"), (F.col("metres") / F.ceil(F.greatest(F.lit(1.0), F.col("z1") - F.col("z0")))).alias("z_continuity"))
+
+
+def wall_classes(features: DataFrame) -> DataFrame:
+    """Adds the wall score and class to rows with length_m, height_m, density, fill, normals (share that agree), aligned, centre_m, curvature."""
+    ramp = lambda c, low, width: F.greatest(F.lit(0.0), F.least((F.col(c) - low) / width, F.lit(1.0)))
+    parts = {"height": F.least(F.col("height_m") / 6, F.lit(1.0)), "length": F.least(F.col("length_m") / 4, F.lit(1.0)), "fill": ramp("fill", 0.15, 0.45), "density": ramp("density", 15.0, 75.0), "normals": ramp("normals", 0.60, 0.35), "aligned": F.col("aligned").cast("double"), "envelope": F.when(F.col("centre_m") > 2, 1.0).when(F.col("aligned"), 0.5).otherwise(0.0)}
+    score = sum((parts[k] * w for k, w in SCORE.items()), F.lit(0.0)) * F.when(F.col("aligned"), 1.0).otherwise(0.8)
+    score = score * F.when(F.col("curvature") > 0.30, F.greatest(F.lit(0.10), 1 - 0.75 * F.col("curvature"))).otherwise(1.0)
+    return features.withColumn("score", F.greatest(F.lit(0.0), F.least(score, F.lit(1.0)))).withColumn("class", F.expr(E.case_sql(CLASSES, "other")))

@@ -770,3 +770,29 @@ def box_sigma(spark, sf):
 def wall_angles(spark, sf):
     df = view(spark, sf, SEG)
     return df.select("segment_id", E.axis_angle((F.col("k") % 13) - 6.5, (F.col("k") % 7) - 3.25).alias("angle"))
+
+
+_WF = """w AS (SELECT surface, z, CASE WHEN surface < 2 THEN x ELSE y END AS u FROM points_v WHERE surface < 4),
+e AS (SELECT surface, min(u) AS u0, max(u) AS u1, min(z) AS z0, max(z) AS z1, count(*) AS points, greatest(0.1, quantile_cont(u, 0.95) - quantile_cont(u, 0.05)) AS length_m, greatest(0.1, quantile_cont(z, 0.95) - quantile_cont(z, 0.05)) AS height_m FROM w GROUP BY 1),
+o AS (SELECT surface, count(DISTINCT (floor((u - u0) / 0.25), floor((z - z0) / 0.25))) AS occupied, count(DISTINCT floor(z - z0)) AS metres FROM w JOIN e USING (surface) GROUP BY 1),
+f AS (SELECT surface, points, length_m, height_m, points / greatest(0.05, length_m * height_m) AS density, occupied / ((floor((u1 - u0) / 0.25) + 1) * (floor((z1 - z0) / 0.25) + 1)) AS fill, metres / ceil(greatest(1.0, z1 - z0)) AS z_continuity FROM e JOIN o USING (surface))"""
+
+
+def _wall_features(spark, sf):
+    return walls.plane_features(view(spark, sf, PTS).filter("surface < 4").withColumn("u", F.when(F.col("surface") < 2, F.col("x")).otherwise(F.col("y"))), "surface")
+
+
+@query(f"WITH {_WF} SELECT surface, points, round(length_m, 6) AS length_m, round(height_m, 6) AS height_m, round(density, 4) AS density, round(fill, 6) AS fill, round(z_continuity, 6) AS z_continuity FROM f", PTS)
+def wall_features(spark, sf):
+    return _wall_features(spark, sf).select("surface", "points", F.round("length_m", 6).alias("length_m"), F.round("height_m", 6).alias("height_m"), F.round("density", 4).alias("density"), F.round("fill", 6).alias("fill"), F.round("z_continuity", 6).alias("z_continuity"))
+
+
+@query(
+    f"""WITH {_WF}, g AS (SELECT *, surface <> 2 AS aligned, surface * 1.0E0 AS centre_m, surface * 0.15E0 AS curvature FROM f),
+s AS (SELECT *, greatest(0.0, least(1.0, (0.18 * least(height_m / 6, 1.0) + 0.18 * least(length_m / 4, 1.0) + 0.24 * greatest(0.0, least((fill - 0.15) / 0.45, 1.0)) + 0.14 * greatest(0.0, least((density - 15) / 75, 1.0)) + 0.10 + 0.08 * aligned::INT + 0.08 * CASE WHEN centre_m > 2 THEN 1.0 WHEN aligned THEN 0.5 ELSE 0 END) * CASE WHEN aligned THEN 1 ELSE 0.8 END * CASE WHEN curvature > 0.3 THEN greatest(0.1, 1 - 0.75 * curvature) ELSE 1 END)) AS score FROM g)
+SELECT surface, round(score, 6) AS score, {E.case_sql(walls.CLASSES, "other")} AS class FROM s""",
+    PTS,
+)
+def wall_classes(spark, sf):
+    rows = _wall_features(spark, sf).withColumns({"normals": F.lit(1.0), "aligned": F.col("surface") != 2, "centre_m": F.col("surface") * F.lit(1.0), "curvature": F.col("surface") * F.lit(0.15)})
+    return walls.wall_classes(rows).select("surface", F.round("score", 6).alias("score"), "class")
