@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text handled at once by a Python worker, in bytes. A longer text is handled alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 #: Used where the session names no spark.checkpoint.dir, as in tests on one machine.
 LOCAL_SHARED = "/tmp/checkpoints/plumbline"
 
@@ -52,6 +54,13 @@ def fields(ddl: str) -> list[T.StructField]:
     return list(T._parse_datatype_string(ddl).fields)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task should not hold that of its last."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices whose texts have about `limit` bytes or are a single row."""
     for batch in batches:
@@ -66,6 +75,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def map_text(df: DataFrame, text: str, keep: list[str], ddl: str, make: Callable[[], Callable[[pa.StringArray], list]], limit: int = BLOCK_BYTES) -> DataFrame:

@@ -20,7 +20,7 @@ LEAST, PART = 1e-5, 0.1
 #: Slots of the filter (each holds a bit for every language) and hash functions.
 SLOTS, HASHES = 1 << 20, 3
 #: Distinct (language, n-gram) counts that a task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 19
 #: N-grams that a text needs for its language to be refused.
 LEAST_TOLD = 20
 

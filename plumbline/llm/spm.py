@@ -293,7 +293,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", outp
 
         return f
 
-    return map_text(docs, text, keep, f"{output} array<int>", make, 8 << 20)
+    return map_text(docs, text, keep, f"{output} array<int>", make, 4 << 20)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids", output: str = "decoded") -> DataFrame:

@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_text, map_text, stored
+from .common import filter_text, map_text, pieces, stored
 from .decontam import normal_words
 
 #: Labelled rows that are learned from, about; chosen by a hash of the key. The documented bound of the training sample.
 SAMPLE = 40_000
 #: Weight of the Dirichlet prior as a part of all training rows, least z of a token, least rows that hold it, most tokens kept.
 PRIOR, LEAST_Z, LEAST_ROWS, MOST_TOKENS = 0.02, 3.0, 3, 50_000
+#: Counts that a task holds before it hands them on.
+HELD = 150_000
 #: Bytes of a word's heads: a word that was never learned is scored by its longest learned head.
 HEADS = (8, 6, 4)
 #: A segment counts if chance makes a clean text of this length have one so high with at most this expected number.
@@ -151,15 +153,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, key: str = "doc_id",
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for b in batches:
-            for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
-                words, heads = tokens_of(t)
-                y = int(y > 0)
-                found.update((0, y, w) for w in words)
-                found.update((1, y, w) for w in heads)
-                found[2, y, b""] += 1
-        kind, y, token, n = zip(*((*k, v) for k, v in found.items()), strict=True) if found else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(y, pa.int32()), pa.array(token, pa.binary()), pa.array(n, pa.int64())], names=["kind", "y", "token", "n"])
+
+        def rows() -> pa.RecordBatch:
+            kind, y, token, n = zip(*((*k, v) for k, v in found.items()), strict=True)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(y, pa.int32()), pa.array(token, pa.binary()), pa.array(n, pa.int64())], names=["kind", "y", "token", "n"])
+
+        for batch in batches:
+            for b in pieces(iter([batch]), "t"):
+                for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
+                    words, heads = tokens_of(t)
+                    y = int(y > 0)
+                    found.update((0, y, w) for w in words)
+                    found.update((1, y, w) for w in heads)
+                    found[2, y, b""] += 1
+                if len(found) > HELD:
+                    yield rows()
+        if found:
+            yield rows()
 
     counts = sample.mapInArrow(counted, "kind int, y int, token binary, n long").groupBy("kind", "token").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
     # The sample is bounded, and only tokens that lean to toxic rows leave the executors.
@@ -183,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, key: str = "doc_id",
     shared = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(iter([batch]), "t")):
             y, n, places, values = [], [], [], []
             for t, label_ in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
                 words = normal_words(t)
