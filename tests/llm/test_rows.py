@@ -479,7 +479,7 @@ def test_grams_are_the_plain_ones():
 def test_base_scores_are_the_plain_ones(spark, monkeypatch):
     rows = [*ODD, *((50 + i, f"the Word{i % 9} of the {i}") for i in range(60))]
     df = docs_of(spark, rows).selectExpr("*", "1 AS part", "2 AS kind", "3 AS id")
-    for heads in (1 / (1 << 20), 0.05):
+    for heads in (1 / (1 << 20), 0.05, 1.0):
         monkeypatch.setattr(ctw, "HEADS", heads)
         got = ctw.score(df, df["doc_id"] % 3 == 0).collect()
         tok = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), None]
