@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import scratch, shared_dir, stored
+
 #: Text handled at once by a Python worker, in bytes. A longer text is handled alone.
 BLOCK_BYTES = 1 << 19
-#: Used where the session names no spark.checkpoint.dir, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints/plumbline"
+__all__ = ["fields", "filter_text", "fold", "map_text", "pieces", "scratch", "shared_dir", "stored", "table", "trim"]
 
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
 
@@ -26,25 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}/{name}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes the rows as Parquet to the shared folder and reads them back.
-
-    A lost executor loses nothing of it, and every later use reads the same rows.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(key: str, k: int) -> Column:
     """crc32 of the key as text, modulo k; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % k

@@ -17,20 +17,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from .common import pieces, stored
-from .components import components
 from .textops import NONSPACE, U, mix, words
 
 #: Buckets of the table of shingle counts that orders shingles rare-first. Any table gives right results; it has a fixed size.
-SKETCH = 1 << 18
+BITS = 20
+SKETCH = 1 << BITS
 #: Postings that one task of the prefix join takes, about.
 POSTINGS = 300_000
 #: Members of a shared prefix shingle that meet in pairs at once; more are linked to their first member first.
-CROWD = 64
+CROWD = 8
+#: Rows of two keys each that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Rows of a shingle, by the table, above which it is dealt out over several tasks, and members of a tile.
-HOT, TILE = 100_000, 256
-#: Cells of the histograms by which the suffix filter bounds the overlap.
-CELLS = 64
+HOT, TILE = 100_000, 2048
+#: Cells of the histograms by which the suffix filter bounds the overlap. A cell that holds FULL is not counted on.
+CELLS, FULL = 128, 255
 
 _FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0x85EBCA77C2B2AE63)]
 
@@ -80,36 +83,50 @@ def profile(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 kind = b.column("k").type
                 sets = shingle_sets(b.column("t"), n)
                 if sets:
-                    count += np.bincount((np.concatenate(sets) >> U(46)).astype(np.int64), minlength=SKETCH)
+                    count += np.bincount((np.concatenate(sets) >> U(64 - BITS)).astype(np.int64), minlength=SKETCH)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), b.column("k"), b.column("h"), pa.array([mark(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=schema.names)
         at = np.flatnonzero(count)
-        if kind is not None and len(at):
+        for at in np.array_split(at, len(at) // 100_000 + 1) if kind is not None and len(at) else []:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), kind), pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(count[at])], names=schema.names)
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, schema)
 
 
-def _ranks(counts: DataFrame) -> np.ndarray:
-    """For each bucket 0 to 255, the higher the more rows; from a table of SKETCH buckets, whatever the corpus is."""
-    table = np.zeros(SKETCH)
-    for r in counts.groupBy("set").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        table[r.set] = r.n
-    return table
+def _counts(rows: DataFrame) -> np.ndarray:
+    """Rows of each bucket, from rows (set, n): summed by Spark and packed there, so that the driver gets 8 bytes a bucket."""
+    size = 1 << 16
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, part = np.zeros(size, np.int64), None
+        for b in batches:
+            if b.num_rows:
+                at = b.column("set").to_numpy()
+                part = int(at[0]) // size
+                table[at % size] = b.column("n").to_numpy()
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["part", "n"])
+
+    summed = rows.groupBy("set").agg(F.sum("n").alias("n"))
+    counts = np.zeros(SKETCH, np.int64)
+    for r in summed.repartitionById(SKETCH // size, F.floor(F.col("set") / size).cast("int")).mapInArrow(pack, "part int, n binary").collect():
+        counts[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["n"], np.int64)
+    return counts
 
 
 def postings(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, counts: np.ndarray, parts: int) -> DataFrame:
-    """Prefix postings packed by part: part, and binary keys, nodes, sizes and places; beside them rows of part -1: nodes and their histograms.
+    """Prefix postings packed by part: part, and binary keys, nodes, sizes and places; beside them rows without keys: nodes and their histograms.
 
     Places are inverted for shingles that are dealt out over several parts. A text whose set the task has met before adds nothing. Shingles are in the order of their bucket's count, rare first.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8), 1 + (counts // HOT).astype(np.int32)))
+    hot = np.flatnonzero(counts >= HOT)
+    shared = spark.sparkContext.broadcast((np.minimum(255, 8 * np.log2(1.0 + counts)).astype(np.uint8), hot, 1 + counts[hot] // HOT))
     schema = T._parse_datatype_string("part int, keys binary, nodes binary, sizes binary, places binary")
     names = schema.names
     kinds = [pa.int32(), *[pa.binary()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, salts = shared.value
+        rank, hot, parts_of_hot = shared.value
         seen: set[int] = set()
         held: list[tuple] = []
         size = 0
@@ -132,20 +149,23 @@ def postings(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, c
                     if len(seen) >= 1 << 20:
                         seen.clear()
                     seen.add(m)
-                    bucket = (s >> U(46)).astype(np.int64)
+                    bucket = (s >> U(64 - BITS)).astype(np.int64)
                     prefix = len(s) - least_overlap(len(s), num, den) + 1
                     first = np.argsort(rank[bucket], kind="stable")[:prefix]
                     k = s[first]
-                    salt = salts[bucket[first]]
+                    salt = np.ones(prefix, np.int64)
+                    if len(hot):
+                        i = np.minimum(np.searchsorted(hot, bucket[first]), len(hot) - 1)
+                        salt = np.where(hot[i] == bucket[first], parts_of_hot[i], 1)
                     place = np.arange(prefix, dtype=np.int32)
                     place[salt > 1] = ~place[salt > 1]  # dealt out: its members meet in apart()
                     deal = mix(k + U(m & 0xFFFFFFFFFFFFFFFF) % salt.astype(U)) if salt.max() > 1 else k
                     held.append((k, np.full(prefix, m, np.int64), np.full(prefix, len(s), np.int32), place, ((deal >> U(20)) % U(parts)).astype(np.int32)))
                     size += prefix
-                    cells.append((m, np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4")))
+                    cells.append((m, np.minimum(np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS), FULL).astype(np.uint8)))
                 if cells:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([np.array([c[0] for c in cells], np.int64).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([b"".join(c[1].tobytes() for c in cells)], pa.binary())], names=names)
-                if size > 4 * POSTINGS:
+                    yield pa.RecordBatch.from_arrays([pa.array([cells[0][0] % parts], pa.int32()), pa.nulls(1, pa.binary()), pa.array([np.array([c[0] for c in cells], np.int64).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([b"".join(c[1].tobytes() for c in cells)], pa.binary())], names=names)
+                if size > 2 * POSTINGS:
                     yield out()
                     held, size = [], 0
         if held:
@@ -164,7 +184,7 @@ def possible(n1: np.ndarray, n2: np.ndarray, p1: np.ndarray, p2: np.ndarray, num
     return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (most >= need)
 
 
-_MET = "kind int, a long, b long, n long, p long"
+_MET = "kind int, a long, b long, n long, p long, cells binary"
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,13 +197,17 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def met(packed: DataFrame, parts: int, num: int, den: int) -> DataFrame:
-    """Rows of kind 0: candidate pairs (a, b). Of kind 1: member a of crowd b (the shingle), its size n and place p."""
+    """Rows of kind 0: candidate pairs (a, b). Of kind 1: member a of crowd b (the shingle), its size n and place p. Of kind 2: node a and its histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(r[0], []).append(r[1:])
+                if r[1] is None:
+                    v = np.frombuffer(r[2], np.int64)
+                    yield _met(2, v, *[np.zeros(len(v), np.int64)] * 3, cells=[r[4][i * CELLS : (i + 1) * CELLS] for i in range(len(v))])
+                else:
+                    held.setdefault(r[0], []).append(r[1:])
         for part in list(held):
             rows = held.pop(part)
             k, v, s, p = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int32, np.int32), strict=True))
@@ -204,99 +228,159 @@ def met(packed: DataFrame, parts: int, num: int, den: int) -> DataFrame:
                     break
                 ok = possible(x[2][i], x[2][i + d], x[3][i], x[3][i + d], num, den)
                 found.append((x[1][i[ok]], x[1][i[ok] + d]))
-            # In a crowd each member meets the first of about its size.
+            # In a crowd each member meets that with the fewest rarer shingles, most like a common original, of about its
+            # size, and that of the next larger sizes.
             if crowd.any():
                 x = [z[crowd] for z in (k, v, s, p)]
                 band = np.floor(np.log(x[2]) / np.log(den / num)).astype(np.int64)
-                order = np.lexsort((x[1], band, x[0]))
+                order = np.lexsort((x[1], x[3], band, x[0]))
                 x = [z[order] for z in x]
                 band = band[order]
-                begin = np.concatenate(([True], (x[0][1:] != x[0][:-1]) | (band[1:] != band[:-1])))
-                head = np.flatnonzero(begin)[np.cumsum(begin) - 1]
-                ok = possible(x[2], x[2][head], x[3], x[3][head], num, den)
-                found.append((x[1][ok], x[1][head[ok]]))
+                begin = np.flatnonzero(np.concatenate(([True], (x[0][1:] != x[0][:-1]) | (band[1:] != band[:-1]))))
+                own = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(band))))
+                for step in (0, 1):
+                    i = np.flatnonzero(own + step < len(begin))
+                    head = begin[own[i] + step]
+                    i, head = (z[(x[0][i] == x[0][head]) & (band[i] + step == band[head])] for z in (i, head))
+                    ok = possible(x[2][i], x[2][head], x[3][i], x[3][head], num, den)
+                    found.append((x[1][i[ok]], x[1][head[ok]]))
                 yield _met(1, x[1], x[0].view(np.int64), x[2], x[3])
             if found:
                 pairs = _pairs(*(np.concatenate(z) for z in zip(*found, strict=True)))
                 yield _met(0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64))
 
-    return packed.filter("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(run, _MET)
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(run, _MET)
 
 
-def _met(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *[pa.array(c) for c in columns]], names=["kind", "a", "b", "n", "p"])
+def _met(kind: int, *columns: np.ndarray, cells: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(columns[0])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.array(c) for c in columns], pa.array(cells, pa.binary()) if cells is not None else pa.nulls(n, pa.binary())], names=["kind", "a", "b", "n", "p", "cells"])
 
 
-def histograms(packed: DataFrame) -> DataFrame:
-    """node, cells: counts of the set's shingles by their last bits, 32-bit numbers."""
+def near(x: np.ndarray, y: np.ndarray, n1: np.ndarray, n2: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Suffix filter: whether the histograms (rows of CELLS) leave room for the overlap that a link needs."""
+    most = np.minimum(x, y).sum(1, dtype=np.int64)
+    full = ((x == FULL) & (y == FULL)).any(1)
+    return full | (most >= -(-(n1 + n2) * num // (num + den)))
+
+
+def close(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for nodes, cells in zip(batch.column("nodes").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                v = np.frombuffer(nodes, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array([cells[i * CELLS * 4 : (i + 1) * CELLS * 4] for i in range(len(v))], pa.binary())], names=["node", "cells"])
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("x", "y"))
+            ok = near(x, y, b.column("m").to_numpy(), b.column("n").to_numpy(), num, den)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    return packed.filter("part = -1").select("nodes", "places").mapInArrow(run, "node long, cells binary").dropDuplicates(["node"])
+    one, two = (cells.select(F.col("node").alias(c), F.col("cells").alias(d), F.col("n").alias(m)) for c, d, m in (("a", "x", "m"), ("b", "y", "n")))
+    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long"), "candidates")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, cells: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: the suffix filter first, then one look at both whole sets for each pair."""
+def small(df: DataFrame) -> DataFrame:
+    """The stored rows, to be broadcast if there are at most BROADCAST_ROWS of them, else to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def opened(s: bytes) -> np.ndarray:
+    out = np.zeros((len(s) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
+    return out.view(U)[:, 0]
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64) for c in ("x", "y"))
-            most = np.minimum(x, y).sum(1)
-            ok = most >= -(-(x.sum(1) + y.sum(1)) * num // (num + den))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    one, two = (cells.select(F.col("node").alias(c), F.col("cells").alias(d)) for c, d in (("a", "x"), ("b", "y")))
-    close = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(near, "a long, b long"), "candidates")
-    nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select(F.col("set").alias("node"), "h", "k"), "node")
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link: one look at both whole sets for each pair.
+
+    The set of the node with fewer pairs is sent to the other, whose own comes once: 48 bits a shingle, straight from one text
+    of each class. Which texts are wanted is broadcast where that is small, so that texts themselves need no shuffle.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    both = pairs.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+    turn = F.col("da") > F.col("db")
+    turned = stored(both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.least("da", "db").alias("d")), "turned")
+    of = classes.select(F.col("set").alias("node"), "h", "k")
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+
+    def found(wanted: DataFrame, name: str) -> DataFrame:
+        w = small(stored(wanted, name)).alias("w")
+        return texts.join(w, texts["k"].eqNullSafe(F.col("w.k")) & (texts["h"] == F.col("w.h"))).select("w.node", "w.to", "t")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # a text that is there again and again is sent once by a task
         for batch in batches:
             for b in pieces(iter([batch]), "t"):
-                out = [(v, s.tobytes()) for v, s in zip(b.column("node").to_pylist(), shingle_sets(b.column("t"), n), strict=True) if mark(s) == v]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in ((0, pa.int64()), (1, pa.binary()))], names=["node", "s"])
-
-    texts = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    whole = stored(texts.join(nodes, (texts["k"].eqNullSafe(nodes["k"])) & (texts["h"] == nodes["h"])).select("node", "t").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "sets")
+                node, to, out = [], [], []
+                for v, others, s in zip(b.column("node").to_pylist(), b.column("to").to_pylist(), shingle_sets(b.column("t"), n), strict=True):
+                    if mark(s) == v and (v, others[0]) not in seen:
+                        if len(seen) >= 1 << 18:
+                            seen.clear()
+                        seen.add((v, others[0]))
+                        node += [v] * len(others)
+                        to += others
+                        out += [(s >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()] * len(others)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(to, pa.int64()), pa.array(out, pa.binary())], names=["a", "b", "s"])
+
+    # A node's partners are sent for in lists of a bounded length.
+    sent = turned.groupBy(F.col("a").alias("node"), F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / 64)).alias("r")).agg(F.collect_list("b").alias("to")).drop("r").join(of, "node")
+    own = turned.select(F.col("b").alias("node")).distinct().join(of, "node").withColumn("to", F.array("node"))
+    left = found(sent, "sent").mapInArrow(sets, "a long, b long, s binary").select("a", "b", F.col("s").alias("x"))
+    right = stored(found(own, "own").mapInArrow(sets, "a long, b long, s binary").select("b", F.col("s").alias("y")).dropDuplicates(["b"]), "heads")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for s, t in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(s, U), np.frombuffer(t, U)
-                z = np.concatenate((x, y))
+                z = np.concatenate((opened(s), opened(t)))
                 z.sort(kind="stable")
-                both = int(np.count_nonzero(z[1:] == z[:-1]))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
+                common = int(np.count_nonzero(z[1:] == z[:-1]))
+                ok.append(den * common >= num * (len(z) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = (whole.select(F.col("node").alias(c), F.col("s").alias(d)) for c, d in (("a", "x"), ("b", "y")))
-    return stored(close.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "linked")
+    # Repeated rows of a text may give a pair once for each task, which components do not mind.
+    return stored(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "linked")
+
 
+def apart(crowds: DataFrame, known: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of crowd members that are still in different components and can link.
 
-def apart(crowds: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of crowd members that are still in different components and can link, from tiles of TILE members each."""
+    In each crowd all that are outside its largest component meet all members, in tiles of TILE by TILE. Of the crowds that
+    two share, only that with the smallest name looks at them; what passes the suffix filter there comes out, once.
+    """
     members = crowds.select(F.col("b").alias("crowd"), F.col("a").alias("node"), "n", "p").dropDuplicates(["crowd", "node"]).join(known, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
-    split = members.groupBy("crowd").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("crowd", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    own = members.join(split, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    sizes = members.groupBy("crowd", "c").agg(F.count("*").alias("m")).groupBy("crowd").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("c", "m").alias("main"), F.count("*").alias("k")).filter("k > 1")
+    sizes = sizes.select("crowd", "main", F.ceil(F.col("all") / TILE).cast("int").alias("js"), F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("is"))
+    split = stored(members.join(sizes, "crowd"), "split")
+    lists = split.groupBy("node").agg(F.collect_list("crowd").alias("crowds")).join(cells, "node")
+    own = split.join(lists, "node").withColumn("crowds", F.expr("filter(crowds, x -> x < crowd)"))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = own.filter("c <> main").withColumn("i", mine("is")).withColumn("j", every("js")).withColumn("out", F.lit(True))
+    tiled = out.unionByName(own.withColumn("i", every("is")).withColumn("j", mine("js")).withColumn("out", F.lit(False)))
 
     def meet(table: pa.Table) -> pa.Table:
-        v, s, p, c, own = (table.column(x).to_numpy() for x in ("node", "n", "p", "c", "own"))
-        low, high = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        left, right = (np.arange(len(v)),) * 2 if low == high else (np.flatnonzero(own == low), np.flatnonzero(own == high))
+        v, s, p, c, main = (table.column(x).to_numpy() for x in ("node", "n", "p", "c", "main"))
+        out = table.column("out").to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
+        h = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        lists = table.column("crowds").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        names = lists.flatten().to_numpy()
+        of = np.repeat(np.arange(len(v)), np.diff(lists.offsets.to_numpy()))
+        which, place = np.unique(names, return_inverse=True)
+        bits = np.zeros((len(v), max(1, len(which))), bool)
+        bits[of, place] = True
+        bits = np.packbits(bits, axis=1)
+        right = np.flatnonzero(~out)
         found = []
-        for i in left.tolist():
-            j = right[(c[right] != c[i]) & (v[right] != v[i])]
+        for i in np.flatnonzero(out).tolist():
+            j = right[(c[right] != c[i]) & ((c[right] == main[i]) | (v[i] < v[right]))]
             j = j[possible(s[j], s[i], p[j], p[i], num, den)]
+            j = j[~(bits[j] & bits[i]).any(1)]
+            j = j[near(h[j], h[i], s[j], s[i], num, den)]
             found.append((np.full(len(j), v[i]), v[j]))
         x = _pairs(*(np.concatenate(z) for z in zip(*found, strict=True))) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
-    return tiled.groupBy("crowd", "lo", "hi").applyInArrow(meet, "a long, b long").distinct()
+    return tiled.select("crowd", "i", "j", "node", "n", "p", "c", "main", "out", "cells", "crowds").groupBy("crowd", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -309,20 +393,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     """
     rows = stored(profile(docs, key, text, n), "profile")
     named = rows.filter("kind = 0").drop("kind")
-    counts = _ranks(rows.filter("kind = 1").select("set", "n"))
+    counts = _counts(rows.filter("kind = 1").select("set", "n"))
     classes = stored(named.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct(F.col("k").isNull().alias("no"), "k", "h")).alias("x"), F.max("n").alias("n")).select("set", "x.k", "x.h", "n"), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(8, -(-total * (den - num) // (den * POSTINGS)))
-    packed = stored(postings(docs, key, text, n, num, den, counts, parts), "postings")
-    found = stored(met(packed, parts, num, den), "met")
-    cells = histograms(packed)
-    check = lambda pairs: verified(pairs, docs, classes, cells, key, text, n, num, den)
+    found = stored(met(postings(docs, key, text, n, num, den, counts, parts), parts, num, den), "met")
+    cells = found.filter("kind = 2").select(F.col("a").alias("node"), "cells").dropDuplicates(["node"]).join(classes.select(F.col("set").alias("node"), "n"), "node")
+    crowds = found.filter("kind = 1")
     same_key = named.filter("k IS NOT NULL AND set IS NOT NULL").groupBy("k").agg(F.min("set").alias("a"), F.max("set").alias("b"), F.collect_set("set").alias("sets")).filter("a <> b").select("a", F.explode("sets").alias("b"))
-    links = check(found.filter("kind = 0").select("a", "b").distinct()).unionByName(same_key)
+    pairs = close(found.filter("kind = 0").select("a", "b").distinct(), cells, num, den)
+    check = lambda pairs: verified(pairs, docs, classes, key, text, n, num, den)
+    links = check(pairs).unionByName(same_key)
     known = stored(components(links), "components")
-    crowds = found.filter("kind = 1")
     if not crowds.isEmpty():
-        more = stored(apart(crowds, known, num, den), "apart")
+        more = stored(apart(crowds, known, cells.select("node", "cells"), num, den), "apart")
         if not more.isEmpty():
             # Components are nodes now; what the first links joined stays joined.
             again = check(more).join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -346,10 +430,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     found = stored(groups(docs, key, text, n, num, den), "groups")
     stays = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("no"), "k", "h")).alias("x"), F.count("*").alias("c"))
     chosen = stays.select("root", F.col("x.k").alias("k0"), F.col("x.h").alias("h0"))
-    gone = found.join(chosen, "root").filter(~(F.col("k").eqNullSafe(F.col("k0")) & (F.col("h") == F.col("h0")))).select("k", "h").distinct()
+    gone = stored(found.join(chosen, "root").filter(~(F.col("k").eqNullSafe(F.col("k0")) & (F.col("h") == F.col("h0")))).select(F.col("k").alias("__k"), F.col("h").alias("__g")).distinct(), "gone")
     again = not found.filter("root IS NOT NULL").groupBy("k", "h").count().filter("count > 1").isEmpty()
     rows = docs.withColumn("__h", F.xxhash64(text))
-    left = rows.join(gone.select(F.col("k").alias("__k"), F.col("h").alias("__g")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__g")), "left_anti")
+    left = rows.join(small(gone), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__g")), "left_anti")
     if again:
         empty = left.filter(F.coalesce(F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]", "")), F.lit(0)) == 0)
         full = left.filter(F.coalesce(F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]", "")), F.lit(0)) > 0).dropDuplicates([key, "__h"])
