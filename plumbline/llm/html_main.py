@@ -111,20 +111,23 @@ def _close(stack: list[Node], tags: set[str], stop: set[str]) -> None:
 
 
 def tree_hash(node: Node, host: str) -> dict[int, int]:
-    """id(element) -> 64-bit hash of host, tags and texts of the subtree."""
+    """id(element) -> 64-bit hash of host, tags and texts of the subtree. Elements that are or hold an article or main have none."""
     order, todo = [], [node]
     while todo:
         x = todo.pop()
         order.append(x)
         todo += [p for p in x.parts if isinstance(p, Node) and not p.main]
     inner: dict[int, bytes] = {}
+    holds: set[int] = set()
     found: dict[int, int] = {}
     for x in reversed(order):
         d = xxhash.xxh64(x.tag.encode() + b"<")
         for p in x.parts:
             d.update((inner.get(id(p)) or b"main") if isinstance(p, Node) else " ".join(p.split()).encode(errors="replace") + b">")
         inner[id(x)] = d.digest()
-        if x.tag not in INLINE and x.tag not in VOID and x.tag not in ("", "html", "body", "head"):
+        if x.main or any(isinstance(p, Node) and (p.main or id(p) in holds) for p in x.parts):
+            holds.add(id(x))
+        elif x.tag not in INLINE and x.tag not in VOID and x.tag not in ("", "html", "body", "head"):
             found[id(x)] = xxhash.xxh64_intdigest(inner[id(x)] + host.encode()) - (1 << 63)
     return found
 

@@ -206,6 +206,15 @@ def test_articles_are_no_templates_and_named_parts_go(spark):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+def test_wrapped_articles_stay(spark):
+    rows = [(i, f"http://a.b/{i}", f"<body><div id=page><div><p>Same on all.</p></div><section><article><p>Own {i}.</article></section></div></body>") for i in range(40)]
+    rows += [(100 + i, f"http://c.d/{i}", f"<div><main>Own {i}.</main></div>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (10, 0):
+        got = {r.page_id: r.text for r in html_main.extract(df, broadcast_most=most).collect()}
+        assert got == {i: f"Own {i % 100}." for i, *_ in rows}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("<>/!-pbdiv=\"' &;a")), max_size=60))
 def test_any_markup_is_read(text):
