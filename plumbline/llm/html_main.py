@@ -110,26 +110,28 @@ def _close(stack: list[Node], tags: set[str], stop: set[str]) -> None:
             return
 
 
-def tree_hash(node: Node, host: str) -> dict[int, int]:
-    """id(element) -> 64-bit hash of host, tags and texts of the subtree. Elements that are or hold an article or main have none."""
-    order, todo = [], [node]
+def tree_hash(node: Node, host: str) -> dict[int, tuple[int, int]]:
+    """id(element) -> 64-bit hashes of host, tags and texts of the subtree, and of the part it stands in: the innermost article or
+    main, else the page. Elements that are or hold an article or main have none."""
+    order, todo = [], [(node, node)]
     while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += [p for p in x.parts if isinstance(p, Node) and not p.main]
+        x, part = todo.pop()
+        order.append((x, part))
+        part = x if x.main else part
+        todo += [(p, part) for p in x.parts if isinstance(p, Node)]
     inner: dict[int, bytes] = {}
     holds: set[int] = set()
-    found: dict[int, int] = {}
-    for x in reversed(order):
+    own: list[tuple[int, int, int]] = []
+    for x, part in reversed(order):
         d = xxhash.xxh64(x.tag.encode() + b"<")
         for p in x.parts:
-            d.update((inner.get(id(p)) or b"main") if isinstance(p, Node) else " ".join(p.split()).encode(errors="replace") + b">")
+            d.update(inner[id(p)] if isinstance(p, Node) else " ".join(p.split()).encode(errors="replace") + b">")
         inner[id(x)] = d.digest()
-        if x.main or any(isinstance(p, Node) and (p.main or id(p) in holds) for p in x.parts):
+        if x.main or any(isinstance(p, Node) and id(p) in holds for p in x.parts):
             holds.add(id(x))
         elif x.tag not in INLINE and x.tag not in VOID and x.tag not in ("", "html", "body", "head"):
-            found[id(x)] = xxhash.xxh64_intdigest(inner[id(x)] + host.encode()) - (1 << 63)
-    return found
+            own.append((id(x), xxhash.xxh64_intdigest(inner[id(x)] + host.encode()) - (1 << 63), id(part)))
+    return {i: (h, xxhash.xxh64_intdigest(inner[part]) - (1 << 63)) for i, h, part in own}
 
 
 def main_text(root: Node, gone: set[int]) -> str:
@@ -177,32 +179,38 @@ def main_text(root: Node, gone: set[int]) -> str:
 
 
 def templates(pages: DataFrame, url: str = "url", text: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Hashes (h) of subtrees, host included, that recur on at least `least_pages` pages and `least_share` of their host's pages.
+    """Hashes (h) of subtrees, host included, that recur in at least `least_pages` different parts and on `least_share` of their host's pages.
 
-    A page counts once for a subtree, equal pages count each. Counting is by host and subtree with partial sums before the
-    shuffle, so a host with a third of all pages is no hot key.
+    A part (the innermost article or main, else the page) counts once for a subtree, equal parts count once: copies of an
+    article recur as a whole. Pairs of subtree and part are dealt by both, then counted by subtree with partial sums before
+    the shuffle, so a host with a third of all pages is no hot key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            host, found = [], []
+            host, found, part = [], [], []
             for u, t in zip(b.column(url).to_pylist(), b.column(text).to_pylist(), strict=True):
                 h = host_of(u)
                 own = set(tree_hash(parse(t or ""), h).values())
-                host += [h] * (len(own) + 1)
-                found += [None, *own]
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(found, pa.int64())], names=["host", "h"])
+                host += [h] * len(own)
+                found += [x[0] for x in own]
+                part += [x[1] for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(found, pa.int64()), pa.array(part, pa.int64())], names=["host", "h", "part"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([host_of(u) for u in b.column(url).to_pylist()], pa.string())], names=["host"])
 
-    counts = pages.select(url, text).mapInArrow(run, "host string, h long").groupBy("host", "h").agg(F.count("*").alias("n"))
-    counts = stored(counts.filter((F.col("n") >= least_pages) | F.col("h").isNull()), "subtrees")
-    hosts = counts.filter("h IS NULL").select("host", F.col("n").alias("pages"))
-    return counts.filter("h IS NOT NULL").join(hosts, "host").filter(F.col("n") >= least_share * F.col("pages")).select("h").distinct()
+    pairs = pages.select(url, text).mapInArrow(run, "host string, h long, part long").distinct()
+    counts = stored(pairs.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages), "subtrees")
+    hosts = pages.select(url).mapInArrow(count, "host string").groupBy("host").agg(F.count("*").alias("pages"))
+    return counts.join(hosts, "host").filter(F.col("n") >= least_share * F.col("pages")).select("h").distinct()
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_most: int = BROADCAST_MOST) -> DataFrame:
     """One row for each row: key, url, text, n_chars (code points of text).
 
-    Deletes the host's templates and the parts that markup itself names as menus, headers, footers, sidebars, notices,
+    Deletes the host's templates, inside articles too, and the parts that markup itself names as menus, headers, footers, sidebars, notices,
     adverts, forms or comments. Null or empty html gives an empty text; a null url is the empty host; repeated rows give
     repeated results. Columns of pages other than these three are not read.
     """
@@ -230,7 +238,7 @@ def _extracted(b: pa.RecordBatch, gone: list[set[int]], names: list[str]) -> pa.
     out = []
     for u, t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), gone, strict=True):
         root = parse(t or "")
-        out.append(main_text(root, {i for i, h in tree_hash(root, host_of(u)).items() if h in g} if g else set()))
+        out.append(main_text(root, {i for i, (h, _) in tree_hash(root, host_of(u)).items() if h in g} if g else set()))
     return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=names)
 
 
@@ -241,7 +249,7 @@ def _joined(pages: DataFrame, found: DataFrame, key: str, url: str, text: str) -
         for b in batches:
             d, hs = [], []
             for m, u, t in zip(*(b.column(c).to_pylist() for c in ("m", "u", "t")), strict=True):
-                own = set(tree_hash(parse(t or ""), host_of(u)).values())
+                own = {h for h, _ in tree_hash(parse(t or ""), host_of(u)).values()}
                 d += [m] * len(own)
                 hs += own
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.string()), pa.array(hs, pa.int64())], names=["m", "h"])

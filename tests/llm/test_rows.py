@@ -215,6 +215,16 @@ def test_wrapped_articles_stay(spark):
         assert got == {i: f"Own {i % 100}." for i, *_ in rows}
 
 
+def test_templates_inside_articles_go(spark):
+    box = "<div class=x1><p>Get our app.</p></div>"
+    rows = [(i, f"http://a.b/{i}", f"<main><article><p>Own {i}.</p>{box}<p>End {i}.</p></article>{box}</main>") for i in range(20)]
+    rows += [(100 + i, f"http://a.b/c{i}", f"<article><p>A copied article.</p></article><p>{i}</p>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (10, 0):
+        got = {r.page_id: r.text for r in html_main.extract(df, broadcast_most=most).collect()}
+        assert got == {i: f"Own {i}.\n\nEnd {i}." if i < 100 else "A copied article." for i, *_ in rows}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("<>/!-pbdiv=\"' &;a")), max_size=60))
 def test_any_markup_is_read(text):
