@@ -76,17 +76,16 @@ def segments(places: list[int], scores: list[float], other: float) -> list[tuple
 
 
 def hits(words: list[bytes], model: Model) -> tuple[list[int], list[float]]:
-    """Places and scores of the tokens with a score above 0. The k-th time a token stands in a text counts a k-th."""
+    """Places and scores of the tokens with a score above 0. Every time a token stands in a text counts in full."""
     known, heads = model.words, model.heads
     starts = model.starts
-    at, scores, times = [], [], Counter()
+    at, scores = [], []
     for i in [i for i, w in enumerate(words) if w in known or w[:4] in starts]:
         w = words[i]
         s = known.get(w) or next((heads[w[:n]] for n in HEADS if len(w) > n and w[:n] in heads), 0.0)
         if s:
-            times[w] += 1
             at.append(i)
-            scores.append(s / times[w])
+            scores.append(s)
     return at, scores
 
 

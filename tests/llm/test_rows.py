@@ -339,6 +339,14 @@ def test_segments_are_all_maximal_ones(values):
     assert all(math.isclose(s, sum(x[a : b + 1]), abs_tol=1e-9) for s, a, b in got)
 
 
+def test_a_passage_counts_wherever_it_stands():
+    model = toxic.Model(words={b"vile": 5.0, b"nasty": 5.0}, other=-0.5)
+    passage, rest = [b"vile", b"nasty"], [b"on"] * 400
+    words = [*passage, *rest, b"vile", *rest, *passage]
+    found = toxic.passages(words, model)
+    assert [x[1:] for x in found] == [(0, 1), (803, 804)] and found[0][0] == found[1][0]
+
+
 def test_toxic_texts_are_found(spark):
     rng = random.Random(3)
     plain = lambda: " ".join(rng.choice(["on", "the", "of", "ring", "stand", "over"]) for _ in range(60))
