@@ -120,19 +120,65 @@ def rectangles(points: DataFrame, by: str, steps: int = 90) -> DataFrame:
     return best.select(by, (F.col("i") * (90.0 / steps)).alias("degrees"), (F.col("u1") - F.col("u0")).alias("length"), (F.col("v1") - F.col("v0")).alias("width"), "area", (cu * F.cos(angle) - cv * F.sin(angle)).alias("cx"), (cu * F.sin(angle) + cv * F.cos(angle)).alias("cy"))
 
 
-def planes(points: DataFrame, threshold: float = 0.025, hypotheses: int = 48, most: int = 20, least_inliers: int = 50, seed: int = 42) -> list[dict]:
+def _proposed(rest: DataFrame, columns: str, hypotheses: int, seed: int) -> np.ndarray:
+    """`hypotheses` groups of as many points as there are columns. A cloud with fewer points than that takes has its points drawn again."""
+    k = len(columns)
+    sample = rest.orderBy(F.xxhash64("point_id", F.lit(seed))).limit(k * hypotheses).select(*columns).collect()
+    p = np.array([tuple(r) for r in sample], float).reshape(-1, k)
+    if k <= len(p) < k * hypotheses:
+        rng = np.random.default_rng(seed)
+        p = p[np.concatenate([rng.choice(len(p), k, replace=False) for _ in range(hypotheses)])]
+    return p[: len(p) // k * k].reshape(-1, k, k)
+
+
+def _near(pdf: pd.DataFrame, normals: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """For a thousand points at a time, which of them are within the threshold of each plane or line."""
+    p = pdf[list("xyz"[: normals.shape[1]])].to_numpy(float)
+    for at in range(0, len(p), 1000):
+        yield np.abs(p[at : at + 1000] @ normals.T - offsets) <= threshold
+
+
+def _inliers(points: DataFrame, normals: np.ndarray, offsets: np.ndarray, threshold: float) -> np.ndarray:
+    """Inliers of each proposal, counted in one scan; a task hands on one row for each proposal that has any."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(normals), np.int64)
+        for pdf in batches:
+            for near in _near(pdf, normals, offsets, threshold):
+                n += near.sum(0)
+        yield pd.DataFrame({"i": np.flatnonzero(n), "n": n[n > 0]})
+
+    out = np.zeros(len(normals), np.int64)
+    for i, n in points.mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n")).collect():
+        out[i] = n
+    return out
+
+
+def _left(points: DataFrame, found: list[dict], threshold: float) -> DataFrame:
+    """The points that no plane or line in `found` has."""
+    if not found:
+        return points
+    normals, offsets = np.array([x["normal"] for x in found]), np.array([x["offset"] for x in found])
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[~np.concatenate([x.any(1) for x in _near(pdf, normals, offsets, threshold)])]
+
+    return points.mapInPandas(keep, points.schema)
+
+
+def planes(points: DataFrame, threshold: float = 0.025, hypotheses: int = 1000, most: int = 500, least_inliers: int = 50, seed: int = 42) -> list[dict]:
     """Planes by random sample consensus, densest first: unit normal, offset (normal . p = offset) and inliers.
 
     The driver proposes planes through hashed samples of points; one scan counts the inliers of all proposals; the best is
     refined by its inliers' covariances, which Spark sums; its points go, and the next round looks at the rest. The driver
     holds three times `hypotheses` points.
     """
-    rest, found = points, []
+    flat, found = points.select("point_id", "x", "y", "z"), []
     for round_ in range(most):
-        order = F.xxhash64("point_id", F.lit(seed + round_))
-        sample = rest.orderBy(order).limit(3 * hypotheses).select("x", "y", "z").collect()
-        p = np.array([tuple(r) for r in sample], float).reshape(-1, 3)
-        p = p[: len(p) // 3 * 3].reshape(-1, 3, 3)
+        rest = _left(flat, found, threshold)
+        p = _proposed(rest, "xyz", hypotheses, seed + round_)
         n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]) if len(p) else np.zeros((0, 3))
         size = np.linalg.norm(n, axis=1)
         ok = size > 1e-9
@@ -140,31 +186,27 @@ def planes(points: DataFrame, threshold: float = 0.025, hypotheses: int = 48, mo
         if not len(n):
             break
         off = (n * p[:, 0]).sum(1)
-        near = lambda a, o, t: F.abs(sum(F.col(c) * float(x) for c, x in zip("xyz", a, strict=True)) - float(o)) <= t
-        counts = rest.agg(*[F.count_if(near(a, o, threshold)).alias(f"c{i}") for i, (a, o) in enumerate(zip(n, off, strict=True))]).first()
+        counts = _inliers(rest, n, off, threshold)
         best = int(np.argmax(counts))
         if counts[best] < least_inliers:
             break
-        fit = eigen(rest.filter(near(n[best], off[best], threshold)).select(F.lit(0).alias("g"), "x", "y", "z"), "g").first()
+        near = F.abs(sum(F.col(c) * float(x) for c, x in zip("xyz", n[best], strict=True)) - float(off[best])) <= threshold
+        fit = eigen(rest.filter(near).select(F.lit(0).alias("g"), "x", "y", "z"), "g").first()
         a = np.array([fit["nx"], fit["ny"], fit["nz"]])
         o = float(a @ np.array([fit["x"], fit["y"], fit["z"]]))
-        inside = near(a, o, threshold)
-        inliers = rest.filter(inside).count()
+        inliers = int(_inliers(rest, a[None], np.array([o]), threshold)[0])
         if inliers < least_inliers:
             break
         found.append({"normal": tuple(a.tolist()), "offset": o, "inliers": inliers})
-        rest = rest.filter(~inside)
     return found
 
 
-def lines(points: DataFrame, threshold: float = 0.05, hypotheses: int = 60, most: int = 20, least_inliers: int = 20, seed: int = 7) -> list[dict]:
+def lines(points: DataFrame, threshold: float = 0.05, hypotheses: int = 300, most: int = 100, least_inliers: int = 20, seed: int = 7) -> list[dict]:
     """Lines in the plan, longest runs of inliers first found, the same way: unit normal in the plan, offset, inliers."""
-    flat = points.select("point_id", "x", "y")
-    rest, found = flat, []
+    flat, found = points.select("point_id", "x", "y"), []
     for round_ in range(most):
-        sample = rest.orderBy(F.xxhash64("point_id", F.lit(seed + round_))).limit(2 * hypotheses).select("x", "y").collect()
-        p = np.array([tuple(r) for r in sample], float).reshape(-1, 2)
-        p = p[: len(p) // 2 * 2].reshape(-1, 2, 2)
+        rest = _left(flat, found, threshold)
+        p = _proposed(rest, "xy", hypotheses, seed + round_)
         d = p[:, 1] - p[:, 0] if len(p) else np.zeros((0, 2))
         size = np.linalg.norm(d, axis=1)
         ok = size > 1e-9
@@ -172,13 +214,11 @@ def lines(points: DataFrame, threshold: float = 0.05, hypotheses: int = 60, most
         if not len(n):
             break
         off = (n * p[ok, 0]).sum(1)
-        near = lambda a, o: F.abs(F.col("x") * float(a[0]) + F.col("y") * float(a[1]) - float(o)) <= threshold
-        counts = rest.agg(*[F.count_if(near(a, o)).alias(f"c{i}") for i, (a, o) in enumerate(zip(n, off, strict=True))]).first()
+        counts = _inliers(rest, n, off, threshold)
         best = int(np.argmax(counts))
         if counts[best] < least_inliers:
             break
-        found.append({"normal": tuple(n[best].tolist()), "offset": float(off[best]), "inliers": counts[best]})
-        rest = rest.filter(~near(n[best], off[best]))
+        found.append({"normal": tuple(n[best].tolist()), "offset": float(off[best]), "inliers": int(counts[best])})
     return found
 
 

@@ -596,7 +596,7 @@ def point_normals(spark, sf):
 
 @query()
 def plane_detection(spark, sf):
-    rows = [(i, *p["normal"], p["offset"], p["inliers"]) for i, p in enumerate(fits.planes(view(spark, sf, PTS), hypotheses=32, most=6))]
+    rows = [(i, *p["normal"], p["offset"], p["inliers"]) for i, p in enumerate(fits.planes(view(spark, sf, PTS)))]
     return spark.createDataFrame(rows, "plane long, nx double, ny double, nz double, offset double, inliers long")
 
 

@@ -67,6 +67,18 @@ def test_lines_of_a_plan(spark):
     assert {tuple(np.round(np.abs(x["normal"])).astype(int)) for x in found} == {(0, 1), (1, 0)}
 
 
+def test_all_planes_and_lines_are_found(spark, monkeypatch):
+    from plumbline.plans import catalog
+
+    rng = np.random.default_rng(5)
+    slabs = cloud(spark, [(*rng.uniform(0, 10, 2), float(i % 8)) for i in range(8 * 60)], surface=[0] * 480)
+    monkeypatch.setattr(catalog, "view", lambda *_: slabs)
+    assert sorted(round(r.offset) for r in catalog.QUERIES["plane_detection"](spark, "").collect()) == list(range(8))
+    rows = cloud(spark, [(rng.uniform(0, 6), float(i % 25) / 4, 1.5) for i in range(25 * 30)], surface=[0] * 750)
+    monkeypatch.setattr(catalog, "view", lambda *_: rows)
+    assert catalog.QUERIES["floor_plan_lines"](spark, "").count() == 25
+
+
 def test_rigid_fit_and_icp(spark):
     a = math.radians(8)
     rot, shift = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]]), np.array([0.05, -0.04, 0.02])
