@@ -581,7 +581,7 @@ def euclidean_clusters(spark, sf):
 
 @query()
 def dbscan_clusters(spark, sf):
-    return clusters.dbscan(view(spark, sf, PTS).filter("surface = 5"), 0.6, 8)
+    return clusters.dbscan(view(spark, sf, PTS), 0.6, 8)
 
 
 @query()
@@ -591,7 +591,7 @@ def pca_features(spark, sf):
 
 @query()
 def point_normals(spark, sf):
-    return fits.normals(view(spark, sf, PTS).filter("surface < 2"), 0.5)
+    return fits.normals(view(spark, sf, PTS), 0.5)
 
 
 @query()

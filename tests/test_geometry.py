@@ -79,6 +79,21 @@ def test_all_planes_and_lines_are_found(spark, monkeypatch):
     assert catalog.QUERIES["floor_plan_lines"](spark, "").count() == 25
 
 
+def test_clusters_and_normals_are_those_of_the_whole_cloud(spark, monkeypatch):
+    from plumbline.plans import catalog
+
+    xyz = np.random.default_rng(6).uniform(0, 2, (240, 3))
+    df = cloud(spark, xyz, surface=[i % 6 for i in range(240)])
+    monkeypatch.setattr(catalog, "view", lambda *_: df)
+    near = np.linalg.norm(xyz[:, None] - xyz[None], axis=2)
+    got = {r.point_id: r.n for r in catalog.QUERIES["point_normals"](spark, "").collect()}
+    assert len(got) == 240 and (len(set(got.values())) > 1)
+    core = (near <= 0.6).sum(1) >= 8
+    want = core | ((near <= 0.6) & core[None]).any(1)
+    rows = [r for r in catalog.QUERIES["dbscan_clusters"](spark, "").collect() if r.cluster is not None]
+    assert {r.point_id for r in rows} == set(np.flatnonzero(want))
+
+
 def test_rigid_fit_and_icp(spark):
     a = math.radians(8)
     rot, shift = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]]), np.array([0.05, -0.04, 0.02])
