@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from .common import pieces, stored
 
-#: A subtree is a template if so many pages of its host have it, and so large a share of the host's pages.
-LEAST_PAGES, LEAST_SHARE = 5, 0.01
+#: A subtree is a template if so many different parts of its host have it, and as many as so large a share of the host's pages;
+#: the share asks for MOST_PAGES at most, so that a template goes on hosts of every size.
+LEAST_PAGES, LEAST_SHARE, MOST_PAGES = 5, 0.01, 100
 #: Templates that are broadcast, 8 bytes each; more of them are joined instead.
 BROADCAST_MOST = 1_000_000
 
@@ -179,7 +180,7 @@ def main_text(root: Node, gone: set[int]) -> str:
 
 
 def templates(pages: DataFrame, url: str = "url", text: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Hashes (h) of subtrees, host included, that recur in at least `least_pages` different parts and on `least_share` of their host's pages.
+    """Hashes (h) of subtrees, host included, that recur in at least `least_pages` different parts and on `least_share` of their host's pages, or MOST_PAGES if that is fewer.
 
     A part (the innermost article or main, else the page) counts once for a subtree, equal parts count once: copies of an
     article recur as a whole. Pairs of subtree and part are dealt by both, then counted by subtree with partial sums before
@@ -204,7 +205,7 @@ def templates(pages: DataFrame, url: str = "url", text: str = "html", least_page
     pairs = pages.select(url, text).mapInArrow(run, "host string, h long, part long").distinct()
     counts = stored(pairs.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages), "subtrees")
     hosts = pages.select(url).mapInArrow(count, "host string").groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(hosts, "host").filter(F.col("n") >= least_share * F.col("pages")).select("h").distinct()
+    return counts.join(hosts, "host").filter(F.col("n") >= F.least(least_share * F.col("pages"), F.lit(float(MOST_PAGES)))).select("h").distinct()
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_most: int = BROADCAST_MOST) -> DataFrame:

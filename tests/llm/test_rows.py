@@ -225,6 +225,12 @@ def test_templates_inside_articles_go(spark):
         assert got == {i: f"Own {i}.\n\nEnd {i}." if i < 100 else "A copied article." for i, *_ in rows}
 
 
+def test_templates_go_on_large_hosts(spark):
+    df = spark.range(12_000).selectExpr("id AS page_id", "'http://a.b/' AS url", "concat('<p>Own ', id, '.</p>', if(id < 110, '<div>A box.</div>', '')) AS html")
+    got = {r.page_id: r.text for r in html_main.extract(df).collect()}
+    assert got == {i: f"Own {i}." for i in range(12_000)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("<>/!-pbdiv=\"' &;a")), max_size=60))
 def test_any_markup_is_read(text):
