@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import scratch, shared_dir, stored
+from ..storage import scratch, shared_dir
+from ..storage import stored as _stored
 
 #: Text handled at once by a Python worker, in bytes. A longer text is handled alone.
 BLOCK_BYTES = 1 << 19
-__all__ = ["fields", "filter_text", "fold", "map_text", "pieces", "scratch", "shared_dir", "stored", "table", "trim"]
+#: Rows and bytes of an Arrow batch between Spark and its workers. Spark's defaults (10,000 rows, 64 MB) hold several times
+#: more in the executor's and the worker's memory than a block.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+__all__ = ["fields", "filter_text", "fold", "lean", "map_text", "pieces", "scratch", "shared_dir", "stored", "table", "trim"]
 
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
 
@@ -31,6 +35,18 @@ def fold(key: str, k: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % k
 
 
+def lean(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless it has bounds of its own. Read when a query is planned, so they are left set."""
+    for name, default, ours in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", ours) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    lean(df.sparkSession)
+    return _stored(df, name)
+
+
 def fields(ddl: str) -> list[T.StructField]:
     return list(T._parse_datatype_string(ddl).fields)
 
@@ -65,6 +81,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], ddl: str, make: Callable
     `make` is called once a task; what it returns gets the texts of a slice (nulls stay null) and
     returns one list or Arrow array for each added column. No shuffle, memory bounded by the slice.
     """
+    lean(df.sparkSession)
     added = fields(ddl)
     names = [*keep, *[f.name for f in added]]
     if len(set(names)) < len(names):
@@ -83,6 +100,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], ddl: str, make: Callable
 
 def filter_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.StringArray], list]]) -> DataFrame:
     """The rows of df, all columns as they are, whose texts get a true value from `make`'s function."""
+    lean(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -25,7 +25,9 @@ from .common import map_text
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Entries that a worker remembers of words, parts (twice) and pairs of pieces (four times); beyond them it begins anew.
-REMEMBERED = 80_000
+REMEMBERED = 60_000
+#: Bytes of text that are encoded at once: equal words are looked up once in them.
+ENCODED = 2 << 20
 #: Instead of a piece: nothing to merge with.
 NOTHING = -1
 #: What an unknown character costs below the least score, in unigram files.
@@ -293,7 +295,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", outp
 
         return f
 
-    return map_text(docs, text, keep, f"{output} array<int>", make, 4 << 20)
+    return map_text(docs, text, keep, f"{output} array<int>", make, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids", output: str = "decoded") -> DataFrame:

@@ -24,7 +24,7 @@ _powers = {_STEP: np.ones(1, U), _INVERSE: np.ones(1, U)}
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers[base]) < n:
-        p = np.full(max(n, 1 << 21), base, U)
+        p = np.full(max(n, 1 << 19), base, U)
         p[0] = 1
         _powers[base] = np.cumprod(p, dtype=U)
     return _powers[base][:n]
