@@ -222,13 +222,13 @@ def test_templates_inside_articles_go(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     for most in (10, 0):
         got = {r.page_id: r.text for r in html_main.extract(df, broadcast_most=most).collect()}
-        assert got == {i: f"Own {i}.\n\nEnd {i}." if i < 100 else "A copied article." for i, *_ in rows}
+        assert got == {i: f"Own {i}.\n\nEnd {i}." if i < 100 else f"A copied article.\n\n{i - 100}" for i, *_ in rows}
 
 
 def test_templates_go_on_large_hosts(spark):
-    df = spark.range(12_000).selectExpr("id AS page_id", "'http://a.b/' AS url", "concat('<p>Own ', id, '.</p>', if(id < 110, '<div>A box.</div>', '')) AS html")
+    df = spark.range(12_000).selectExpr("id AS page_id", "'http://a.b/' AS url", "concat('<p>Own text ', id, '.</p>', if(id < 110, '<div>A box here.</div>', '')) AS html")
     got = {r.page_id: r.text for r in html_main.extract(df).collect()}
-    assert got == {i: f"Own {i}." for i in range(12_000)}
+    assert got == {i: f"Own text {i}." for i in range(12_000)}
 
 
 @settings(max_examples=100, deadline=None)
@@ -293,26 +293,6 @@ def test_counts_are_the_librarys(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
-def test_both_libraries_agree_below_the_limit():
-    count = tokens.counter(BPE)
-    texts = [a + chr(c) + b for c in range(0x250) for a in ("a", " ", "'", "1") for b in ("b", " ", "  x")]
-    assert list(map(count, texts)) == library_counts(texts)
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "é", "梦", "1", "'s", ",", "<|endoftext|>"]), max_size=120).map("".join), st.integers(4, 40), st.integers(1, 20))
-def test_spliced_chunks_are_the_whole(text, chunk, overlap):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(BPE)
-
-    def encode(x):
-        e = t.encode(x, add_special_tokens=False)
-        return e.ids, [a for a, _ in e.offsets], [b for _, b in e.offsets]
-
-    assert tokens.splice(encode, text, chunk, overlap) == encode(text)[0]
-
-
 def test_merges_out_of_order_have_no_ranks():
     with open(BPE, encoding="utf-8") as f:
         spec = json.load(f)
