@@ -3,7 +3,8 @@
 Texts with the same set of shingles form a class, which is joined once. Pairs that are already known to be in one
 component are not looked for again: a shingle that very many classes share links them to one of them first, and only
 members that are still apart then meet each other, in tiles. So no link between components is lost, and copies in their
-thousands make no pairs of their own.
+thousands make no pairs of their own. Links inside a component are counted at its end, class by class in tiles, so that
+each row has the number of its links though no pair is written.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
+from ..operators.joins import hot_join
 from .common import pieces, stored
 from .textops import NONSPACE, U, mix, words
 
@@ -32,6 +34,8 @@ CROWD = 8
 BROADCAST_ROWS = 1_000_000
 #: Rows of a shingle, by the table, above which it is dealt out over several tasks, and members of a tile.
 HOT, TILE = 100_000, 2048
+#: Classes, and shingles, of a component that meet at once when its links are counted; and columns of a block of their matrix.
+LINK_TILE, LINK_SHINGLES, LINK_COLUMNS = 256, 1 << 20, 4096
 #: Cells of the histograms by which the suffix filter bounds the overlap. A cell that holds FULL is not counted on.
 CELLS, FULL = 128, 255
 
@@ -383,19 +387,117 @@ def apart(crowds: DataFrame, known: DataFrame, cells: DataFrame, num: int, den:
     return tiled.select("crowd", "i", "j", "node", "n", "p", "c", "main", "out", "cells", "crowds").groupBy("crowd", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row for each row of docs: k (the key), h (xxhash64 of the text), n_shingles, root (its component's name), component_id.
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of these sorted sets share, in blocks of columns of their 0/1 matrix."""
+    m = len(sets)
+    values = np.concatenate(sets)
+    of = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    new = np.concatenate(([True], values[1:] != values[:-1]))
+    twice = np.concatenate((~new[1:], [False])) | ~new  # an element of one set alone is shared with none
+    column = np.cumsum(new[twice]) - 1
+    of = of[twice]
+    out = np.zeros((m, m), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_COLUMNS):
+        a, b = np.searchsorted(column, (at, at + LINK_COLUMNS))
+        block = np.zeros((m, LINK_COLUMNS), np.float32)
+        block[of[a:b], column[a:b] - at] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
+
+def link_counts(members: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """(set, links): how many rows have a text that links with this class's, but another set.
+
+    `members` has set, k, h (a text of the class), n, c (rows of the class) and root of all classes in components of several. A
+    component's classes are dealt over buckets of about LINK_TILE classes and LINK_SHINGLES shingles; every two buckets meet
+    in a tile. Tiles are sorted streams, of which a task holds one at a time.
+    """
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / LINK_TILE), F.ceil(F.sum("n") / LINK_SHINGLES), F.lit(1)).cast("int").alias("tiles"), F.count("*").alias("m"))
+    total = members.count()
+    wanted = hot_join(members, sizes, "root", "m", total, "inner").withColumn("mine", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
+    w = small(stored(wanted, "linking")).alias("w")
+    texts = docs.select(F.col(key).alias("__k"), F.xxhash64(text).alias("__h"), F.col(text).alias("t"))
+    found = texts.join(w, texts["__k"].eqNullSafe(F.col("w.k")) & (texts["__h"] == F.col("w.h"))).select("w.set", "w.c", "w.root", "w.tiles", "w.mine", "t")
+    names = ["root", "i", "j", "set", "c", "mine", "s"]
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a text that is there again and again is sent once by a task
+        for batch in batches:
+            for b in pieces(iter([batch]), "t"):
+                out = []
+                for v, c, root, tiles, mine, s in zip(*(b.column(x).to_pylist() for x in ("set", "c", "root", "tiles", "mine")), shingle_sets(b.column("t"), n), strict=True):
+                    if mark(s) == v and v not in seen:
+                        if len(seen) >= 1 << 18:
+                            seen.clear()
+                        seen.add(v)
+                        packed = (s >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                        out += [(root, min(mine, o), max(mine, o), v, c, mine, packed) for o in range(tiles)]
+                        if len(out) * (len(packed) + 40) > 4 << 20:
+                            yield _batch(out, names, _SENT)
+                            out = []
+                if out:
+                    yield _batch(out, names, _SENT)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, done = None, {}, []
+
+        def close() -> None:
+            keys = list(held)
+            if len(keys) < 2:
+                return
+            c = np.array([held[k][0] for k in keys], np.int64)
+            mine = np.array([held[k][1] for k in keys])
+            sets = [np.sort(opened(held[k][2])) for k in keys]
+            size = np.array([len(s) for s in sets], np.int64)
+            common = shared_counts(sets)
+            links = den * common >= num * (size[:, None] + size[None, :] - common)
+            np.fill_diagonal(links, False)
+            if tile[1] != tile[2]:  # classes of one bucket meet in their own tile
+                links &= mine[:, None] != mine[None, :]
+            done.extend(zip(keys, (links @ c).tolist(), strict=True))
+
+        for b in batches:
+            for root, i, j, v, c, mine, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (root, i, j) != tile:
+                    close()
+                    tile, held = (root, i, j), {}
+                held[v] = (c, mine, s)  # a repeated row of the text counts once
+            if len(done) > 10_000:
+                yield _batch(done, ["set", "links"], (pa.int64(), pa.int64()))
+                done = []
+        close()
+        if done:
+            yield _batch(done, ["set", "links"], (pa.int64(), pa.int64()))
+
+    dealt = found.mapInArrow(sent, "root long, i int, j int, set long, c long, mine int, s binary")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
+    tiles = dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return tiles.mapInArrow(counted, "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
+
+
+_SENT = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10, links: bool = True) -> DataFrame:
+    """One row for each row of docs: k (the key), h (xxhash64 of the text), n_shingles, root (its component's name), component_id, n_links.
 
     Two texts link when den * common >= num * all of their distinct shingles of n words, which are found exactly (but for
-    equal 64-bit hashes). component_id is the smallest key reachable by links, its own included; rows that share a key are
-    one document. A text without words is empty, links with nothing and has no root. Null keys never are the smallest: a
+    equal hashes: 64 bits, 48 in verification). component_id is the smallest key reachable by links, its own included; rows that
+    share a key are one document. n_links counts the other rows that this row's text links with, copies included (null
+    unless `links`). A text without words is empty, links with nothing and has no root. Null keys never are the smallest: a
     component of null keys alone has none. Repeated rows give repeated results; an empty table gives none.
     """
     rows = stored(profile(docs, key, text, n), "profile")
     named = rows.filter("kind = 0").drop("kind")
     counts = _counts(rows.filter("kind = 1").select("set", "n"))
-    classes = stored(named.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct(F.col("k").isNull().alias("no"), "k", "h")).alias("x"), F.max("n").alias("n")).select("set", "x.k", "x.h", "n"), "classes")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    classes = stored(named.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct(F.col("k").isNull().alias("no"), "k", "h")).alias("x"), F.max("n").alias("n"), F.count("*").alias("c")).select("set", "x.k", "x.h", "n", "c"), "classes")
+    total, n_rows, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     parts = max(8, -(-total * (den - num) // (den * POSTINGS)))
     found = stored(met(postings(docs, key, text, n, num, den, counts, parts), parts, num, den), "met")
     cells = found.filter("kind = 2").select(F.col("a").alias("node"), "cells").dropDuplicates(["node"]).join(classes.select(F.col("set").alias("node"), "n"), "node")
@@ -403,8 +505,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     same_key = named.filter("k IS NOT NULL AND set IS NOT NULL").groupBy("k").agg(F.min("set").alias("a"), F.max("set").alias("b"), F.collect_set("set").alias("sets")).filter("a <> b").select("a", F.explode("sets").alias("b"))
     pairs = close(found.filter("kind = 0").select("a", "b").distinct(), cells, num, den)
     check = lambda pairs: verified(pairs, docs, classes, key, text, n, num, den)
-    links = check(pairs).unionByName(same_key)
-    known = stored(components(links), "components")
+    known = stored(components(check(pairs).unionByName(same_key)), "components")
     if not crowds.isEmpty():
         more = stored(apart(crowds, known, cells.select("node", "cells"), num, den), "apart")
         if not more.isEmpty():
@@ -412,14 +513,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
             again = check(more).join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
             joined = again.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
             known = stored(components(joined.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))), "components")
-    member = stored(named.join(known.withColumnRenamed("node", "set"), "set", "left").select("k", "h", F.col("n").alias("n_shingles"), F.coalesce("root", "set").alias("root")), "members")
-    first = member.filter("root IS NOT NULL").groupBy("root").agg(F.min("k").alias("component_id"))
-    return member.join(first, "root", "left").select("k", "h", "n_shingles", "root", F.when(F.col("root").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"))
+    rooted = classes.join(known.withColumnRenamed("node", "set"), "set", "left").withColumn("alone", F.col("root").isNull()).withColumn("root", F.coalesce("root", "set"))
+    first = rooted.groupBy("root").agg(F.min("k").alias("component_id"), F.count("*").alias("m"))
+    member = stored(hot_join(rooted, first, "root", "m", n_classes), "classes_rooted")
+    if links:
+        counted = link_counts(member.filter("NOT alone").select("set", "k", "h", "n", "c", "root"), docs, key, text, n, num, den)
+        member = member.join(counted, "set", "left").withColumn("n_links", F.col("c") - 1 + F.coalesce("links", F.lit(0)))
+    else:
+        member = member.withColumn("n_links", F.lit(None).cast("long"))
+    table = stored(member.select("set", "root", "component_id", "n_links", "c"), "classes_linked")
+    out = hot_join(named.withColumnRenamed("n", "n_shingles"), table, "set", "c", n_rows)
+    none = F.lit(0) if links else F.lit(None)
+    return out.select("k", "h", "n_shingles", "root", F.when(F.col("root").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", none).cast("long").alias("n_links"))
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """key, n_shingles, component_id of each row; see groups()."""
-    return groups(docs, key, text, n, num, den).select(F.col("k").alias(key), "n_shingles", "component_id")
+    """key, n_shingles, component_id, n_links of each row; see groups()."""
+    return groups(docs, key, text, n, num, den).select(F.col("k").alias(key), "n_shingles", "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -427,10 +537,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     Of repeated rows of that key one stays. Texts without words all stay, and of a component of null keys one stays.
     """
-    found = stored(groups(docs, key, text, n, num, den), "groups")
+    found = stored(groups(docs, key, text, n, num, den, links=False), "groups")
     stays = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("no"), "k", "h")).alias("x"), F.count("*").alias("c"))
-    chosen = stays.select("root", F.col("x.k").alias("k0"), F.col("x.h").alias("h0"))
-    gone = stored(found.join(chosen, "root").filter(~(F.col("k").eqNullSafe(F.col("k0")) & (F.col("h") == F.col("h0")))).select(F.col("k").alias("__k"), F.col("h").alias("__g")).distinct(), "gone")
+    chosen = stays.select("root", F.col("x.k").alias("k0"), F.col("x.h").alias("h0"), "c")
+    gone = stored(hot_join(found, chosen, "root", "c", found.count(), "inner").filter(~(F.col("k").eqNullSafe(F.col("k0")) & (F.col("h") == F.col("h0")))).select(F.col("k").alias("__k"), F.col("h").alias("__g")).distinct(), "gone")
     again = not found.filter("root IS NOT NULL").groupBy("k", "h").count().filter("count > 1").isEmpty()
     rows = docs.withColumn("__h", F.xxhash64(text))
     left = rows.join(small(gone), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__g")), "left_anti")

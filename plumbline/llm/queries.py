@@ -89,6 +89,6 @@ common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh
 link AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
 both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (SELECT doc_id AS d, doc_id AS r FROM doc UNION SELECT reach.d, both_ways.y FROM reach JOIN both_ways ON reach.r = both_ways.x)
-SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
-FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT d AS doc_id, min(r) AS component_id FROM reach GROUP BY 1) USING (doc_id)""",
+SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS links FROM both_ways GROUP BY 1) USING (doc_id) JOIN (SELECT d AS doc_id, min(r) AS component_id FROM reach GROUP BY 1) USING (doc_id)""",
 }

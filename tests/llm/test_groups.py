@@ -7,6 +7,7 @@ import re
 import pytest
 
 from plumbline.llm import jaccard
+from plumbline.operators import joins
 from plumbline.operators.components import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -41,6 +42,13 @@ def plain_components(rows, n, num, den):
     return [(k, len(sets[i]), min(low[find(i)], default=None)) for i, (k, _) in enumerate(rows)]
 
 
+def plain_links(rows, n, num, den):
+    """How many other rows each row's text links with."""
+    sets = plain_sets([t for _, t in rows], n)
+    linked = lambda a, b: bool(a & b) and den * len(a & b) >= num * len(a | b)
+    return [sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+
+
 def corpus(seed, families=6, size=60, edits=3):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -66,10 +74,14 @@ def test_components_are_the_plain_ones(spark, monkeypatch, n, num, den, crowd, h
     monkeypatch.setattr(jaccard, "CROWD", crowd)
     monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(jaccard, "TILE", 7)
+    monkeypatch.setattr(jaccard, "LINK_TILE", 5)
+    monkeypatch.setattr(jaccard, "LINK_COLUMNS", 16)
+    monkeypatch.setattr(joins, "HOT_ROWS", crowd)
     rows = corpus(n + crowd) + ODD
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS root", "3 AS k", "4 AS h", "5 AS component_id").repartition(5)
     got = [tuple(r) for r in jaccard.similar(df, n=n, num=num, den=den).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, plain_components(rows, n, num, den)))
+    want = [(*x, y) for x, y in zip(plain_components(rows, n, num, den), plain_links(rows, n, num, den), strict=True)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_one_of_each_stays(spark):
@@ -87,10 +99,11 @@ def test_one_of_each_stays(spark):
 def test_no_rows_no_groups(spark):
     assert jaccard.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.similar(only).collect())) == [(1, 0, 1), (2, 0, 2)]
+    assert sorted(map(tuple, jaccard.similar(only).collect())) == [(1, 0, 1, 0), (2, 0, 2, 0)]
 
 
-def test_components_of_chains_and_stars(spark):
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
     rng = random.Random(7)
     nodes = list(range(-150, 150))
     links = [(i, i + 1) for i in range(0, 60)] + [(-100, -100 + i) for i in range(1, 50)] + [(5, 5), (120, 90), (90, 75)] + [(rng.choice(nodes), rng.choice(nodes)) for _ in range(20)]

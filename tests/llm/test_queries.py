@@ -10,7 +10,7 @@ from plumbline.llm.common import fold, table
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
-    "op2": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op2": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "n_links": "bigint"},
     "op3": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
     "op4": {"doc_id": "bigint", "ids": "array<int>", "n_tokens": "bigint", "intact": "boolean"},
     "op5": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
