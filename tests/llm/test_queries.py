@@ -50,8 +50,11 @@ def test_held_out_accuracy(spark):
     assert lang.filter("lang = lang_pred").count() >= 0.97 * lang.count()
     toxic = queries.op9_toxicity(spark, sf).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out")
     assert toxic.filter("toxic = 0 AND predicted = 0").count() >= 0.95 * toxic.filter("toxic = 0").count()
-    score = queries.op6_lm_scoring(spark, sf).filter("held_out").agg({"bits_per_byte": "avg"}).first()[0]
-    assert score < 2.6
+    more = "/root/testdata/sf0.1"
+    found = queries.op9_toxicity(spark, more).join(table(spark, more, "labels").select("doc_id", "toxic"), "doc_id").filter("held_out AND toxic = 1")
+    assert found.filter("predicted = 1").count() >= 0.9 * found.count() > 0
+    held = queries.op6_lm_scoring(spark, sf).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert held["sum(score)"] > 0.985 * held["sum(base_score)"]
 
 
 def test_folds_are_crc32(spark):

@@ -431,7 +431,8 @@ def tree_of(texts, least=1):
             level.setdefault(x >> 8 & (1 << 8 * d) - 1, np.zeros(256, np.int64))[x & 255] += 1
         level = {c: n for c, n in level.items() if not d or n.sum() >= least and c & (1 << 8 * (d - 1)) - 1 in levels[-1]}
         levels.append(level)
-    return ctw.build(levels), levels
+    rows = [[(c, x, int(n)) for c, own in level.items() for x, n in enumerate(own) if n] for level in levels]
+    return ctw.build([tuple(np.array([r[i] for r in own], np.int64) for i in range(3)) for own in rows]), levels
 
 
 @pytest.mark.parametrize("least", [1, 3])
@@ -456,7 +457,7 @@ def test_tree_is_the_weighted_one(least):
         rest = own - sum(levels[d + 1][k] for k in kids)
         return float(np.logaddexp(kt(own), kt(rest) + sum(weighted(d + 1, k, bit_path) for k in kids)) - math.log(2))
 
-    total = tree.logp.astype(float)
+    total = tree.logp.astype(float)[:, tree.column]
     assert np.allclose((10**total).sum(1), 1, atol=1e-4)
     # A byte's chance is the ratio of the weighted probabilities with and without it, decision by decision.
     data = "dabr".encode()
@@ -477,10 +478,28 @@ def test_tree_is_the_weighted_one(least):
             want += weighted(0, 0, path) - before
             for d, c in changed:
                 levels[d][c][byte] -= 1
-        p = tree.logp[tree.places(np.array([x], np.uint64))[0], byte]
+        p = tree.logp[tree.places(np.array([x], np.uint64))[0], tree.column[byte]]
         assert math.isclose(p, want / math.log(10), abs_tol=1e-4)
 
 
+@pytest.mark.parametrize(("least", "places"), [(1, 10**6), (3, 10**6), (2, 60)])
+def test_the_learned_tree_is_the_plain_one(spark, monkeypatch, least, places):
+    """Counts gathered in parts give the scores of a tree that plain counts give, and PLACES bounds it."""
+    texts = ["abracadabra " * 3, "abrakadabra, abra", "", "é été", None, "the cat, the hat " * 5]
+    monkeypatch.setattr(ctw, "LEAST", least)
+    monkeypatch.setattr(ctw, "NODES", 0)
+    monkeypatch.setattr(ctw, "PLACES", places)
+    built = []
+    monkeypatch.setattr(ctw, "build", lambda rows, whole=ctw.build: built.append(whole(rows)) or built[-1])
+    df = docs_of(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.score for r in ctw.score(df, df["doc_id"] < 0).collect()}
+    assert len(built[0].logp) <= places
+    if places > 100:
+        want = tree_of([t or "" for t in texts], least)[0]
+        assert len(want.logp) == len(built[0].logp)
+        assert np.allclose([got[i] for i in range(len(texts))], want.score(pa.array([t or "" for t in texts])), atol=1e-3)
+
+
 def test_grams_are_the_plain_ones():
     texts = ["abc", "", None, "é" * 9]
     g, first = ctw.grams(*ctw.raw(pa.array(texts)))
