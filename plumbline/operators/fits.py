@@ -105,19 +105,102 @@ def cylinders(points: DataFrame, by: str) -> DataFrame:
     return s.select(by, *[(F.col(f"o{x}") + F.col("a") * F.col(f"u{x}") + F.col("b") * F.col(f"v{x}")).alias(f"p{x}") for x in "xyz"], "dx", "dy", "dz", radius.alias("radius"), "length")
 
 
-def rectangles(points: DataFrame, by: str, steps: int = 90) -> DataFrame:
-    """The smallest rectangle in the plan of each group, by direction in steps of 90 / steps degrees: angle, sides, centre.
+def hull(p: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points in the plane, counterclockwise, without those on an edge."""
+    p = np.unique(np.asarray(p, float).reshape(-1, 2), axis=0)
+    if len(p) < 3:
+        return p
+    sides = []
+    for run in (p, p[::-1]):
+        side: list[np.ndarray] = []
+        for q in run:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (q[1] - side[-2][1]) - (side[-1][1] - side[-2][1]) * (q[0] - side[-2][0]) <= 0:
+                side.pop()
+            side.append(q)
+        sides += side[:-1]
+    return np.array(sides)
+
+
+def hulls(points: DataFrame, by: str) -> DataFrame:
+    """by, n, xs, ys: the convex hull in the plane of each group. Only the corners of each batch's hulls are shuffled."""
+    kind = points.schema[by].dataType.simpleString()
 
-    Each direction's extremes are combined before the shuffle, so a group's points never meet in one task.
-    """
-    turned = points.select(by, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i")).withColumn("angle", F.radians(F.col("i") * (90.0 / steps)))
-    u = F.col("x") * F.cos("angle") + F.col("y") * F.sin("angle")
-    v = F.col("y") * F.cos("angle") - F.col("x") * F.sin("angle")
-    s = turned.groupBy(by, "i").agg(F.min(u).alias("u0"), F.max(u).alias("u1"), F.min(v).alias("v0"), F.max(v).alias("v1"))
-    best = s.groupBy(by).agg(F.min(F.struct(F.round((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0")), 9).alias("area"), "i", "u0", "u1", "v0", "v1")).alias("m")).select(by, "m.*")
-    angle = F.radians(F.col("i") * (90.0 / steps))
-    cu, cv = (F.col("u0") + F.col("u1")) / 2, (F.col("v0") + F.col("v1")) / 2
-    return best.select(by, (F.col("i") * (90.0 / steps)).alias("degrees"), (F.col("u1") - F.col("u0")).alias("length"), (F.col("v1") - F.col("v0")).alias("width"), "area", (cu * F.cos(angle) - cv * F.sin(angle)).alias("cx"), (cu * F.sin(angle) + cv * F.cos(angle)).alias("cy"))
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, float(x), float(y), len(g) if i == 0 else 0) for k, g in pdf.groupby(by, dropna=False) for i, (x, y) in enumerate(hull(g[["x", "y"]].to_numpy(float)))]
+            yield pd.DataFrame(rows, columns=[by, "x", "y", "n"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = hull(pdf[["x", "y"]].to_numpy(float))
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [int(pdf["n"].sum())], "xs": [h[:, 0].tolist()], "ys": [h[:, 1].tolist()]})
+
+    corners = points.select(by, "x", "y").dropna(subset=["x", "y"]).mapInPandas(partial, f"{by} {kind}, x double, y double, n long")
+    return corners.groupBy(by).applyInPandas(whole, f"{by} {kind}, n long, xs array<double>, ys array<double>")
+
+
+def smallest_rectangle(h: np.ndarray) -> tuple[float, float, float, float, float, float]:
+    """Degrees in [0, 90), length, width, area and centre of the smallest rectangle around a hull: one of its sides lies on an edge."""
+    edges = np.diff(np.vstack([h, h[:1]]), axis=0) if len(h) > 1 else np.zeros((1, 2))
+    best = None
+    for e in edges:
+        angle = math.atan2(e[1], e[0]) % (math.pi / 2)
+        c, s = math.cos(angle), math.sin(angle)
+        u, v = h[:, 0] * c + h[:, 1] * s, h[:, 1] * c - h[:, 0] * s
+        length, width = float(np.ptp(u)), float(np.ptp(v))
+        cu, cv = (u.max() + u.min()) / 2, (v.max() + v.min()) / 2
+        found = (round(length * width, 9), math.degrees(angle), length, width, float(cu * c - cv * s), float(cu * s + cv * c))
+        best = found if best is None or found < best else best
+    area, degrees, length, width, cx, cy = best
+    return degrees, length, width, area, cx, cy
+
+
+def simplified(line: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker: the points of a line that keep it within the tolerance; its ends stay."""
+    line = np.asarray(line, float).reshape(-1, 2)
+    keep = np.zeros(len(line), bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(line) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        d, way = line[a + 1 : b] - line[a], line[b] - line[a]
+        size = float(np.hypot(*way))
+        off = np.abs(d[:, 0] * way[1] - d[:, 1] * way[0]) / size if size else np.hypot(d[:, 0], d[:, 1])
+        i = int(off.argmax())
+        if off[i] > tolerance:
+            keep[a + 1 + i] = True
+            todo += [(a, a + 1 + i), (a + 1 + i, b)]
+    return line[keep]
+
+
+def rectangles(points: DataFrame, by: str) -> DataFrame:
+    """The smallest rectangle in the plan around each group: angle, sides, area, centre, from the group's hull."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [smallest_rectangle(np.stack([x, y], 1)) for x, y in zip(pdf["xs"], pdf["ys"], strict=True)]
+            yield pd.concat([pdf[[by]].reset_index(drop=True), pd.DataFrame(rows, columns=["degrees", "length", "width", "area", "cx", "cy"])], axis=1)
+
+    kind = points.schema[by].dataType.simpleString()
+    return hulls(points, by).mapInPandas(run, f"{by} {kind}, degrees double, length double, width double, area double, cx double, cy double")
+
+
+def polygons(points: DataFrame, by: str, tolerance: float = 0.05) -> DataFrame:
+    """The outline of each group: its hull, simplified, with its area by the shoelace formula and its number of corners."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for x, y in zip(pdf["xs"], pdf["ys"], strict=True):
+                h = np.stack([x, y], 1)
+                line = simplified(np.vstack([h, h[:1]]), tolerance)[:-1] if len(h) > 2 else h
+                u, v = line[:, 0], line[:, 1]
+                out.append((line[:, 0].tolist(), line[:, 1].tolist(), len(line), 0.5 * abs(float(np.dot(u, np.roll(v, -1)) - np.dot(v, np.roll(u, -1))))))
+            yield pd.concat([pdf[[by, "n"]].reset_index(drop=True), pd.DataFrame(out, columns=["xs", "ys", "corners", "area"])], axis=1)
+
+    kind = points.schema[by].dataType.simpleString()
+    return hulls(points, by).mapInPandas(run, f"{by} {kind}, n long, xs array<double>, ys array<double>, corners long, area double")
 
 
 def _proposed(rest: DataFrame, columns: str, hypotheses: int, seed: int) -> np.ndarray:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spatial
+from ..storage import stored
 
 
 def cell(c: str, size: float, origin: float = 0.0) -> Column:
@@ -97,18 +98,70 @@ def covariances(points: DataFrame, by: str = "surface") -> DataFrame:
     return points.groupBy(by).agg(*[F.round(F.covar_samp(a, b), 4).alias(f"c{a}{b}") for i, a in enumerate("xyz") for b in "xyz"[i:]])
 
 
-def outliers(points: DataFrame, k: int = 6, radius: float = 0.6, ratio: float = 2.0) -> DataFrame:
-    """Points whose mean distance to their k nearest within the radius exceeds mean + ratio * deviation over all points.
+def nearest_distances(points: DataFrame, k: int, key: str = "point_id", occupancy: float = 4.0) -> DataFrame:
+    """key and distances: those to the k nearest other points, nearest first; fewer where the cloud has fewer. Exact at any density.
 
-    A point with fewer neighbours takes the radius for each that is missing, so lone points stand out.
+    A point looks at its cell and the 26 around it. Its k-th distance is final if it isn't longer than a cell, as all nearer
+    points are among these; the others look again with cells twice as wide. Cells begin so small that an occupied one holds about
+    `occupancy` points, so a dense part makes no more pairs than a sparse one. Points with a null coordinate take no part.
     """
-    pairs = spatial.k_nearest(points, points.withColumnRenamed("point_id", "other"), "point_id", "other", k + 1, radius, ("x", "y", "z"))
-    mean = pairs.filter(F.col("point_id") != F.col("other")).filter(F.col("rank") <= k + 1).groupBy("point_id").agg(F.sum("distance").alias("s"), F.count("*").alias("m"))
-    own = points.select("point_id").join(mean, "point_id", "left").withColumn("d", (F.coalesce("s", F.lit(0.0)) + (k - F.least(F.coalesce("m", F.lit(0)), F.lit(k))) * radius) / k)
+    own = points.select(F.col(key).alias("id"), "x", "y", "z").dropna(subset=["x", "y", "z"])
+    n, *ends = own.agg(F.count("*"), *[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
+    if not n:
+        return own.select(F.col("id").alias(key), F.array().cast("array<double>").alias("distances"))
+    span = max(b - a for a, b in zip(ends[::2], ends[1::2], strict=True))
+    low = dict(zip("xyz", ends[::2], strict=True))
+    size = max(span, 1e-9)
+    while size > span / (1 << 18):  # halve while cells are crowded; one grouped count each
+        cells = own.groupBy(*[cell(c, size / 2, low[c]) for c in "xyz"]).count().count()
+        size /= 2
+        if n / cells <= occupancy:
+            break
+    # Points of one place share a cell of any width, so each place is one row with its number of points.
+    places = stored(own.groupBy("x", "y", "z").agg(F.count("*").alias("m")), "places")
+    todo, done = places, None
+    while True:
+        at = lambda df, s=size: df.withColumns({f"c{c}": cell(c, s, low[c]) for c in "xyz"})
+        shift = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"s{c}") for c, v in zip("xyz", t, strict=True)]) for t in itertools.product((-1, 0, 1), repeat=3)]))
+        mine = at(todo).withColumn("s", shift).select("x", "y", "z", "m", *[(F.col(f"c{c}") + F.col(f"s.s{c}")).alias(f"c{c}") for c in "xyz"])
+        near = at(places).select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.col("m").alias("om"), "cx", "cy", "cz")
+        d = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"))
+        # The point itself is one of its place's; of the others no more than k count.
+        times = F.least(F.lit(k), F.when(d == 0, F.col("om") - 1).otherwise(F.col("om"))).cast("int")
+        found = mine.join(near, ["cx", "cy", "cz"]).groupBy("x", "y", "z", "m").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.array_repeat(d, times)))), 1, k).alias("distances"))
+        whole = F.lit(size >= span) | ((F.size("distances") >= k) & (F.element_at("distances", -1) <= size))
+        round_ = stored(found.withColumn("whole", whole), "nearest")
+        ready = round_.filter("whole").select("x", "y", "z", "distances")
+        done = ready if done is None else done.unionByName(ready)
+        todo = round_.filter("NOT whole").select("x", "y", "z", "m")
+        if size >= span or todo.isEmpty():
+            return own.join(done, ["x", "y", "z"]).select(F.col("id").alias(key), "distances")
+        size *= 2
+
+
+def outliers(points: DataFrame, k: int | None = None, ratio: float = 2.0) -> DataFrame:
+    """Points whose mean distance to their k nearest others exceeds mean + ratio * deviation over all points.
+
+    k is a fiftieth of the points, 6 to 20, if it isn't given. A lone point has distance 0.
+    """
+    if k is None:
+        k = min(20, max(6, points.count() // 50))
+    own = nearest_distances(points, k).withColumn("d", F.coalesce(F.aggregate("distances", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("distances"), F.lit(0)), F.lit(0.0)))
+    own = stored(own.select("point_id", "d"), "mean_distances")
     limits = own.agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sigma"))
     return own.crossJoin(F.broadcast(limits)).select("point_id", F.round("d", 6).alias("mean_distance"), (F.col("d") > F.col("mu") + ratio * F.col("sigma")).alias("outlier"))
 
 
+def multi_scale_radii(points: DataFrame) -> DataFrame:
+    """Median distance to the nearest other point, and the local, middle and global radius that follow from it, in metres."""
+    d = nearest_distances(points, 1).select(F.element_at("distances", 1).alias("d")).filter("d > 1e-6")
+    clip = lambda c, a, b: F.greatest(a, F.least(c, b))
+    m = d.agg(clip(F.coalesce(F.median("d"), F.lit(0.03)), F.lit(0.005), F.lit(1.0)).alias("spacing"))
+    m = m.withColumn("local", clip(F.col("spacing") * 2.5, F.lit(0.02), F.lit(3.0)))
+    m = m.withColumn("middle", clip(F.col("spacing") * 8, F.col("local") * 1.5, F.lit(8.0)))
+    return m.withColumn("whole", clip(F.col("spacing") * 25, F.col("middle") * 1.5, F.lit(25.0)))
+
+
 def chunks(points: DataFrame, size: float = 2.0, overlap: float = 0.25) -> DataFrame:
     """Points of each overlapping square chunk of the plan: a point goes to every chunk whose halo holds it."""
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - overlap) / size), F.floor((F.col(c) + overlap) / size)))

@@ -108,3 +108,29 @@ def wall_classes(features: DataFrame) -> DataFrame:
     score = sum((parts[k] * w for k, w in SCORE.items()), F.lit(0.0)) * F.when(F.col("aligned"), 1.0).otherwise(0.8)
     score = score * F.when(F.col("curvature") > 0.30, F.greatest(F.lit(0.10), 1 - 0.75 * F.col("curvature"))).otherwise(1.0)
     return features.withColumn("score", F.greatest(F.lit(0.0), F.least(score, F.lit(1.0)))).withColumn("class", F.expr(E.case_sql(CLASSES, "other")))
+
+
+def between_levels(segments: DataFrame, base_mm: float, top_mm: float, across_mm: float = 120.0, gap_mm: float = 1200.0) -> DataFrame:
+    """Walls of a storey: vertical planes that meet its height are grouped and stand from its floor to its ceiling."""
+    own = segments.filter((F.col("shape") == "plane_vertical") & (F.col("min_z") < top_mm) & (F.col("max_z") > base_mm))
+    return wall_groups(own, across_mm, gap_mm).withColumns({"min_z": F.lit(float(base_mm)), "max_z": F.lit(float(top_mm))})
+
+
+def slabs_at(segments: DataFrame, level_mm: float, thick_mm: float = 200.0, reach_mm: float = 500.0) -> DataFrame:
+    """The floor of a level: one slab under it as wide as the horizontal planes near it; no row without any."""
+    near = segments.filter((F.col("shape") == "plane_horizontal") & (F.abs(F.col("cz") - level_mm) <= reach_mm))
+    out = near.agg(F.count("*").alias("parts"), *[F.min(f"min_{a}").alias(f"min_{a}") for a in "xy"], *[F.max(f"max_{a}").alias(f"max_{a}") for a in "xy"], F.sum("point_count").alias("points"))
+    return out.filter("parts > 0").withColumns({"min_z": F.lit(level_mm - thick_mm), "max_z": F.lit(float(level_mm))})
+
+
+def missing_sides(walls: DataFrame, base_mm: float, top_mm: float, reach_mm: float = 600.0, thick_mm: float = 200.0) -> DataFrame:
+    """Walls that close a storey: for each side of the walls' extent that no wall lies along, one on it."""
+    e = walls.agg(*[F.min(f"min_{a}").alias(f"{a}0") for a in "xy"], *[F.max(f"max_{a}").alias(f"{a}1") for a in "xy"])
+    along = walls.crossJoin(F.broadcast(e)).withColumn("along_x", E.extent("x") >= E.extent("y"))
+    sides = {"south": ("y", "y0", True), "north": ("y", "y1", True), "west": ("x", "x0", False), "east": ("x", "x1", False)}
+    there = along.agg(*[F.coalesce(F.max(((F.col("along_x") == x) & (F.abs(F.col(f"c{a}") - F.col(at)) <= reach_mm)).cast("int")), F.lit(0)).alias(name) for name, (a, at, x) in sides.items()])
+    half = thick_mm / 2
+    box = lambda a, at, x: F.struct(*([F.col("x0").alias("min_x"), F.col("x1").alias("max_x"), (F.col(at) - half).alias("min_y"), (F.col(at) + half).alias("max_y")] if x else [(F.col(at) - half).alias("min_x"), (F.col(at) + half).alias("max_x"), F.col("y0").alias("min_y"), F.col("y1").alias("max_y")]))
+    rows = F.array(*[F.struct(F.lit(name).alias("side"), F.col(name).alias("has"), box(*v).alias("b")) for name, v in sides.items()])
+    out = e.crossJoin(F.broadcast(there)).filter("x0 IS NOT NULL").select(F.explode(rows).alias("r")).filter("r.has = 0")
+    return out.select("r.side", "r.b.*", F.lit(float(base_mm)).alias("min_z"), F.lit(float(top_mm)).alias("max_z"))

@@ -308,17 +308,9 @@ def overlapping_chunks(spark, sf):
     return points.chunks(view(spark, sf, PTS)).groupBy("chunk_x", "chunk_y").agg(F.count("*").alias("n"))
 
 
-@query(
-    """WITH n AS (SELECT a.point_id, b.point_id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM points_v a JOIN points_v b ON abs(a.x - b.x) <= 0.3 AND abs(a.y - b.y) <= 0.3 AND abs(a.z - b.z) <= 0.3),
-k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS r FROM n WHERE d <= 0.3),
-m AS (SELECT point_id, sum(d) AS s, count(*) AS c FROM k WHERE r <= 7 AND other <> point_id GROUP BY 1),
-o AS (SELECT p.point_id, (coalesce(s, 0) + (6 - least(coalesce(c, 0), 6)) * 0.3) / 6 AS d FROM points_v p LEFT JOIN m USING (point_id)),
-l AS (SELECT avg(d) AS mu, stddev_pop(d) AS sigma FROM o)
-SELECT point_id, round(d, 6) AS mean_distance, d > mu + 2 * sigma AS outlier FROM o, l""",
-    PTS,
-)
+@query()
 def statistical_outliers(spark, sf):
-    return points.outliers(view(spark, sf, PTS), radius=0.3)
+    return points.outliers(view(spark, sf, PTS))
 
 
 @query("SELECT zone_id, round(points / area_m2, 4) AS density, round(noise / points, 4) AS noise_ratio, concat_ws(',', CASE WHEN points < 1000 THEN 'too_few_points' END, CASE WHEN points / area_m2 < 100 THEN 'low_density' END) AS errors, concat_ws(',', CASE WHEN noise / points > 0.1 THEN 'noisy' END, CASE WHEN area_m2 < 1 THEN 'small_area' END) AS warnings, points >= 1000 AND points / area_m2 >= 100 AS passed FROM (SELECT zone_id, sum(point_count) AS points, sum((max_x - min_x) * (max_y - min_y)) / 1e6 AS area_m2, sum(CASE WHEN shape = 'valve_candidate' THEN point_count ELSE 0 END) AS noise FROM segments_v GROUP BY 1) q", SEG)
@@ -434,10 +426,15 @@ def audit_chain(spark, sf):
     return ledger.chained(view(spark, sf, AUD), SECRET)
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS session_id, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS reason WHERE false")
+@query(
+    """WITH o AS (SELECT session_id, event_id, event_id % 50 = 0 AS bad, lag(event_id % 50 = 0) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS after FROM audit_v)
+SELECT session_id, event_id, CASE WHEN bad THEN 'hash_mismatch' ELSE 'chain_break' END AS reason FROM o WHERE bad OR after""",
+    AUD,
+)
 def audit_chain_faults(spark, sf):
-    """None, as the chain that was just built is whole; tests break it."""
-    return ledger.verified(ledger.chained(view(spark, sf, AUD), SECRET), SECRET)
+    """A ledger in which every fiftieth hash was written over: it doesn't match, and the next event doesn't link to it."""
+    chain = ledger.chained(view(spark, sf, AUD), SECRET)
+    return ledger.verified(chain.withColumn("event_hash", F.when(F.col("event_id") % 50 == 0, F.lit("0" * 64)).otherwise(F.col("event_hash"))), SECRET)
 
 
 # Metrics -----------------------------------------------------------------------------------------------------------
@@ -713,9 +710,16 @@ def cylinder_chains(spark, sf):
 _JN = " AND ".join(f"{_GAP.format(x)} <= 400" for x in "xyz")
 
 
-@query(f"WITH {_V} SELECT a.k AS a, b.k AS b, CASE WHEN (b.cx > a.min_x + 400 AND b.cx < a.max_x - 400) OR (a.cy > b.min_y + 400 AND a.cy < b.max_y - 400) THEN 'T' ELSE 'L' END AS kind FROM v a JOIN v b ON a.ax AND NOT b.ax AND {_JN}", SEG)
+_TURNED = "sv AS (SELECT * REPLACE (CASE WHEN k % 14 = 0 THEN min_x + max_y - min_y ELSE max_x END AS max_x, CASE WHEN k % 14 = 0 THEN min_y + max_x - min_x ELSE max_y END AS max_y, CASE WHEN k % 14 = 0 THEN min_x + (max_y - min_y) / 2 ELSE cx END AS cx, CASE WHEN k % 14 = 0 THEN min_y + (max_x - min_x) / 2 ELSE cy END AS cy) FROM segments_v WHERE shape = 'plane_vertical'), tv AS (SELECT *, max_x - min_x >= max_y - min_y AS ax FROM sv)"
+
+
+@query(f"WITH {_TURNED} SELECT a.k AS a, b.k AS b, CASE WHEN (b.cx > a.min_x + 400 AND b.cx < a.max_x - 400) OR (a.cy > b.min_y + 400 AND a.cy < b.max_y - 400) THEN 'T' ELSE 'L' END AS kind FROM tv a JOIN tv b ON a.ax AND NOT b.ax AND {_JN}", SEG)
 def wall_junctions(spark, sf):
-    return mep.junctions(view(spark, sf, SEG))
+    """Every second wall is turned, as those of the view all run along x."""
+    turn = F.col("k") % 14 == 0
+    walls_ = view(spark, sf, SEG).withColumns({"dx": E.extent("x"), "dy": E.extent("y")})
+    box = {"max_x": F.when(turn, F.col("min_x") + F.col("dy")).otherwise(F.col("max_x")), "max_y": F.when(turn, F.col("min_y") + F.col("dx")).otherwise(F.col("max_y"))}
+    return mep.junctions(walls_.withColumns(box).withColumns({f"c{a}": F.when(turn, (F.col(f"min_{a}") + F.col(f"max_{a}")) / 2).otherwise(F.col(f"c{a}")) for a in "xy"}).drop("dx", "dy"))
 
 
 @query(f"SELECT k, arg_min(host, (v, host)) AS host FROM (SELECT a.k, b.k AS host, {_VOL.format('b')} AS v FROM segments_v a JOIN segments_v b ON a.k <> b.k AND a.shape IN ('valve_candidate', 'cylinder') AND b.shape IN ('plane_vertical', 'plane_horizontal') AND " + " AND ".join(f"a.c{x} BETWEEN b.min_{x} - 100 AND b.max_{x} + 100" for x in "xyz") + ") q GROUP BY 1", SEG)

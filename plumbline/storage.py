@@ -6,12 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used where the session names no spark.checkpoint.dir, as in tests on one machine.
+#: Used where a session on one machine names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/plumbline"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
+    """The session's spark.checkpoint.dir, or what setCheckpointDir set; a cluster without either is refused."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_SHARED
 
 
 def scratch(spark: SparkSession, name: str) -> str:
