@@ -98,7 +98,7 @@ def covariances(points: DataFrame, by: str = "surface") -> DataFrame:
     return points.groupBy(by).agg(*[F.round(F.covar_samp(a, b), 4).alias(f"c{a}{b}") for i, a in enumerate("xyz") for b in "xyz"[i:]])
 
 
-def nearest_distances(points: DataFrame, k: int, key: str = "point_id", occupancy: float = 4.0) -> DataFrame:
+def nearest_distances(points: DataFrame, k: int, key: str = "point_id", occupancy: float | None = None) -> DataFrame:
     """key and distances: those to the k nearest other points, nearest first; fewer where the cloud has fewer. Exact at any density.
 
     A point looks at its cell and the 26 around it. Its k-th distance is final if it isn't longer than a cell, as all nearer
@@ -107,6 +107,7 @@ def nearest_distances(points: DataFrame, k: int, key: str = "point_id", occupanc
     """
     own = points.select(F.col(key).alias("id"), "x", "y", "z").dropna(subset=["x", "y", "z"])
     n, *ends = own.agg(F.count("*"), *[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
+    occupancy = occupancy or max(3.0, k / 2)
     if not n:
         return own.select(F.col("id").alias(key), F.array().cast("array<double>").alias("distances"))
     span = max(b - a for a, b in zip(ends[::2], ends[1::2], strict=True))
@@ -119,6 +120,7 @@ def nearest_distances(points: DataFrame, k: int, key: str = "point_id", occupanc
             break
     # Points of one place share a cell of any width, so each place is one row with its number of points.
     places = stored(own.groupBy("x", "y", "z").agg(F.count("*").alias("m")), "places")
+    several = places.agg(F.max("m")).first()[0] > 1
     todo, done = places, None
     while True:
         at = lambda df, s=size: df.withColumns({f"c{c}": cell(c, s, low[c]) for c in "xyz"})
@@ -127,8 +129,12 @@ def nearest_distances(points: DataFrame, k: int, key: str = "point_id", occupanc
         near = at(places).select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.col("m").alias("om"), "cx", "cy", "cz")
         d = F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"))
         # The point itself is one of its place's; of the others no more than k count.
-        times = F.least(F.lit(k), F.when(d == 0, F.col("om") - 1).otherwise(F.col("om"))).cast("int")
-        found = mine.join(near, ["cx", "cy", "cz"]).groupBy("x", "y", "z", "m").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.array_repeat(d, times)))), 1, k).alias("distances"))
+        if several:
+            all_ = F.flatten(F.collect_list(F.array_repeat(d, F.least(F.lit(k), F.when(d == 0, F.col("om") - 1).otherwise(F.col("om"))).cast("int"))))
+        else:
+            all_ = F.collect_list(F.when(d > 0, d))
+        # A distance of more than a cell is final for nobody, except in the last round.
+        found = mine.join(near, ["cx", "cy", "cz"]).filter(F.lit(size >= span) | (d <= size)).groupBy("x", "y", "z", "m").agg(F.slice(F.array_sort(all_), 1, k).alias("distances"))
         whole = F.lit(size >= span) | ((F.size("distances") >= k) & (F.element_at("distances", -1) <= size))
         round_ = stored(found.withColumn("whole", whole), "nearest")
         ready = round_.filter("whole").select("x", "y", "z", "distances")
