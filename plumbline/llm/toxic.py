@@ -124,13 +124,13 @@ def decay_of(values: np.ndarray, shares: np.ndarray, other: float) -> float:
     return low
 
 
-def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the statistic by Newton's method, with a weak pull to 0."""
+def calibrated(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Logistic regression of the label on the statistic by Newton's method, with a weak pull to 0; n says how often a pair is there."""
     a = np.stack([np.ones_like(x), x], 1)
     b = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + 1e-2 * np.eye(2), a.T @ (y - p) - 1e-2 * b)
+        step = np.linalg.solve(a.T @ (a * (n * (p * (1 - p) + 1e-9))[:, None]) + 1e-2 * np.eye(2), a.T @ (n * (y - p)) - 1e-2 * b)
         b = b + step
         if np.abs(step).max() < 1e-9:
             break
@@ -192,35 +192,37 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, key: str = "doc_id",
     model.starts = {h[:4] for h in model.heads}
     shared = spark.sparkContext.broadcast(model)
 
+    # What scores stand in how many tokens of clean and toxic rows: summed in tasks, one row for each value and task.
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
         for b in (piece for batch in batches for piece in pieces(iter([batch]), "t")):
-            y, n, places, values = [], [], [], []
             for t, label_ in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
                 words = normal_words(t)
-                at, scores = hits(words, shared.value)
-                y.append(int(label_ > 0))
-                n.append(len(words))
-                places.append(at)
-                values.append(scores)
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["y", "n", "at", "scores"])
-
-    rows_ = sample.mapInArrow(measured, "y int, n long, at array<long>, scores array<double>").toPandas()
-    y = rows_["y"].to_numpy(float)
-    hit = {k: float(sum(len(x) for x in rows_["at"][y == k])) + 1 for k in (0, 1)}
-    size = {k: float(rows_["n"][y == k].sum()) + 2 for k in (0, 1)}
+                found[int(label_ > 0), None] += len(words)
+                found.update((int(label_ > 0), s) for s in hits(words, shared.value)[1])
+        if found:
+            y, value, n = zip(*((*k, v) for k, v in found.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(value, pa.float64()), pa.array(n, pa.int64())], names=["y", "s", "n"])
+
+    # A value for each kept token at most, so 2 * MOST_TOKENS rows for a label.
+    rows_ = sample.mapInArrow(measured, "y int, s double, n long").groupBy("y", "s").agg(F.sum("n").alias("n")).collect()
+    size = {k: 2.0 + sum(r.n for r in rows_ if r.y == k and r.s is None) for k in (0, 1)}
+    hit = {k: 1.0 + sum(r.n for r in rows_ if r.y == k and r.s is not None) for k in (0, 1)}
     model.other = min(-0.02, math.log((1 - hit[1] / size[1]) / (1 - hit[0] / size[0])))
-    # Scores of a clean text's tokens: those seen in clean rows, and one more of each kept token's score, thinly spread.
-    clean = np.concatenate([*[np.asarray(x, float) for x in rows_["scores"][y == 0]], np.array([max([*model.words.values(), *model.heads.values()], default=1.0)])])
-    model.decay = decay_of(clean, np.full(len(clean), 1 / size[0]), model.other)
-    x = np.array([_statistic(int(n), list(at), list(s), model) for n, at, s in zip(rows_["n"], rows_["at"], rows_["scores"], strict=True)])
-    model.base, model.slope = calibrated(x, y)
-    return model
+    # Scores of a clean text's tokens: those seen in clean rows, and one more of the largest kept score, thinly spread.
+    clean = sorted((r.s, r.n) for r in rows_ if r.y == 0 and r.s is not None) + [(max([*model.words.values(), *model.heads.values()], default=1.0), 1)]
+    model.decay = decay_of(np.array([x for x, _ in clean]), np.array([n for _, n in clean]) / size[0], model.other)
+    final = spark.sparkContext.broadcast(model)
 
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (piece for batch in batches for piece in pieces(iter([batch]), "t")):
+            x = [statistic(normal_words(t), final.value) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(y > 0) for y in b.column("y").to_pylist()], pa.int32()), pa.array(x, pa.float64())], names=["y", "x"])
 
-def _statistic(n: int, at: list[int], scores: list[float], model: Model) -> float:
-    room = math.log(max(n, 2))
-    found = (model.decay * s - room for s, _, _ in segments(at, scores, model.other))
-    return math.log1p(sum(x for x in found if x > -math.log(SIGNIFICANT)))
+    # Equal pairs are counted together, so texts without a passage are one row; others are two numbers for each of SAMPLE rows.
+    rows_ = sample.mapInArrow(weighed, "y int, x double").groupBy("y", "x").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
+    model.base, model.slope = calibrated(*(np.array([r[c] for r in rows_], float) for c in ("x", "y", "n")))
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, keep: list[str], text: str = "text", least: float = 0.3) -> DataFrame:
