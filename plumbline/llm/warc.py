@@ -9,6 +9,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import hot_join
 from .common import scratch, stored
 
 #: Bytes of payload that a shard (one task's share) aims at, and compressed bytes after which a file is closed.
@@ -31,13 +33,18 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _key(value: object) -> str:
+    """A key as a header's value: whatever is not plain is percent-encoded, so that it comes back as it is."""
+    return quote(str(value), safe=" -_.:/" if str(value) == str(value).strip() else "")
+
+
 def _clean(value: object) -> str:
     return " ".join(str(value).split())
 
 
 def record(key: object, url: str | None, payload: bytes, name: str, refers_to: object = None) -> bytes:
     """One record as a gzip member. A revisit (refers_to is not None) has headers only, as its payload is stored elsewhere."""
-    target = _clean(url) if url and url.strip() else f"urn:record:{key}"
+    target = _clean(url) if url and url.strip() else f"urn:record:{quote(str(key))}"
     own = lambda k: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{k}/{name}')}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
@@ -50,10 +57,10 @@ def record(key: object, url: str | None, payload: bytes, name: str, refers_to: o
         f"WARC-Block-Digest: sha1:{digest(block)}",
         f"WARC-Payload-Digest: sha1:{name}",
         f"X-Payload-Length: {len(payload)}",
-        *([f"X-Record-Key: {key}"] if key is not None else []),
+        *([f"X-Record-Key: {_key(key)}"] if key is not None else []),
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {own(refers_to)}", f"X-Refers-To-Key: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {own(refers_to)}", f"X-Refers-To-Key: {_key(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
@@ -104,8 +111,8 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", te
     spark = pages.sparkSession
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("p"))
     named = rows.select("k", F.sha1("p").alias("d"), F.length("p").alias("n"))
-    groups = named.filter(F.col("n") >= least).groupBy("d").agg(F.max("k").alias("top"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    again = named.filter(F.col("n") >= least).join(groups, "d").filter(F.col("top").isNotNull() & ~F.col("k").eqNullSafe(F.col("top"))).select("k", "d", "top").distinct()
+    groups = named.filter(F.col("n") >= least).groupBy("d").agg(F.max("k").alias("top"), F.count("*").alias("c")).filter("c > 1")
+    again = hot_join(named.filter(F.col("n") >= least), groups, "d", "c", pages.count(), "inner").filter(F.col("top").isNotNull() & ~F.col("k").eqNullSafe(F.col("top"))).select("k", "d", "top").distinct()
     bounds = _bounds(pages, key, text, shard_bytes)
     shards = len(bounds) + 1
 
@@ -183,6 +190,7 @@ def read(spark: SparkSession, out: str, key: str = "page_id", key_type: str = "l
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(out)
+        own = lambda head, name: unquote(head[name]) if name in head else None
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for b in batches:
             for file, expected in zip(b.column("file").to_pylist(), b.column("records").to_pylist(), strict=True):
@@ -193,7 +201,7 @@ def read(spark: SparkSession, out: str, key: str = "page_id", key_type: str = "l
                         name, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                         if payload is not None and (digest(payload) != name or len(payload) != size):
                             raise ValueError(f"{file}: a payload has changed")
-                        rows.append((head.get("X-Record-Key"), head["WARC-Target-URI"], payload, size, name, head["WARC-Type"], head.get("X-Refers-To-Key")))
+                        rows.append((own(head, "X-Record-Key"), head["WARC-Target-URI"], payload, size, name, head["WARC-Type"], own(head, "X-Refers-To-Key")))
                         held, n = held + len(block), n + 1
                         if held > 4 << 20:
                             yield pack(rows)
