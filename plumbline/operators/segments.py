@@ -22,6 +22,12 @@ _UP = "(h > w AND h > d)"
 _F = "(max_e / greatest(mid_e, 1))"
 _DIA = "((min_e + mid_e) / 2.0E0)"
 _AR = f"(max_e / greatest({_DIA}, 1))"
+_FLAT = "(min_e / greatest(mid_e, 1))"
+# A tray is low against its width, not too high above the floor, no pipe, and scores 2.5 of its traits.
+_TRAY = (
+    f"max_e >= 1200 AND NOT {_UP} AND min_e <= 320 AND mid_e <= 700 AND greatest(w, d) / greatest(h, 1) >= 2 AND rz >= 800 AND rz <= 4500 AND h >= 120 AND greatest(w, d) >= 240 AND h <= 0.65 * greatest(w, d) AND {_FLAT} < 0.75"
+    f" AND CASE WHEN {_F} >= 2.2 THEN 1 ELSE 0 END + CASE WHEN {_FLAT} >= 0.2 AND {_FLAT} <= 0.6 THEN 1 ELSE 0 END + 0.75 + CASE WHEN greatest(w, d) / greatest(h, 1) >= 2.2 THEN 0.5 ELSE 0 END + CASE WHEN rz < 3500 THEN 0.5 ELSE 0 END + CASE WHEN {_F} >= 1.8 THEN 0.25 ELSE 0 END + CASE WHEN point_count >= 24 THEN 0.25 ELSE 0 END >= 2.5"
+)
 _EXT = f"({_UP} AND cz >= 700 AND cz <= 1800 AND min_e > 90 AND min_e < 300 AND mid_e < 380 AND max_e > 300 AND max_e < 1100)"
 
 # Element type by shape: rules in order, the first that holds counts. Sizes in mm; min_e, mid_e, max_e are the sorted
@@ -69,6 +75,7 @@ TYPES: dict[str, tuple[list[tuple[str, str]], str]] = {
         [
             (_PIPE, "pipe"),
             (f"point_count < 12 AND max_e < 500 AND NOT {_EXT}", "unknown"),
+            (_TRAY, "cable_tray"),
             (f"rz > 4000 AND max_e > 5000 AND NOT {_UP}", "overhead_crane"),
             ("min_e > 800 AND mid_e > 1000 AND max_e > 3000", "emergency_diesel_generator"),
             ("min_e > 500 AND mid_e > 600 AND max_e > 800 AND max_e < 4000 AND rz < 2500", "transformer"),
@@ -99,12 +106,17 @@ TYPES: dict[str, tuple[list[tuple[str, str]], str]] = {
 
 # Disciplines by element type; structural where a type is not named.
 DISCIPLINES = {
-    "architectural": ["door", "window", "railing", "ceiling", "stair", "ramp", "ladder"],
-    "piping": ["pipe", "valve", "safety_relief_valve", "strainer", "expansion_joint", "deluge_valve", "pipe_support", "drainage"],
-    "mechanical": ["tank", "pressure_vessel", "heat_exchanger", "pressurizer", "steam_generator", "pump", "compressor", "overhead_crane", "hvac_equipment", "duct"],
-    "electrical": ["cable_tray", "conduit", "electrical_panel", "switchgear", "transformer", "ups_system", "junction_box", "lighting_fitting", "emergency_diesel_generator"],
-    "fire": ["sprinkler", "smoke_detector", "fire_extinguisher", "fire_hydrant", "fire_alarm_panel"],
-}
+    "architectural": ["ceiling", "stair", "ramp", "door", "window", "railing", "ladder", "grating", "hatch"],
+    "civil": ["trench", "bund_wall", "kerb"],
+    "mep": [
+        "pipe", "conduit", "duct", "cable_tray", "hvac_equipment", "tank", "pump", "valve", "safety_relief_valve", "strainer", "expansion_joint", "pipe_support", "drainage", "electrical_panel", "pressure_vessel",
+        "heat_exchanger", "compressor", "pressurizer", "steam_generator", "emergency_diesel_generator", "radiation_monitor", "transformer", "switchgear", "ups_system", "junction_box", "lighting_fitting",
+    ],
+    "fire_protection": ["sprinkler", "fire_hydrant", "fire_extinguisher", "deluge_valve", "fire_alarm_panel", "smoke_detector", "fire_damper"],
+}
+
+# Types that authoring tools get as a core type.
+CORE = {"bund_wall": "wall", "hatch": "slab_opening", "trench": "slab_opening"}
 
 # Safety category by rule, in order, and zone of explosive atmosphere by type.
 SAFETY = [
@@ -118,11 +130,11 @@ SAFETY = [
     ("element_type = 'column' AND h > 3000 AND confidence < 0.75", "SC2"),
     ("element_type = 'wall' AND h > 3200 AND point_count > 3000", "SC3"),
     ("element_type IN ('tank', 'hvac_equipment', 'pump', 'duct', 'pipe')", "SC3"),
-    ("element_type IN ('cable_tray', 'conduit', 'kerb', 'drainage')", "NS"),
     ("element_type IN ('valve', 'sprinkler', 'slab_opening')", "SC2"),
     ("element_type = 'electrical_panel'", "SC3"),
     ("element_type IN ('containment_penetration', 'pressurizer', 'steam_generator', 'emergency_diesel_generator', 'safety_relief_valve')", "SC1"),
-    ("element_type IN ('pressure_vessel', 'heat_exchanger', 'compressor')", "SC2"),
+    ("element_type IN ('pressure_vessel', 'heat_exchanger', 'transformer', 'ups_system', 'fire_hydrant', 'deluge_valve', 'fire_alarm_panel', 'penetration_seal', 'overhead_crane', 'compressor', 'seismic_isolator', 'radiation_monitor')", "SC2"),
+    ("element_type IN ('switchgear', 'fire_damper', 'strainer', 'expansion_joint', 'bund_wall', 'fire_extinguisher', 'smoke_detector')", "SC3"),
 ]
 EXPLOSIVE = [("element_type IN ('tank', 'pipe')", "Zone2"), ("element_type IN ('valve', 'pressure_vessel', 'heat_exchanger', 'compressor')", "Zone1")]
 
@@ -153,11 +165,24 @@ def discipline() -> Column:
     return E.case([(F.col("element_type").isin(types), F.lit(name)) for name, types in DISCIPLINES.items()], F.lit("structural"))
 
 
-def classified(segments: DataFrame, datum: float = 0.0) -> DataFrame:
-    """Measured segments with element_type, discipline, safety_category and dsear_zone; one pass, no shuffle."""
-    # An explode of one element: the optimizer would otherwise copy the large CASE into every condition on the type.
-    df = measured(segments, datum).select("*", F.explode(F.array(element_type())).alias("element_type"))
-    return df.withColumns({"discipline": discipline(), "safety_category": F.expr(E.case_sql(SAFETY, "NS")), "dsear_zone": F.expr(E.case_sql(EXPLOSIVE, "none"))})
+def classified(segments: DataFrame, datum: float = 0.0, core: bool = True, override: Column | None = None) -> DataFrame:
+    """Measured segments with element_type, discipline, safety_category and dsear_zone; one pass, no shuffle.
+
+    `core` names special types by the core type that authoring tools expect, before discipline and safety are looked up. A
+    category that `override` gives (a zone's, say) counts before all rules, without an explosive zone; null leaves them.
+    """
+    kind = element_type()
+    if core:
+        # An explode of one element: the optimizer would otherwise copy the large CASE into every condition on the type.
+        df = measured(segments, datum).select("*", F.explode(F.array(kind)).alias("found"))
+        names = F.create_map(*(F.lit(x) for kv in CORE.items() for x in kv))
+        df = df.withColumn("element_type", F.coalesce(F.try_element_at(names, F.col("found")), F.col("found"))).drop("found")
+    else:
+        df = measured(segments, datum).select("*", F.explode(F.array(kind)).alias("element_type"))
+    category, zone = F.expr(E.case_sql(SAFETY, "NS")), F.expr(E.case_sql(EXPLOSIVE, "none"))
+    if override is not None:
+        category, zone = F.coalesce(override, category), F.when(override.isNotNull(), "none").otherwise(zone)
+    return df.withColumns({"discipline": discipline(), "safety_category": category, "dsear_zone": zone})
 
 
 def viability(segments: DataFrame) -> DataFrame:

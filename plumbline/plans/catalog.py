@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import clusters, fits, ledger, mep, metrics, points, quality, segments, semantics, spatial, walls
 from ..sources import tables
+from . import rules_sql
 from .views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +32,8 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
 
 
 SEG, PTS, DES, STA, AUD, LAB = "segments_v", "points_v", "design_v", "stations_v", "audit_v", "labels_v"
-_M = f"m AS (SELECT *, 0.0E0 AS datum, cz AS rz FROM (SELECT *, {segments.MEASURES} FROM segments_v) q)"
-_TYPE = "CASE " + " ".join(f"WHEN shape = '{s}' THEN ({segments.type_sql(s)})" for s in segments.TYPES) + " ELSE 'unknown' END"
-_DISC = "CASE " + " ".join("WHEN element_type IN ({}) THEN '{}'".format(", ".join(f"'{t}'" for t in ts), n) for n, ts in segments.DISCIPLINES.items()) + " ELSE 'structural' END"
-_C = f"{_M}, t AS (SELECT *, {_TYPE} AS element_type FROM m), c AS (SELECT *, {_DISC} AS discipline, {E.case_sql(segments.SAFETY, 'NS')} AS safety_category, {E.case_sql(segments.EXPLOSIVE, 'none')} AS dsear_zone FROM t)"
+_M = rules_sql.SIZED
+_C = rules_sql.CLASSIFIED
 _LOA = "CASE WHEN 2 * {0} <= 0.1 THEN 'LOA50' WHEN 2 * {0} <= 1 THEN 'LOA40' WHEN 2 * {0} <= 5 THEN 'LOA30' WHEN 2 * {0} <= 15 THEN 'LOA20' ELSE 'LOA10' END"
 _RICS = "CASE WHEN {0} <= 3 AND {1} >= 0.9 THEN {2} WHEN {0} <= 10 AND {1} >= 0.8 THEN {3} WHEN {0} <= 50 AND {1} >= 0.6 THEN {4} ELSE {5} END"
 
@@ -56,12 +55,12 @@ def element_counts(spark, sf):
     return _classified(spark, sf).groupBy("zone_id", "discipline", "element_type").agg(F.count("*").alias("n"), F.sum("point_count").alias("points"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
-@query(f"WITH {_M} SELECT segment_id, nullif({E.case_sql(segments.VIABILITY, '')}, '') AS reason FROM m", SEG)
+@query(f"WITH {_M} SELECT segment_id, {rules_sql.VIABLE} AS reason FROM m", SEG)
 def viability(spark, sf):
     return segments.viability(view(spark, sf, SEG)).select("segment_id", "reason")
 
 
-@query(f"WITH {_M} SELECT segment_id, nullif({E.case_sql(segments.VALIDITY, '')}, '') AS reason FROM m", SEG)
+@query(f"WITH {_M} SELECT segment_id, {rules_sql.VALID} AS reason FROM m", SEG)
 def geometry_validity(spark, sf):
     return segments.validity(view(spark, sf, SEG)).select("segment_id", "reason")
 
@@ -156,7 +155,7 @@ _GAP = "greatest(a.min_{0}, b.min_{0}) - least(a.max_{0}, b.max_{0})"
 _CL = f"greatest({', '.join(_GAP.format(a) for a in 'xyz')})"
 _SET = lambda x: "(" + ", ".join(f"'{v}'" for v in x) + ")"
 _EITHER = lambda x, y: f"((a.element_type IN {_SET(x)} AND b.element_type IN {_SET(y)}) OR (b.element_type IN {_SET(x)} AND a.element_type IN {_SET(y)}))"
-_WHITE = f"({_EITHER(spatial.INLINE, spatial.CARRIERS)} OR {_EITHER(['conduit'], spatial.PLANAR)} OR (a.element_type IN {_SET(spatial.LEVEL)} AND b.element_type IN {_SET(spatial.LEVEL)} AND {_GAP.format('z')} >= 0))"
+_WHITE = rules_sql.ALLOWED
 
 
 @query(f"WITH {_C} SELECT a.segment_id AS a_id, b.segment_id AS b_id, a.zone_id, CASE WHEN {_CL} < 0 THEN 'hard' ELSE 'soft' END AS clash_type, round({_CL}, 1) AS clearance_mm FROM c a JOIN c b ON a.k < b.k AND {_CL} < 20 AND NOT {_WHITE}", SEG)
@@ -373,7 +372,7 @@ def fmea_summary(spark, sf):
     return quality.fmea_summary(view(spark, sf, SEG).select((1 + F.col("k") % 10).alias("severity"), (1 + F.col("k") % 7).alias("likelihood"), (1 + F.col("k") % 5).alias("detection"), (F.col("k") % 3).alias("tests")))
 
 
-_HAND = f"""{_C}, a(element_type, attribute) AS (VALUES {", ".join(f"('{t}', '{x}')" for t, xs in quality.ATTRIBUTES.items() for x in xs)}),
+_HAND = f"""{_C}, a(element_type, attribute) AS (VALUES {rules_sql.WANTED}),
 r AS (SELECT upper(substr(c.element_type, 1, 2)) || '-' || right(segment_id, 6) AS tag, c.element_type, attribute, CASE attribute WHEN 'diameter' THEN round((min_e + mid_e) / 2, 1) WHEN 'length' THEN round(max_e, 1) WHEN 'volume' THEN round(w * d * h / 1e9, 6) END AS value FROM c JOIN a USING (element_type))"""
 
 
@@ -657,7 +656,7 @@ def colour_groups(spark, sf):
     return semantics.colour_groups(_coloured(spark, sf))
 
 
-_TAX = "CASE shape " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in semantics.TAXONOMY["scan"].items()) + " ELSE 'UNSUPPORTED' END"
+_TAX = rules_sql.TAXONOMY
 
 
 @query(f"SELECT segment_id, shape, {_TAX} AS canonical FROM segments_v", SEG)
@@ -794,7 +793,7 @@ def wall_features(spark, sf):
 @query(
     f"""WITH {_WF}, g AS (SELECT *, surface <> 2 AS aligned, surface * 1.0E0 AS centre_m, surface * 0.15E0 AS curvature FROM f),
 s AS (SELECT *, greatest(0.0, least(1.0, (0.18 * least(height_m / 6, 1.0) + 0.18 * least(length_m / 4, 1.0) + 0.24 * greatest(0.0, least((fill - 0.15) / 0.45, 1.0)) + 0.14 * greatest(0.0, least((density - 15) / 75, 1.0)) + 0.10 + 0.08 * aligned::INT + 0.08 * CASE WHEN centre_m > 2 THEN 1.0 WHEN aligned THEN 0.5 ELSE 0 END) * CASE WHEN aligned THEN 1 ELSE 0.8 END * CASE WHEN curvature > 0.3 THEN greatest(0.1, 1 - 0.75 * curvature) ELSE 1 END)) AS score FROM g)
-SELECT surface, round(score, 6) AS score, {E.case_sql(walls.CLASSES, "other")} AS class FROM s""",
+SELECT surface, round(score, 6) AS score, {rules_sql.PLANE_CLASS} AS class FROM s""",
     PTS,
 )
 def wall_classes(spark, sf):
