@@ -83,3 +83,47 @@ def output_hash(rows: DataFrame, by: str, key: str) -> DataFrame:
     the sum of their 60-bit hashes, and their number."""
     h = F.conv(F.substring(F.sha2(F.col(key), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("hash"))
+
+
+# What an open-world guess needs, and how its two sources weigh.
+GEOMETRY_SHARE, NEURAL_SHARE = 0.55, 0.45
+
+
+def open_world(rows: DataFrame, least: float = 0.45, margin: float = 0.10) -> DataFrame:
+    """label, score and margin for rows with maps `geometric` and `neural` of scores by label: the best fused one, UNKNOWN where it is
+    too low or too near the second. A label that one source lacks has 0 there; without a neural map geometry counts alone."""
+    alone = F.col("neural").isNull() | (F.size("neural") == 0)
+    labels = F.array_union(F.map_keys(F.coalesce("geometric", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))), F.when(alone, F.array().cast("array<string>")).otherwise(F.map_keys("neural")))
+    of = lambda m, x: F.coalesce(F.try_element_at(F.col(m), x), F.lit(0.0))
+    fused = F.transform(labels, lambda x: F.struct((-F.when(alone, of("geometric", x)).otherwise(GEOMETRY_SHARE * of("geometric", x) + NEURAL_SHARE * of("neural", x))).alias("s"), x.alias("label")))
+    out = rows.withColumn("ranked", F.array_sort(fused))
+    first, second = F.try_element_at("ranked", F.lit(1)), F.try_element_at("ranked", F.lit(2))
+    score, gap = F.coalesce(-first["s"], F.lit(0.0)), F.coalesce(-first["s"] + F.coalesce(second["s"], F.lit(0.0)), F.lit(0.0))
+    sure = (score >= least) & (gap >= margin)
+    return out.withColumns({"label": F.when(sure, first["label"]).otherwise("UNKNOWN"), "score": score, "margin": gap}).drop("ranked")
+
+
+def enforced(nodes: DataFrame) -> DataFrame:
+    """Confidence of doors without a host times 0.4, of pipes without a connection times 0.6 (columns element_type, host, connections)."""
+    bare = F.coalesce(F.size("connections"), F.lit(0)) <= 0
+    return nodes.withColumn("confidence", F.col("confidence") * F.when((F.col("element_type") == "door") & F.col("host").isNull(), 0.4).when((F.col("element_type") == "pipe") & bare, 0.6).otherwise(1.0))
+
+
+def banded(segments: DataFrame, step_mm: float = 3000.0) -> DataFrame:
+    """Segments moved up or down so that their mid height is a multiple of the step, halves to the even one; a step of 0 moves none."""
+    if step_mm <= 0:
+        return segments
+    mid = (F.col("min_z") + F.col("max_z")) / 2
+    shift = F.bround(mid / step_mm) * step_mm - mid
+    return segments.withColumn("shift", shift).withColumns({c: F.col(c) + F.col("shift") for c in ("min_z", "max_z", "cz")}).drop("shift")
+
+
+def wall_confidence(points: Column, area_m2: Column, nz: Column, rmse_m: Column) -> Column:
+    """0.35 of the points (1800 are full), 0.25 of the area (12 m2), 0.2 of uprightness (0.3 is none), 0.2 of the fit (6 cm is none)."""
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return unit(0.35 * F.least(F.lit(1.0), points / 1800) + 0.25 * F.least(F.lit(1.0), area_m2 / 12) + 0.20 * F.greatest(F.lit(0.0), 1 - F.abs(nz) / 0.30) + 0.20 * unit(1 - F.coalesce(rmse_m, F.lit(0.05)) / 0.06))
+
+
+def claimed(claims: DataFrame, supported: DataFrame) -> DataFrame:
+    """Claims (model, label) with whether the model's label space (supported: model, label) has the label."""
+    return claims.join(supported.select("model", "label").distinct().withColumn("valid", F.lit(True)), ["model", "label"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))

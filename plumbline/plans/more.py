@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import filters, fits, ledger, points, rebuild, segments, walls, workflow
+from ..operators import filters, fits, ledger, openings, points, rebuild, segments, semantics, walls, workflow
 from .catalog import _C, AUD, PTS, SEG, query
 from .views import view
 
@@ -407,3 +407,83 @@ SELECT side, min_x, max_x, min_y, max_y, 0.0E0 AS min_z, 3000.0E0 AS max_z FROM
 )
 def enclosure_walls(spark, sf):
     return walls.missing_sides(view(spark, sf, SEG).filter("shape = 'plane_vertical' AND k % 21 = 0"), 0.0, 3000.0)
+
+
+# Openings, pairs, ends and guesses ---------------------------------------------------------------------------------
+
+
+def _faces(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two walls of 8 by 3 m, a door and a window left out of each."""
+    k, wall = F.col("o_orderkey"), F.col("o_orderkey") % 2
+    i = F.explode(F.sequence(F.lit(0), F.lit(39)))
+    p = view(spark, sf, "orders").select(k, wall.alias("wall"), i.alias("i")).withColumn("n", F.col("o_orderkey") * 40 + F.col("i"))
+    p = p.select("wall", (F.pmod(F.xxhash64("n"), F.lit(8000)) / 1000).alias("x"), (F.col("wall") * 5.0).alias("y"), (F.pmod(F.xxhash64("n", F.lit(1)), F.lit(3000)) / 1000).alias("z"))
+    p = p.filter("NOT (x > 1.5 AND x < 2.5 AND z < 2.5) AND NOT (x > 4.5 AND x < 6.0 AND z > 0.4 AND z < 2.7)")
+    return p, spark.range(2).select(F.col("id").alias("wall"), F.lit(0.0).alias("start_x"), (F.col("id") * 5.0).alias("start_y"), F.lit(8.0).alias("end_x"), (F.col("id") * 5.0).alias("end_y"), F.lit(0.0).alias("base_m"), F.lit(3.0).alias("height_m"), F.lit(0.2).alias("thickness_m"))
+
+
+@query()
+def wall_openings(spark, sf):
+    return openings.wall_openings(*_faces(spark, sf), "wall")
+
+
+@query()
+def paired_faces(spark, sf):
+    s = view(spark, sf, SEG).filter("shape = 'plane_vertical'")
+    return openings.paired(walls.face_candidates(s).select("a", "b", F.col("distance_mm").alias("distance")))
+
+
+_ENDS = "ln AS (SELECT k, k % 12 * 2.0 AS start_x, k % 7 * 2.0 AS start_y, k % 12 * 2.0 + CASE k % 2 WHEN 0 THEN 1.7 ELSE 0.1 END AS end_x, k % 7 * 2.0 + CASE k % 2 WHEN 0 THEN 0.1 ELSE 1.8 END AS end_y FROM segments_v WHERE k <= 100)"
+
+
+@query(
+    f"""WITH {_ENDS}, e AS (SELECT k, 'start' AS part, start_x AS x, start_y AS y, start_x AS x1, start_y AS y1, end_x AS x2, end_y AS y2 FROM ln UNION ALL SELECT k, 'end', end_x, end_y, start_x, start_y, end_x, end_y FROM ln),
+j AS (SELECT e.*, l.k AS other, l.start_x AS x3, l.start_y AS y3, l.end_x AS x4, l.end_y AS y4, (x1 - x2) * (l.start_y - l.end_y) - (y1 - y2) * (l.start_x - l.end_x) AS den, degrees(atan2(y2 - y1, x2 - x1)) AS t1, degrees(atan2(l.end_y - l.start_y, l.end_x - l.start_x)) AS t2 FROM e JOIN ln l ON e.k <> l.k),
+q AS (SELECT *, ((x1 * y2 - y1 * x2) * (x3 - x4) - (x1 - x2) * (x3 * y4 - y3 * x4)) / den AS px, ((x1 * y2 - y1 * x2) * (y3 - y4) - (y1 - y2) * (x3 * y4 - y3 * x4)) / den AS py FROM j WHERE abs(den) >= 1e-8 AND abs(t1 - t2) BETWEEN 45 AND 135),
+b AS (SELECT *, row_number() OVER (PARTITION BY k, part ORDER BY round(sqrt((px - x) ** 2 + (py - y) ** 2), 9), other) AS r FROM q WHERE sqrt((px - x) ** 2 + (py - y) ** 2) <= 0.4 AND px BETWEEN least(x3, x4) - 0.4 AND greatest(x3, x4) + 0.4 AND py BETWEEN least(y3, y4) - 0.4 AND greatest(y3, y4) + 0.4)
+SELECT ln.k, count(b.k) AS moved FROM ln LEFT JOIN b ON b.k = ln.k AND r = 1 GROUP BY 1""",
+    SEG,
+)
+def snapped_walls(spark, sf):
+    k = F.col("k")
+    even = k % 2 == 0
+    lines = view(spark, sf, SEG).filter("k <= 100").select("k", (k % 12 * 2.0).alias("start_x"), (k % 7 * 2.0).alias("start_y"), (k % 12 * 2.0 + F.when(even, 1.7).otherwise(0.1)).alias("end_x"), (k % 7 * 2.0 + F.when(even, 0.1).otherwise(1.8)).alias("end_y"))
+    return openings.snapped(lines, "k").select("k", F.col("moved").cast("long").alias("moved"))
+
+
+@query(
+    """WITH s AS (SELECT k, CASE k % 4 WHEN 0 THEN 0.55 * (k % 100) / 100.0 + 0.45 * (k % 7) / 7.0 ELSE (k % 100) / 100.0 END AS wall, CASE k % 4 WHEN 0 THEN 0.55 * (k % 50) / 50.0 ELSE (k % 50) / 50.0 END AS pipe FROM segments_v)
+SELECT k, CASE WHEN greatest(wall, pipe) >= 0.45 AND abs(wall - pipe) >= 0.10 THEN CASE WHEN wall > pipe THEN 'WALL' ELSE 'PIPE' END ELSE 'UNKNOWN' END AS label, round(greatest(wall, pipe), 6) AS score FROM s""",
+    SEG,
+)
+def open_world_labels(spark, sf):
+    k = F.col("k")
+    rows = view(spark, sf, SEG).select("k", F.create_map(F.lit("WALL"), (k % 100) / 100.0, F.lit("PIPE"), (k % 50) / 50.0).alias("geometric"), F.when(k % 4 == 0, F.create_map(F.lit("WALL"), (k % 7) / 7.0)).alias("neural"))
+    return semantics.open_world(rows).select("k", "label", F.round("score", 6).alias("score"))
+
+
+@query("SELECT segment_id, confidence * CASE WHEN shape = 'void' AND k % 3 = 0 THEN 0.4 WHEN shape = 'cylinder' AND k % 2 = 0 THEN 0.6 ELSE 1 END AS confidence FROM segments_v", SEG)
+def rule_confidence(spark, sf):
+    k = F.col("k")
+    kind = F.when(F.col("shape") == "void", "door").when(F.col("shape") == "cylinder", "pipe").otherwise("wall")
+    nodes = view(spark, sf, SEG).withColumns({"element_type": kind, "host": F.when(k % 3 != 0, "w"), "connections": F.when(k % 2 != 0, F.array(F.lit("p")))})
+    return semantics.enforced(nodes).select("segment_id", "confidence")
+
+
+@query("SELECT segment_id, min_z + s AS min_z, cz + s AS cz FROM (SELECT *, round_even((min_z + max_z) / 2 / 3000, 0) * 3000 - (min_z + max_z) / 2 AS s FROM segments_v) q", SEG)
+def floor_bands(spark, sf):
+    return semantics.banded(view(spark, sf, SEG)).select("segment_id", "min_z", "cz")
+
+
+@query("SELECT k, round(greatest(0, least(1, 0.35 * least(1, point_count / 1800.0) + 0.25 * least(1, (max_x - min_x) * (max_z - min_z) / 1e6 / 12) + 0.2 * greatest(0, 1 - (k % 10) / 20.0 / 0.3) + 0.2 * greatest(0, least(1, 1 - CASE WHEN k % 5 = 0 THEN 0.05 ELSE (k % 8) / 100.0 END / 0.06)))), 6) AS confidence FROM segments_v", SEG)
+def cloud_wall_confidence(spark, sf):
+    area = (F.col("max_x") - F.col("min_x")) * (F.col("max_z") - F.col("min_z")) / 1e6
+    k = F.col("k")
+    return view(spark, sf, SEG).select("k", F.round(semantics.wall_confidence(F.col("point_count"), area, (k % 10) / 20, F.when(k % 5 != 0, (k % 8) / 100)), 6).alias("confidence"))
+
+
+@query("SELECT segment_id, shape AS label, shape IN ('cylinder', 'box') AND k % 2 = 0 AS valid FROM segments_v", SEG)
+def label_claims(spark, sf):
+    claims = view(spark, sf, SEG).select("segment_id", F.when(F.col("k") % 2 == 0, "pipes").otherwise("walls").alias("model"), F.col("shape").alias("label"))
+    space = spark.createDataFrame([("pipes", "cylinder"), ("pipes", "box"), ("walls", "wall"), ("pipes", "box")], "model string, label string")
+    return semantics.claimed(claims, space).select("segment_id", "label", "valid")

@@ -37,7 +37,7 @@ def test_query_is_its_sql(spark, duck, name):
 
 
 #: Rows on the smallest tables of the queries without SQL, at least and at most; tests of their operators check the values.
-ROWS = {"bounding_rectangles": (6, 6), "outline_polygons": (6, 6), "pca_features": (6, 6), "oriented_boxes": (6, 6), "patch_features": (6, 6), "pipe_fits": (8, 8), "duct_fits": (8, 8), "cable_tray_fits": (8, 8), "valve_fits": (8, 8), "slab_fits": (2, 2), "wall_fits": (6, 6), "statistical_outliers": (1500, 1500), "point_normals": (1500, 1500), "step_export": (200, 10**4), "overlap_suppression": (1, 200)}
+ROWS = {"bounding_rectangles": (6, 6), "outline_polygons": (6, 6), "pca_features": (6, 6), "oriented_boxes": (6, 6), "patch_features": (6, 6), "pipe_fits": (8, 8), "duct_fits": (8, 8), "cable_tray_fits": (8, 8), "valve_fits": (8, 8), "slab_fits": (2, 2), "wall_fits": (6, 6), "statistical_outliers": (1500, 1500), "point_normals": (1500, 1500), "step_export": (200, 10**4), "overlap_suppression": (1, 200), "wall_openings": (4, 4), "paired_faces": (0, 100)}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
