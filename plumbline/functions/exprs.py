@@ -94,7 +94,7 @@ def canonical_axis(ax: Column, ay: Column) -> tuple[Column, Column]:
 def axis_angle(ax: Column, ay: Column) -> Column:
     """Degrees in [0, 180), four places."""
     x, y = canonical_axis(ax, ay)
-    return F.round(F.pmod(F.degrees(F.atan2(y, x)), F.lit(180.0)), 4)
+    return F.bround(F.pmod(F.degrees(F.atan2(y, x)), F.lit(180.0)), 4)
 
 
 def affine(x: Column, y: Column, z: Column, matrix: list[list[float]]) -> tuple[Column, ...]:

@@ -144,7 +144,7 @@ class Transform:
 def to_model(raw: DataFrame, origin: tuple[float, float, float], zone: str) -> DataFrame:
     """Rows in metres (min_x .. max_z, sigma_m, thickness_m) as segments in millimetres about an origin, with thickness from 100 to
     600 mm, accuracy tier, zone and centre. Without a sigma it is 25 mm."""
-    box = {f"{side}_{a}": F.round((F.col(f"{side}_{a}") - o) * 1000, 4) for a, o in zip("xyz", origin, strict=True) for side in ("min", "max")}
+    box = {f"{side}_{a}": F.bround((F.col(f"{side}_{a}") - o) * 1000, 4) for a, o in zip("xyz", origin, strict=True) for side in ("min", "max")}
     out = raw.withColumns(box).withColumns({f"c{a}": (F.col(f"min_{a}") + F.col(f"max_{a}")) / 2 for a in "xyz"})
-    thick = F.when(F.col("thickness_m").isNotNull(), F.greatest(F.lit(100.0), F.least(F.lit(600.0), F.round(F.col("thickness_m") * 1000, 4))))
+    thick = F.when(F.col("thickness_m").isNotNull(), F.greatest(F.lit(100.0), F.least(F.lit(600.0), F.bround(F.col("thickness_m") * 1000, 4))))
     return out.withColumns({"thickness_mm": thick, "loa_tier": E.loa_tier(F.coalesce(F.col("sigma_m") * 1000, F.lit(25.0))), "zone_id": F.lit(zone)})

@@ -363,4 +363,4 @@ def thickness(points: DataFrame, by: str, along: str, bins: float = 0.01, other:
     far = counts.join(top, by).filter((F.abs(F.col("b") - F.col("b0")) * bins >= 0.05) & (F.abs(F.col("b") - F.col("b0")) * bins <= 0.6)).groupBy(by).agg(F.max(F.struct("n", (-F.abs(F.col("b") - F.col("b0"))).alias("d"))).alias("m"))
     spread = points.groupBy(by).agg((F.percentile(along, 0.9) - F.percentile(along, 0.1)).alias("spread"))
     t = F.when(F.col("m.n") >= 0.3 * F.col("n0"), -F.col("m.d") * bins).when(F.col("spread") >= 0.05, F.col("spread")).otherwise(F.lit(other))
-    return top.join(far, by, "left").join(spread, by).select(by, F.round(t, 4).alias("thickness"))
+    return top.join(far, by, "left").join(spread, by).select(by, F.bround(t, 4).alias("thickness"))

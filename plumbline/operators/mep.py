@@ -14,7 +14,7 @@ def terminals(elements: DataFrame, radius_mm: float = 1500.0) -> DataFrame:
     """The nearest carrier within the radius of each terminal."""
     t = elements.filter(F.col("element_type").isin("sprinkler", "valve", "smoke_detector", "strainer", "expansion_joint")).select("k", "cx", "cy", "cz")
     c = elements.filter(F.col("element_type").isin(*spatial.CARRIERS)).select(F.col("k").alias("carrier"), "cx", "cy", "cz")
-    return spatial.nearest_within(t, c, "k", "carrier", radius_mm).select("k", "carrier", F.round("distance", 3).alias("distance_mm"))
+    return spatial.nearest_within(t, c, "k", "carrier", radius_mm).select("k", "carrier", F.bround("distance", 3).alias("distance_mm"))
 
 
 def cylinder_chains(segments: DataFrame, gap_mm: float = 1000.0, radius_part: float = 0.2) -> DataFrame:
@@ -25,7 +25,7 @@ def cylinder_chains(segments: DataFrame, gap_mm: float = 1000.0, radius_part: fl
     alike = F.abs(F.col("a.radius") - F.col("b.radius")) <= radius_part * F.greatest("a.radius", "b.radius")
     links = pairs.filter(alike & (off <= F.greatest("a.radius", "b.radius")) & (E.gap("z") <= gap_mm)).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
     chain = own.join(components(links).withColumnRenamed("node", "k"), "k", "left").withColumn("chain", F.coalesce("root", "k"))
-    return chain.groupBy("chain").agg(F.count("*").alias("parts"), F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"), F.round(F.avg("radius"), 4).alias("radius"))
+    return chain.groupBy("chain").agg(F.count("*").alias("parts"), F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"), F.bround(F.avg("radius"), 4).alias("radius"))
 
 
 def junctions(walls: DataFrame, near_mm: float = 400.0) -> DataFrame:
@@ -53,7 +53,7 @@ def nearest_storey(segments: DataFrame, heights: list[float]) -> DataFrame:
 
 def enclosed(segments: DataFrame, reach_mm: float = 6000.0) -> DataFrame:
     """Segments with a wall on each of the four sides within reach on their storey or one next to it: the nearest of each side."""
-    storey = F.round(F.col("cz") / 3000.0)
+    storey = F.bround(F.col("cz") / 3000.0)
     walls = segments.filter((F.col("shape") == "plane_vertical") & (F.greatest(E.extent("x"), E.extent("y")) >= 800)).withColumn("storey", storey)
     own = segments.filter("shape <> 'plane_vertical'").withColumn("storey", storey)
     pairs = spatial.box_pairs(own, walls, reach_mm, axes=("x", "y")).filter(F.abs(F.col("a.storey") - F.col("b.storey")) <= 1)

@@ -16,7 +16,7 @@ def class_metrics(rows: DataFrame) -> DataFrame:
     long = confusion(rows)
     sides = long.select(F.explode(F.array(F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hit")))).alias("r")).select("r.*")
     t = sides.groupBy("label").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("tp"))
-    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    ratio = lambda a, b: F.bround(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
     tp, s, p = F.col("tp"), F.col("support"), F.col("predicted")
     return t.select("label", "support", "predicted", "tp", ratio(tp, p).alias("precision"), ratio(tp, s).alias("recall"), ratio(2 * tp, s + p).alias("f1"), ratio(tp, s + p - tp).alias("iou"))
 
@@ -24,7 +24,7 @@ def class_metrics(rows: DataFrame) -> DataFrame:
 def overall_metrics(rows: DataFrame) -> DataFrame:
     """Accuracy over all rows and macro means over classes with support or predictions."""
     m = class_metrics(rows)
-    return m.agg(F.round(F.sum("tp") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.avg("iou"), 6).alias("mean_iou"))
+    return m.agg(F.bround(F.sum("tp") / F.sum("support"), 6).alias("accuracy"), F.bround(F.avg("f1"), 6).alias("macro_f1"), F.bround(F.avg("iou"), 6).alias("mean_iou"))
 
 
 def instance_iou(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def instance_iou(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     t, p = truth.select("point_id", F.col("object_id").alias("gt")), predicted.select("point_id", F.col("object_id").alias("pred"))
     both = t.join(p, "point_id").groupBy("gt", "pred").agg(F.count("*").alias("shared"))
     nt, np_ = t.groupBy("gt").agg(F.count("*").alias("nt")), p.groupBy("pred").agg(F.count("*").alias("np"))
-    return both.join(nt, "gt").join(np_, "pred").select("gt", "pred", "shared", F.round(F.col("shared") / (F.col("nt") + F.col("np") - F.col("shared")), 6).alias("iou"), "nt", "np")
+    return both.join(nt, "gt").join(np_, "pred").select("gt", "pred", "shared", F.bround(F.col("shared") / (F.col("nt") + F.col("np") - F.col("shared")), 6).alias("iou"), "nt", "np")
 
 
 def instance_metrics(pairs: DataFrame, n_truth: DataFrame, least: float = 0.30) -> DataFrame:
@@ -44,7 +44,7 @@ def instance_metrics(pairs: DataFrame, n_truth: DataFrame, least: float = 0.30)
 
 def reconciled(votes: DataFrame) -> DataFrame:
     """Rows point_id, label, p from overlapping chunks: the class with the largest mean, the first of equals."""
-    mean = votes.groupBy("point_id", "label").agg(F.round(F.avg("p"), 6).alias("p"))
+    mean = votes.groupBy("point_id", "label").agg(F.bround(F.avg("p"), 6).alias("p"))
     return mean.groupBy("point_id").agg(F.max(F.struct(F.col("p"), (-F.col("label")).alias("l"))).alias("m")).select("point_id", (-F.col("m.l")).alias("label"), F.col("m.p").alias("p"))
 
 
@@ -52,14 +52,14 @@ def class_weights(rows: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """Smoothed inverse frequencies, mean 1 over classes."""
     n = rows.groupBy(F.col("y_true").alias("label")).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("t"), F.count("*").alias("k"))
-    return n.crossJoin(F.broadcast(total)).select("label", "n", F.round((F.col("t") + smoothing * F.col("k")) / (F.col("k") * (F.col("n") + smoothing)), 6).alias("weight"))
+    return n.crossJoin(F.broadcast(total)).select("label", "n", F.bround((F.col("t") + smoothing * F.col("k")) / (F.col("k") * (F.col("n") + smoothing)), 6).alias("weight"))
 
 
 def nearest_vectors(vectors: DataFrame, every: int = 50, k: int = 3) -> DataFrame:
     """The k nearest vectors of a stated query set (ids divisible by `every`) among all rows; queries are broadcast only below Spark's limit."""
     q = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     d = F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(vectors, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(d, 4).alias("d2"))
+    pairs = q.join(vectors, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.bround(d, 4).alias("d2"))
     order = W.partitionBy("query_id").orderBy("d2", "vec_id")
     # Spark keeps the first k of each task before the shuffle (a limit on the rank), so no task gathers all pairs of a query.
     return pairs.withColumn("rank", F.row_number().over(order).cast("long") - 1).filter(F.col("rank") < k).select("query_id", "rank", "vec_id", "d2")

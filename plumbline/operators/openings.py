@@ -50,7 +50,7 @@ def wall_openings(points: DataFrame, walls: DataFrame, by: str, cell_m: float =
     rise = (F.col("d") - F.col("c")) / F.col("nz")
     found = found.withColumns({"sill": F.col("c") + F.col("low") * rise, "top": F.col("c") + (F.col("high") + 1) * rise}).filter(F.col("top") - F.col("sill") >= tall_m - eps)
     mid = (F.col("u0") + F.col("u1")) / 2
-    return found.select(by, "opening", F.when(F.col("sill") <= 0.30, "DOOR").otherwise("WINDOW").alias("kind"), *[F.round(c, 4).alias(n) for n, c in (("u0", F.col("u0")), ("u1", F.col("u1")), ("sill_m", F.col("base_m") + F.col("sill")), ("height_m", F.col("top") - F.col("sill")), ("centre_x", F.col("start_x") + mid * F.col("ax")), ("centre_y", F.col("start_y") + mid * F.col("ay")))])
+    return found.select(by, "opening", F.when(F.col("sill") <= 0.30, "DOOR").otherwise("WINDOW").alias("kind"), *[F.bround(c, 4).alias(n) for n, c in (("u0", F.col("u0")), ("u1", F.col("u1")), ("sill_m", F.col("base_m") + F.col("sill")), ("height_m", F.col("top") - F.col("sill")), ("centre_x", F.col("start_x") + mid * F.col("ax")), ("centre_y", F.col("start_y") + mid * F.col("ay")))])
 
 
 def paired(candidates: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:

@@ -18,7 +18,7 @@ def cell(c: str, size: float, origin: float = 0.0) -> Column:
 def voxels(points: DataFrame, size: float = 0.5) -> DataFrame:
     """The mean point and number of points of each cubic cell; sums are combined before the shuffle."""
     cells = [cell(c, size).alias(f"v{c}") for c in "xyz"]
-    return points.groupBy(*cells).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in "xyz"])
+    return points.groupBy(*cells).agg(F.count("*").alias("n"), *[F.bround(F.avg(c), 6).alias(f"mean_{c}") for c in "xyz"])
 
 
 def first_points(points: DataFrame, size: float = 0.5) -> DataFrame:
@@ -81,7 +81,7 @@ def _prominence(y: list[float], i: int) -> float:
 
 def column_cells(points: DataFrame, size: float = 0.30, least_points: int = 40, least_span: float = 0.5, height: float = 6.0) -> DataFrame:
     """Cells of the floor plan with enough points over enough of the height."""
-    return points.groupBy(cell("x", size).alias("gx"), cell("y", size).alias("gy")).agg(F.count("*").alias("n"), F.round(F.max("z") - F.min("z"), 6).alias("span")).filter((F.col("n") >= least_points) & (F.col("span") >= least_span * height))
+    return points.groupBy(cell("x", size).alias("gx"), cell("y", size).alias("gy")).agg(F.count("*").alias("n"), F.bround(F.max("z") - F.min("z"), 6).alias("span")).filter((F.col("n") >= least_points) & (F.col("span") >= least_span * height))
 
 
 def robust_extents(points: DataFrame, by: str = "surface") -> DataFrame:
@@ -89,13 +89,13 @@ def robust_extents(points: DataFrame, by: str = "surface") -> DataFrame:
     spans = []
     for c in "xyz":
         q = F.percentile(c, F.array(F.lit(0.05), F.lit(0.95)))
-        spans += [F.round(q[0], 6).alias(f"p5_{c}"), F.round(q[1], 6).alias(f"p95_{c}")]
+        spans += [F.bround(q[0], 6).alias(f"p5_{c}"), F.bround(q[1], 6).alias(f"p95_{c}")]
     return points.groupBy(by).agg(F.count("*").alias("n"), *spans)
 
 
 def covariances(points: DataFrame, by: str = "surface") -> DataFrame:
     """The six sample covariances of a group, from which the 3x3 eigenproblem follows."""
-    return points.groupBy(by).agg(*[F.round(F.covar_samp(a, b), 4).alias(f"c{a}{b}") for i, a in enumerate("xyz") for b in "xyz"[i:]])
+    return points.groupBy(by).agg(*[F.bround(F.covar_samp(a, b), 4).alias(f"c{a}{b}") for i, a in enumerate("xyz") for b in "xyz"[i:]])
 
 
 def nearest_distances(points: DataFrame, k: int, key: str = "point_id", occupancy: float | None = None) -> DataFrame:
@@ -155,7 +155,7 @@ def outliers(points: DataFrame, k: int | None = None, ratio: float = 2.0) -> Dat
     own = nearest_distances(points, k).withColumn("d", F.coalesce(F.aggregate("distances", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("distances"), F.lit(0)), F.lit(0.0)))
     own = stored(own.select("point_id", "d"), "mean_distances")
     limits = own.agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sigma"))
-    return own.crossJoin(F.broadcast(limits)).select("point_id", F.round("d", 6).alias("mean_distance"), (F.col("d") > F.col("mu") + ratio * F.col("sigma")).alias("outlier"))
+    return own.crossJoin(F.broadcast(limits)).select("point_id", F.bround("d", 6).alias("mean_distance"), (F.col("d") > F.col("mu") + ratio * F.col("sigma")).alias("outlier"))
 
 
 def multi_scale_radii(points: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def plane_sigma(points: DataFrame, by: str, normal: dict[int, tuple[float, float
     for g, (a, b, c, d) in normal.items():
         e = F.col("x") * a + F.col("y") * b + F.col("z") * c + d
         whole = F.when(F.col(by) == g, e) if whole is None else whole.when(F.col(by) == g, e)
-    return points.withColumn("e", whole).filter("e IS NOT NULL").groupBy(by).agg(F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))) * 1000, 4).alias("sigma_mm"))
+    return points.withColumn("e", whole).filter("e IS NOT NULL").groupBy(by).agg(F.bround(F.sqrt(F.avg(F.col("e") * F.col("e"))) * 1000, 4).alias("sigma_mm"))
 
 
 def dominant_orientation(segments: DataFrame, bins: int = 18) -> DataFrame:
@@ -195,7 +195,7 @@ def unit_scores(points: DataFrame) -> DataFrame:
     size = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).withColumn("diagonal", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2))
     ranges = (("m", 1.0, 2000.0, 0.75), ("mm", 1e3, 2e6, 0.5), ("ft", 3.0, 6500.0, 0.6))
     options = F.array(*(F.struct(F.lit(u).alias("unit"), F.when(F.col("diagonal").between(a, b), F.lit(s)).otherwise(F.lit(0.0)).alias("score")) for u, a, b, s in ranges))
-    return size.select(F.round("diagonal", 6).alias("diagonal"), F.explode(options).alias("o")).select("diagonal", "o.unit", "o.score")
+    return size.select(F.bround("diagonal", 6).alias("diagonal"), F.explode(options).alias("o")).select("diagonal", "o.unit", "o.score")
 
 
 def circle(n: int = 12) -> list[tuple[float, float]]:

@@ -34,7 +34,7 @@ def registration_overall(stations: DataFrame) -> DataFrame:
     others = F.when(F.col("station_index") > 0, F.col("rmse_mm") * F.col("rmse_mm"))
     total = stations.agg(F.sqrt(F.avg(others)).alias("g"), F.avg("inlier_ratio").alias("r"), worst.alias("w"))
     names = F.array(*(F.lit(n) for n in ("A", "B", "C", "FAIL")))
-    return total.select(F.round("g", 4).alias("global_rmse_mm"), F.round("r", 4).alias("mean_ratio"), F.element_at(names, F.greatest(F.col("w"), rank(E.rics_class(F.col("g"), F.col("r")))) + 1).alias("overall"))
+    return total.select(F.bround("g", 4).alias("global_rmse_mm"), F.bround("r", 4).alias("mean_ratio"), F.element_at(names, F.greatest(F.col("w"), rank(E.rics_class(F.col("g"), F.col("r")))) + 1).alias("overall"))
 
 
 def deviation_checks(pairs: DataFrame, tolerance_mm: float = 10.0) -> DataFrame:
@@ -42,12 +42,12 @@ def deviation_checks(pairs: DataFrame, tolerance_mm: float = 10.0) -> DataFrame:
     difference and the centroids' distance, and whether it is within the tolerance."""
     size = F.sqrt(sum((E.extent(a, "i") - E.extent(a, "s")) ** 2 for a in E.AXES) / 3)
     centre = F.sqrt(sum((F.col(f"i.c{a}") - F.col(f"s.c{a}")) ** 2 for a in E.AXES))
-    worst = F.round(F.greatest(size, centre), 2)
+    worst = F.bround(F.greatest(size, centre), 2)
     return pairs.select(F.col("i.segment_id").alias("segment_id"), worst.alias("deviation_mm"), (worst <= tolerance_mm).alias("passed"))
 
 
 def deviation_summary(checks: DataFrame) -> DataFrame:
-    return checks.agg(F.count("*").alias("n"), F.round(100.0 * F.avg(F.col("passed").cast("double")), 1).alias("pass_rate"), F.max("deviation_mm").alias("max_mm"), F.round(F.avg("deviation_mm"), 2).alias("mean_mm"), F.count_if(~F.col("passed")).alias("n_failed"))
+    return checks.agg(F.count("*").alias("n"), F.bround(100.0 * F.avg(F.col("passed").cast("double")), 1).alias("pass_rate"), F.max("deviation_mm").alias("max_mm"), F.bround(F.avg("deviation_mm"), 2).alias("mean_mm"), F.count_if(~F.col("passed")).alias("n_failed"))
 
 
 def heatmap(deviations: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def scan_gate(scans: DataFrame, least_points: int = 1000, least_density: float =
     keep = lambda *arms: F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in arms))), ",")
     errors = keep((F.col("points") < least_points, "too_few_points"), (density < least_density, "low_density"))
     warnings = keep((noise > 0.10, "noisy"), (F.col("area_m2") < 1, "small_area"))
-    return scans.select("zone_id", F.round(density, 4).alias("density"), F.round(noise, 4).alias("noise_ratio"), errors.alias("errors"), warnings.alias("warnings"), (errors == "").alias("passed"))
+    return scans.select("zone_id", F.bround(density, 4).alias("density"), F.bround(noise, 4).alias("noise_ratio"), errors.alias("errors"), warnings.alias("warnings"), (errors == "").alias("passed"))
 
 
 def fmea(modes: DataFrame) -> DataFrame:
@@ -84,11 +84,11 @@ ATTRIBUTES = {"pipe": ["diameter", "length", "material"], "valve": ["diameter",
 def handover(elements: DataFrame) -> DataFrame:
     """One row for each element and attribute asked for: what geometry gives is POPULATED, the rest PENDING."""
     asked = F.create_map(*(x for k, v in ATTRIBUTES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    known = F.create_map(F.lit("diameter"), F.round((F.col("min_e") + F.col("mid_e")) / 2, 1), F.lit("length"), F.round("max_e", 1), F.lit("volume"), F.round(F.col("w") * F.col("d") * F.col("h") / 1e9, 6))
+    known = F.create_map(F.lit("diameter"), F.bround((F.col("min_e") + F.col("mid_e")) / 2, 1), F.lit("length"), F.bround("max_e", 1), F.lit("volume"), F.bround(F.col("w") * F.col("d") * F.col("h") / 1e9, 6))
     rows = elements.filter(F.col("element_type").isin(*ATTRIBUTES)).select(F.concat_ws("-", F.upper(F.substring("element_type", 1, 2)), F.substring("segment_id", -6, 6)).alias("tag"), "element_type", F.explode(F.try_element_at(asked, F.col("element_type"))).alias("attribute"), known.alias("known"))
     value = F.try_element_at("known", F.col("attribute"))
     return rows.select("tag", "element_type", "attribute", value.alias("value"), F.when(value.isNotNull(), "POPULATED").otherwise("PENDING").alias("status"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("element_type").agg(F.count("*").alias("asked"), F.count_if(F.col("status") == "POPULATED").alias("populated"), F.round(100.0 * F.avg((F.col("status") == "POPULATED").cast("double")), 1).alias("pct"))
+    return rows.groupBy("element_type").agg(F.count("*").alias("asked"), F.count_if(F.col("status") == "POPULATED").alias("populated"), F.bround(100.0 * F.avg((F.col("status") == "POPULATED").cast("double")), 1).alias("pct"))

@@ -45,7 +45,7 @@ def _ends() -> tuple[list[Column], list[Column], Column]:
 
 
 def _named(columns: list[Column], name: str) -> list[Column]:
-    return [F.round(c, 4).alias(f"{name}_{a}") for c, a in zip(columns, "xyz", strict=True)]
+    return [F.bround(c, 4).alias(f"{name}_{a}") for c, a in zip(columns, "xyz", strict=True)]
 
 
 def pipes(m: DataFrame, by: str) -> DataFrame:
@@ -57,13 +57,13 @@ def pipes(m: DataFrame, by: str) -> DataFrame:
     fit = F.greatest(F.lit(0.0), 1 - rmse / F.greatest(radius, F.lit(1e-3)))
     sure = F.greatest(F.lit(0.3), F.least(F.lit(0.98), 0.6 * fit + 0.4 * F.least(F.lit(1.0), F.col("n") / 50)))
     good = m.filter((F.col("n") >= 15) & (length >= 0.10) & radius.between(0.01, 0.60))
-    return good.select(by, "n", *_named(start, "start"), *_named(end, "end"), F.round(2 * radius, 4).alias("diameter_m"), F.round(length, 4).alias("length_m"), F.round(F.abs(end[2] - start[2]) / F.greatest(flat, F.lit(1e-4)), 4).alias("slope"), F.round(rmse, 4).alias("rmse_m"), F.round(sure, 4).alias("confidence"))
+    return good.select(by, "n", *_named(start, "start"), *_named(end, "end"), F.bround(2 * radius, 4).alias("diameter_m"), F.bround(length, 4).alias("length_m"), F.bround(F.abs(end[2] - start[2]) / F.greatest(flat, F.lit(1e-4)), 4).alias("slope"), F.bround(rmse, 4).alias("rmse_m"), F.bround(sure, 4).alias("confidence"))
 
 
 def _boxed(m: DataFrame, by: str, least: int, good: Column, sure: float, across: tuple[str, str]) -> DataFrame:
     axis = [F.col(f"c{c}") + F.col("u0") * F.col(f"d{c}") for c in "xyz"], [F.col(f"c{c}") + F.col("u1") * F.col(f"d{c}") for c in "xyz"]
     sized = m.withColumns({"length_m": F.col("u1") - F.col("u0"), across[0]: F.col("v1") - F.col("v0"), across[1]: F.col("w1") - F.col("w0")})
-    return sized.filter((F.col("n") >= least) & good).select(by, "n", *_named(axis[0], "start"), *_named(axis[1], "end"), *[F.round(c, 4).alias(c) for c in ("length_m", *across)], F.lit(sure).alias("confidence"))
+    return sized.filter((F.col("n") >= least) & good).select(by, "n", *_named(axis[0], "start"), *_named(axis[1], "end"), *[F.bround(c, 4).alias(c) for c in ("length_m", *across)], F.lit(sure).alias("confidence"))
 
 
 def ducts(m: DataFrame, by: str) -> DataFrame:
@@ -80,7 +80,7 @@ def valves(m: DataFrame, by: str, pipe: str | None = None) -> DataFrame:
     """Centre and sizes, largest first, of instances of 10 points; surer where column `pipe` names a pipe."""
     sizes = F.reverse(F.array_sort(F.array(*[F.col(f"{c}1") - F.col(f"{c}0") for c in "uvw"])))
     sure = F.lit(0.65) if pipe is None else F.when(F.col(pipe).isNotNull(), 0.80).otherwise(0.65)
-    return m.filter("n >= 10").select(by, "n", *_named([F.col(f"c{c}") for c in "xyz"], "centre"), *[F.round(sizes[i], 4).alias(c) for i, c in enumerate(("length_m", "width_m", "height_m"))], sure.alias("confidence"))
+    return m.filter("n >= 10").select(by, "n", *_named([F.col(f"c{c}") for c in "xyz"], "centre"), *[F.bround(sizes[i], 4).alias(c) for i, c in enumerate(("length_m", "width_m", "height_m"))], sure.alias("confidence"))
 
 
 def oriented_boxes(m: DataFrame, by: str) -> DataFrame:
@@ -88,7 +88,7 @@ def oriented_boxes(m: DataFrame, by: str) -> DataFrame:
     mid = [(F.col(f"{c}0") + F.col(f"{c}1")) / 2 for c in "uvw"]
     v = [F.col("ny") * F.col("dz") - F.col("nz") * F.col("dy"), F.col("nz") * F.col("dx") - F.col("nx") * F.col("dz"), F.col("nx") * F.col("dy") - F.col("ny") * F.col("dx")]
     centre = [F.col(f"c{c}") + mid[0] * F.col(f"d{c}") + mid[1] * v[i] + mid[2] * F.col(f"n{c}") for i, c in enumerate("xyz")]
-    return m.select(by, "n", *_named(centre, "centre"), *[F.round((F.col(f"{c}1") - F.col(f"{c}0")) / 2, 4).alias(f"half_{c}") for c in "uvw"], *[F.round(f"d{c}", 4).alias(f"axis_{c}") for c in "xyz"], *[F.round(f"n{c}", 4).alias(f"normal_{c}") for c in "xyz"])
+    return m.select(by, "n", *_named(centre, "centre"), *[F.bround((F.col(f"{c}1") - F.col(f"{c}0")) / 2, 4).alias(f"half_{c}") for c in "uvw"], *[F.bround(f"d{c}", 4).alias(f"axis_{c}") for c in "xyz"], *[F.bround(f"n{c}", 4).alias(f"normal_{c}") for c in "xyz"])
 
 
 def patch_features(m: DataFrame, by: str) -> DataFrame:
@@ -98,7 +98,7 @@ def patch_features(m: DataFrame, by: str) -> DataFrame:
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("r_square") - F.col("r_mean") ** 2))
     round_ = F.when((F.col("n") > 4) & (F.col("r_mean") > 1e-6), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 2 * spread / F.col("r_mean")))).otherwise(0.0)
     values = {"planarity": (e1 - e0) / e2, "linearity": (e2 - e1) / e2, "scattering": e0 / e2, "curvature": e0 / (e0 + e1 + e2), "verticality": 1 - steep, "horizontality": steep, "cylindricality": round_}
-    return m.filter("n >= 3").select(by, "n", *[F.round(v, 4).alias(k) for k, v in values.items()])
+    return m.filter("n >= 3").select(by, "n", *[F.bround(v, 4).alias(k) for k, v in values.items()])
 
 
 def _thickness(counts: np.ndarray, low: float, high: float, spread: float, default: float) -> tuple[float, str]:
@@ -157,7 +157,7 @@ def walls(points: DataFrame, by: str, default_m: float = 0.20) -> DataFrame:
     wide = good.join(counted, by).select(by, "bins", "p0", "p1", "spread").mapInPandas(thick, f"{by} {kind}, thickness_m double, method string")
     line = lambda l: [-F.col("b") * F.col(l) - F.col("a") * F.col("d"), F.col("a") * F.col(l) - F.col("b") * F.col("d"), (F.col("z0") + F.col("z1")) / 2]
     degrees = F.pmod(F.degrees(F.atan2(F.col("a"), -F.col("b"))), F.lit(180.0))
-    return good.join(wide, by).select(by, "n", *_named(line("l0"), "start"), *_named(line("l1"), "end"), F.round(F.col("l1") - F.col("l0"), 4).alias("length_m"), F.round(F.col("z1") - F.col("z0"), 4).alias("height_m"), F.round("thickness_m", 4).alias("thickness_m"), "method", F.round(degrees, 4).alias("degrees"), F.round("z0", 4).alias("base_m"), F.round("rmse", 4).alias("rmse_m"))
+    return good.join(wide, by).select(by, "n", *_named(line("l0"), "start"), *_named(line("l1"), "end"), F.bround(F.col("l1") - F.col("l0"), 4).alias("length_m"), F.bround(F.col("z1") - F.col("z0"), 4).alias("height_m"), F.bround("thickness_m", 4).alias("thickness_m"), "method", F.bround(degrees, 4).alias("degrees"), F.bround("z0", 4).alias("base_m"), F.bround("rmse", 4).alias("rmse_m"))
 
 
 def columns(points: DataFrame, by: str) -> DataFrame:
@@ -173,7 +173,7 @@ def columns(points: DataFrame, by: str) -> DataFrame:
         u, v = F.col("x") * c + F.col("y") * s, F.col("y") * c - F.col("x") * s
         sums.append(F.struct(F.min(u).alias("u0"), F.max(u).alias("u1"), F.min(v).alias("v0"), F.max(v).alias("v1"), F.lit(t).alias("t"), F.lit(i).alias("i")))
     spans = own.groupBy(by).agg(F.count("*").alias("n"), F.min("z").alias("z0"), F.max("z").alias("z1"), F.array(*sums).alias("turns"))
-    area = lambda x: F.round((x["u1"] - x["u0"]) * (x["v1"] - x["v0"]), 12)
+    area = lambda x: F.bround((x["u1"] - x["u0"]) * (x["v1"] - x["v0"]), 12)
     best = F.array_min(F.transform("turns", lambda x: F.struct(area(x).alias("area"), x["i"].alias("i"), x["u0"].alias("u0"), x["u1"].alias("u1"), x["v0"].alias("v0"), x["v1"].alias("v1"), x["t"].alias("t"))))
     sized = spans.withColumn("b", best).select(by, "n", "z0", "z1", "b.*").withColumns({"width_m": F.col("u1") - F.col("u0"), "depth_m": F.col("v1") - F.col("v0")})
     good = sized.filter("n >= 25 AND z1 - z0 >= 0.60 AND width_m >= 0.08 AND depth_m >= 0.08")
@@ -183,7 +183,7 @@ def columns(points: DataFrame, by: str) -> DataFrame:
     spread = hot_join(own, good.select(by, "centre_x", "centre_y", "n"), by, "n", own.count(), "inner").groupBy(by).agg((F.stddev_pop(r) / F.greatest(F.avg(r), F.lit(1e-6))).alias("cv"))
     even = F.least("width_m", "depth_m") / F.greatest("width_m", "depth_m")
     profile = F.when((F.col("cv") < 0.12) & (even > 0.85), "CIRCULAR").otherwise("RECTANGULAR")
-    return good.join(spread, by).select(by, "n", F.round("centre_x", 4).alias("centre_x"), F.round("centre_y", 4).alias("centre_y"), F.round((F.col("z0") + F.col("z1")) / 2, 4).alias("centre_z"), *[F.round(c, 4).alias(c) for c in ("width_m", "depth_m")], F.round(F.col("z1") - F.col("z0"), 4).alias("height_m"), F.round(F.degrees("t"), 4).alias("degrees"), profile.alias("profile"))
+    return good.join(spread, by).select(by, "n", F.bround("centre_x", 4).alias("centre_x"), F.bround("centre_y", 4).alias("centre_y"), F.bround((F.col("z0") + F.col("z1")) / 2, 4).alias("centre_z"), *[F.bround(c, 4).alias(c) for c in ("width_m", "depth_m")], F.bround(F.col("z1") - F.col("z0"), 4).alias("height_m"), F.bround(F.degrees("t"), 4).alias("degrees"), profile.alias("profile"))
 
 
 def slabs(points: DataFrame, by: str, least_m: float = 0.10) -> DataFrame:
@@ -191,7 +191,7 @@ def slabs(points: DataFrame, by: str, least_m: float = 0.10) -> DataFrame:
     m = measured(points, by).filter("n >= 20 AND abs(nz) >= 0.80")
     thick = F.greatest(F.col("w1") - F.col("w0"), F.col("z1") - F.col("z0"), F.lit(least_m))
     outline = fits.polygons(points.select(by, "x", "y", "z").dropna(), by).filter("corners >= 3").select(by, "corners", "area")
-    return m.join(outline, by).select(by, "n", F.round(F.abs("nz"), 4).alias("nz"), F.round("z1", 4).alias("top_m"), F.round(F.col("z1") - thick, 4).alias("bottom_m"), F.round(thick, 4).alias("thickness_m"), "corners", F.round("area", 4).alias("area_m2"))
+    return m.join(outline, by).select(by, "n", F.bround(F.abs("nz"), 4).alias("nz"), F.bround("z1", 4).alias("top_m"), F.bround(F.col("z1") - thick, 4).alias("bottom_m"), F.bround(thick, 4).alias("thickness_m"), "corners", F.bround("area", 4).alias("area_m2"))
 
 
 def cylinder_sigma(points: DataFrame, by: str, axis: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def cylinder_sigma(points: DataFrame, by: str, axis: DataFrame) -> DataFrame:
     e = {c: F.col(c) - F.col(f"p{c}") for c in "xyz"}
     along = sum(e[c] * F.col(f"a{c}") for c in "xyz")
     away = F.sqrt(F.greatest(F.lit(0.0), sum(e[c] ** 2 for c in "xyz") - along**2))
-    return joined.groupBy(by).agg(F.round(F.sqrt(F.avg((away - F.col("radius")) ** 2)) * 1000, 4).alias("sigma_mm"))
+    return joined.groupBy(by).agg(F.bround(F.sqrt(F.avg((away - F.col("radius")) ** 2)) * 1000, 4).alias("sigma_mm"))
 
 
 def _verdict(df: DataFrame, finite: Column, rules: list[tuple[Column, str]], few: Column) -> DataFrame:

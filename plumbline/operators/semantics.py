@@ -17,14 +17,14 @@ TAXONOMY = {
 
 def hex_colour(r: Column, g: Column, b: Column) -> Column:
     """#RRGGBB of channels in 0 to 255."""
-    two = lambda c: F.lpad(F.hex(F.round(c).cast("long")), 2, "0")
+    two = lambda c: F.lpad(F.hex(F.bround(c).cast("long")), 2, "0")
     return F.concat(F.lit("#"), two(r), two(g), two(b))
 
 
 def dominant_colours(points: DataFrame, by: str) -> DataFrame:
     """Mean colour as text and the mean of the channels' population variances of each group."""
     s = points.groupBy(by).agg(*[F.avg(c).alias(c) for c in "rgb"], *[F.var_pop(c).alias(f"v{c}") for c in "rgb"], F.count("*").alias("n"))
-    return s.select(by, "n", hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("colour"), F.round((F.col("vr") + F.col("vg") + F.col("vb")) / 3, 4).alias("variance"))
+    return s.select(by, "n", hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("colour"), F.bround((F.col("vr") + F.col("vg") + F.col("vb")) / 3, 4).alias("variance"))
 
 
 def colour_groups(points: DataFrame, step: int = 32, most: int = 12, least: int = 120, share: float = 0.01) -> DataFrame:
@@ -55,7 +55,7 @@ def support_score(points: Column, rmse_m: Column, area_m2: Column) -> Column:
 def fused(rows: DataFrame) -> DataFrame:
     """Overall confidence of rows with geometry, points, rmse_m, area_m2, semantic and context."""
     support = support_score(F.col("points"), F.col("rmse_m"), F.col("area_m2"))
-    return rows.withColumn("support", F.round(support, 6)).withColumn("confidence", F.round(0.35 * F.col("geometry") + 0.30 * support + 0.20 * F.col("semantic") + 0.15 * F.col("context"), 6))
+    return rows.withColumn("support", F.bround(support, 6)).withColumn("confidence", F.bround(0.35 * F.col("geometry") + 0.30 * support + 0.20 * F.col("semantic") + 0.15 * F.col("context"), 6))
 
 
 def point_classes(points: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def point_classes(points: DataFrame) -> DataFrame:
 
 def reinforced(relations: DataFrame, weight: float = 0.15, cap: float = 0.40) -> DataFrame:
     """How much an element's relations raise its confidence: a part of their sum, up to the cap."""
-    return relations.groupBy("a").agg(F.count("*").alias("relations"), F.round(F.least(F.lit(cap), weight * F.sum("confidence")), 6).alias("boost"))
+    return relations.groupBy("a").agg(F.count("*").alias("relations"), F.bround(F.least(F.lit(cap), weight * F.sum("confidence")), 6).alias("boost"))
 
 
 def identity(segments: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def clashes(instructions: DataFrame, tolerance_mm: float = 20.0, order: str = "k
     clearance = F.greatest(*(E.gap(a) for a in E.AXES))
     pairs = box_pairs(instructions, instructions, tolerance_mm).filter((F.col(f"a.{order}") < F.col(f"b.{order}")) & (F.col("a.segment_id") != F.col("b.segment_id")))
     return pairs.filter((clearance < tolerance_mm) & ~whitelisted()).select(
-        F.col("a.segment_id").alias("a_id"), F.col("b.segment_id").alias("b_id"), F.col("a.zone_id").alias("zone_id"), F.when(clearance < 0, "hard").otherwise("soft").alias("clash_type"), F.round(clearance, 1).alias("clearance_mm")
+        F.col("a.segment_id").alias("a_id"), F.col("b.segment_id").alias("b_id"), F.col("a.zone_id").alias("zone_id"), F.when(clearance < 0, "hard").otherwise("soft").alias("clash_type"), F.bround(clearance, 1).alias("clearance_mm")
     )
 
 
@@ -92,7 +92,7 @@ def deviation(design: DataFrame, segments: DataFrame, matched_mm: float = 25.0,
     near = nearest_within(placed, scan, "global_id", "segment_id", shifted_mm)
     status = F.when(F.col("distance") < matched_mm, "MATCHED").when(F.col("distance") < shifted_mm, "SHIFTED").otherwise("MISSING")
     found = F.col("distance") < shifted_mm
-    rows = placed.select("global_id").join(near, "global_id", "left").select("global_id", F.when(found, F.col("segment_id")).alias("segment_id"), status.alias("status"), F.when(found, F.round("distance", 3)).alias("distance_mm"))
+    rows = placed.select("global_id").join(near, "global_id", "left").select("global_id", F.when(found, F.col("segment_id")).alias("segment_id"), status.alias("status"), F.when(found, F.bround("distance", 3)).alias("distance_mm"))
     seen = rows.filter("status <> 'MISSING'").select("segment_id").unionByName(within_radius(scan, placed, shifted_mm).filter(F.col("distance") < shifted_mm).select("a.segment_id"))
     extra = scan.select("segment_id").join(seen, "segment_id", "left_anti")
     return rows.unionByName(extra.select(F.lit(None).cast("string").alias("global_id"), "segment_id", F.lit("EXTRA").alias("status"), F.lit(None).cast("double").alias("distance_mm")))
@@ -101,7 +101,7 @@ def deviation(design: DataFrame, segments: DataFrame, matched_mm: float = 25.0,
 def mep_edges(segments: DataFrame, radius_mm: float = 300.0) -> DataFrame:
     """Pairs of service segments whose centroids lie within the radius."""
     own = segments.filter(F.col("shape").isin("cylinder", "box", "valve_candidate")).select("k", "cx", "cy", "cz")
-    return within_radius(own, own, radius_mm).filter("a.k < b.k").select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round("distance", 3).alias("distance_mm"))
+    return within_radius(own, own, radius_mm).filter("a.k < b.k").select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bround("distance", 3).alias("distance_mm"))
 
 
 def mep_networks(segments: DataFrame, radius_mm: float = 300.0) -> DataFrame:
@@ -118,7 +118,7 @@ def openings(walls: DataFrame, voids: DataFrame, slack_mm: float = 200.0) -> Dat
     across = F.abs(F.col("a.cy") - F.col("b.cy"))
     ok = (-E.gap("z") >= -slack_mm) & (F.col("a.cx") >= F.col("b.min_x") - slack_mm) & (F.col("a.cx") <= F.col("b.max_x") + slack_mm) & (across <= E.extent("y", "b") / 2 + slack_mm)
     best = pairs.filter(ok).groupBy(F.col("a.k").alias("opening")).agg(F.min(F.struct(across.alias("v"), F.col("b.k").alias("host"))).alias("m"))
-    return best.select("opening", "m.host", F.round("m.v", 3).alias("across_mm"))
+    return best.select("opening", "m.host", F.bround("m.v", 3).alias("across_mm"))
 
 
 def topology(elements: DataFrame, tolerance_mm: float = 250.0) -> DataFrame:
@@ -144,4 +144,4 @@ def storeys_of(segments: DataFrame, levels: DataFrame) -> DataFrame:
     """
     overlap = F.least("max_z", "top") - F.greatest("min_z", "base")
     best = segments.join(levels, (F.col("max_z") > F.col("base")) & (F.col("min_z") < F.col("top"))).groupBy("k").agg(F.max(F.struct(overlap.alias("o"), (-F.col("level")).alias("l"))).alias("m"))
-    return segments.select("k").join(best, "k", "left").select("k", (-F.col("m.l")).alias("level"), F.round("m.o", 3).alias("overlap_mm"))
+    return segments.select("k").join(best, "k", "left").select("k", (-F.col("m.l")).alias("level"), F.bround("m.o", 3).alias("overlap_mm"))

@@ -21,7 +21,7 @@ def level_clusters(segments: DataFrame, gap_mm: float = 350.0) -> DataFrame:
     order = W.orderBy("bin")
     new = F.when(F.col("lo") - F.lag("hi").over(order) <= gap_mm, 0).otherwise(1)
     runs = bins.withColumn("new", new).withColumn("cluster", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy("cluster").agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("p"), 1).alias("level_mm"), F.sum("p").alias("points"))
+    return runs.groupBy("cluster").agg(F.sum("n").alias("n"), F.bround(F.sum("s") / F.sum("p"), 1).alias("level_mm"), F.sum("p").alias("points"))
 
 
 def levels(segments: DataFrame, apart_mm: float = 1200.0, reach_mm: float = 2000.0, storey_mm: float = 3000.0) -> list[float]:

@@ -34,7 +34,7 @@ def unknown_decisions(gates: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def escalated(gates: DataFrame, decisions: DataFrame, now: Column, hours: float = 24.0) -> DataFrame:
     """Pending gates raised (raised_at) that many hours ago or more."""
-    return pending(gates, decisions).withColumn("hours", F.round((F.unix_micros(now) - F.unix_micros(F.col("raised_at").cast("timestamp"))) / 3.6e9, 4)).filter(F.col("hours") >= hours)
+    return pending(gates, decisions).withColumn("hours", F.bround((F.unix_micros(now) - F.unix_micros(F.col("raised_at").cast("timestamp"))) / 3.6e9, 4)).filter(F.col("hours") >= hours)
 
 
 def ncr_steps(steps: DataFrame) -> DataFrame:

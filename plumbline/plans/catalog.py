@@ -50,9 +50,9 @@ def classify_segments(spark, sf):
     return _classified(spark, sf).select("segment_id", "element_type", "discipline", "safety_category", "dsear_zone")
 
 
-@query(f"WITH {_C} SELECT zone_id, discipline, element_type, count(*) AS n, sum(point_count)::BIGINT AS points, round(avg(confidence), 4) AS mean_confidence FROM c GROUP BY 1, 2, 3", SEG)
+@query(f"WITH {_C} SELECT zone_id, discipline, element_type, count(*) AS n, sum(point_count)::BIGINT AS points, round_even(avg(confidence), 4) AS mean_confidence FROM c GROUP BY 1, 2, 3", SEG)
 def element_counts(spark, sf):
-    return _classified(spark, sf).groupBy("zone_id", "discipline", "element_type").agg(F.count("*").alias("n"), F.sum("point_count").alias("points"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    return _classified(spark, sf).groupBy("zone_id", "discipline", "element_type").agg(F.count("*").alias("n"), F.sum("point_count").alias("points"), F.bround(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
 @query(f"WITH {_M} SELECT segment_id, {rules_sql.VIABLE} AS reason FROM m", SEG)
@@ -74,9 +74,9 @@ def instruction_order(spark, sf):
     return segments.instruction_order(_classified(spark, sf))
 
 
-@query(f"WITH {_M} SELECT segment_id, min_e AS minor_mm, mid_e AS mid_mm, max_e AS major_mm, round((min_e + mid_e) / 2, 1) AS diameter_mm, round(max_e / greatest(mid_e, 1), 3) AS aspect FROM m", SEG)
+@query(f"WITH {_M} SELECT segment_id, min_e AS minor_mm, mid_e AS mid_mm, max_e AS major_mm, round_even((min_e + mid_e) / 2, 1) AS diameter_mm, round_even(max_e / greatest(mid_e, 1), 3) AS aspect FROM m", SEG)
 def geometry_parameters(spark, sf):
-    return segments.measured(view(spark, sf, SEG)).select("segment_id", F.col("min_e").alias("minor_mm"), F.col("mid_e").alias("mid_mm"), F.col("max_e").alias("major_mm"), F.round((F.col("min_e") + F.col("mid_e")) / 2, 1).alias("diameter_mm"), F.round(F.col("max_e") / F.greatest("mid_e", F.lit(1)), 3).alias("aspect"))
+    return segments.measured(view(spark, sf, SEG)).select("segment_id", F.col("min_e").alias("minor_mm"), F.col("mid_e").alias("mid_mm"), F.col("max_e").alias("major_mm"), F.bround((F.col("min_e") + F.col("mid_e")) / 2, 1).alias("diameter_mm"), F.bround(F.col("max_e") / F.greatest("mid_e", F.lit(1)), 3).alias("aspect"))
 
 
 @query("SELECT zone_id, CASE WHEN r <= 3 THEN zone_id ELSE 'zone-overflow' END AS target, count(*) AS n FROM (SELECT zone_id, dense_rank() OVER (ORDER BY f, zone_id) AS r FROM (SELECT zone_id, min(k) OVER (PARTITION BY zone_id) AS f FROM segments_v) q) q GROUP BY 1, 2", SEG)
@@ -86,10 +86,10 @@ def zone_decomposition(spark, sf, most: int = 3):
     return zones.withColumn("r", F.dense_rank().over(W.orderBy("f", "zone_id"))).select("zone_id", F.when(F.col("r") <= most, F.col("zone_id")).otherwise("zone-overflow").alias("target"), "n")
 
 
-@query("SELECT segment_id, part AS piece, round(min_x + part * (max_x - min_x) / parts, 6) AS piece_min_x, round(min_x + (part + 1) * (max_x - min_x) / parts, 6) AS piece_max_x FROM (SELECT *, unnest(generate_series(0, parts - 1)) AS part FROM (SELECT *, CAST(ceil((max_x - min_x) / 3000) AS BIGINT) AS parts FROM segments_v) q) q", SEG)
+@query("SELECT segment_id, part AS piece, round_even(min_x + part * (max_x - min_x) / parts, 6) AS piece_min_x, round_even(min_x + (part + 1) * (max_x - min_x) / parts, 6) AS piece_max_x FROM (SELECT *, unnest(generate_series(0, parts - 1)) AS part FROM (SELECT *, CAST(ceil((max_x - min_x) / 3000) AS BIGINT) AS parts FROM segments_v) q) q", SEG)
 def split_large_elements(spark, sf, most_mm: float = 3000.0):
     df = view(spark, sf, SEG).withColumn("parts", F.ceil(E.extent("x") / most_mm)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    at = lambda i: F.round(F.col("min_x") + i * E.extent("x") / F.col("parts"), 6)
+    at = lambda i: F.bround(F.col("min_x") + i * E.extent("x") / F.col("parts"), 6)
     return df.select("segment_id", "piece", at(F.col("piece")).alias("piece_min_x"), at(F.col("piece") + 1).alias("piece_max_x"))
 
 
@@ -98,7 +98,7 @@ ROTATION = [[0.6, -0.8, 0.0, 1000.0], [0.8, 0.6, 0.0, -500.0], [0.0, 0.0, 1.0, 2
 
 @query(
     """WITH corner AS (SELECT k, px * 0.6 - py * 0.8 + 1000 AS x, px * 0.8 + py * 0.6 - 500 AS y, pz + 250 AS z FROM (SELECT k, unnest([min_x, max_x]) AS px, min_y, max_y, min_z, max_z FROM segments_v) a, (SELECT 0) b, LATERAL (SELECT unnest([min_y, max_y]) AS py) c, LATERAL (SELECT unnest([min_z, max_z]) AS pz) d)
-SELECT k, round(min(x), 4) AS min_x, round(max(x), 4) AS max_x, round(min(y), 4) AS min_y, round(max(y), 4) AS max_y, round(min(z), 4) AS min_z, round(max(z), 4) AS max_z FROM corner GROUP BY k""",
+SELECT k, round_even(min(x), 4) AS min_x, round_even(max(x), 4) AS max_x, round_even(min(y), 4) AS min_y, round_even(max(y), 4) AS max_y, round_even(min(z), 4) AS min_z, round_even(max(z), 4) AS max_z FROM corner GROUP BY k""",
     SEG,
 )
 def rigid_transform(spark, sf):
@@ -107,20 +107,20 @@ def rigid_transform(spark, sf):
     corners = [E.affine(F.col(a), F.col(b), F.col(c), ROTATION) for a in ("min_x", "max_x") for b in ("min_y", "max_y") for c in ("min_z", "max_z")]
     out = [F.col("k")]
     for i, axis in enumerate("xyz"):
-        out += [F.round(F.least(*(c[i] for c in corners)), 4).alias(f"min_{axis}"), F.round(F.greatest(*(c[i] for c in corners)), 4).alias(f"max_{axis}")]
+        out += [F.bround(F.least(*(c[i] for c in corners)), 4).alias(f"min_{axis}"), F.bround(F.greatest(*(c[i] for c in corners)), 4).alias(f"max_{axis}")]
     return df.select(*out)
 
 
-@query("WITH o AS (SELECT (min(cx) + max(cx)) / 2 AS ox, (min(cy) + max(cy)) / 2 AS oy, min(min_z) AS oz FROM segments_v) SELECT k, round(cx - ox, 4) AS cx, round(cy - oy, 4) AS cy, round(cz - oz, 4) AS cz FROM segments_v, o", SEG)
+@query("WITH o AS (SELECT (min(cx) + max(cx)) / 2 AS ox, (min(cy) + max(cy)) / 2 AS oy, min(min_z) AS oz FROM segments_v) SELECT k, round_even(cx - ox, 4) AS cx, round_even(cy - oy, 4) AS cy, round_even(cz - oz, 4) AS cz FROM segments_v, o", SEG)
 def survey_centering(spark, sf):
     df = view(spark, sf, SEG)
     o = df.agg(((F.min("cx") + F.max("cx")) / 2).alias("ox"), ((F.min("cy") + F.max("cy")) / 2).alias("oy"), F.min("min_z").alias("oz"))
-    return df.crossJoin(F.broadcast(o)).select("k", *[F.round(F.col(f"c{a}") - F.col(f"o{a}"), 4).alias(f"c{a}") for a in "xyz"])
+    return df.crossJoin(F.broadcast(o)).select("k", *[F.bround(F.col(f"c{a}") - F.col(f"o{a}"), 4).alias(f"c{a}") for a in "xyz"])
 
 
 @query(
-    """SELECT k, i, round(CASE WHEN shape = 'cylinder' THEN cx + (max_x - min_x + max_y - min_y) / 4 * cos(2 * pi() * i / 12) ELSE CASE WHEN i IN (0, 3) THEN min_x ELSE max_x END END, 4) AS x,
- round(CASE WHEN shape = 'cylinder' THEN cy + (max_x - min_x + max_y - min_y) / 4 * sin(2 * pi() * i / 12) ELSE CASE WHEN i IN (0, 1) THEN min_y ELSE max_y END END, 4) AS y
+    """SELECT k, i, round_even(CASE WHEN shape = 'cylinder' THEN cx + (max_x - min_x + max_y - min_y) / 4 * cos(2 * pi() * i / 12) ELSE CASE WHEN i IN (0, 3) THEN min_x ELSE max_x END END, 4) AS x,
+ round_even(CASE WHEN shape = 'cylinder' THEN cy + (max_x - min_x + max_y - min_y) / 4 * sin(2 * pi() * i / 12) ELSE CASE WHEN i IN (0, 1) THEN min_y ELSE max_y END END, 4) AS y
 FROM (SELECT *, unnest(generate_series(0, CASE WHEN shape = 'cylinder' THEN 11 ELSE 3 END)) AS i FROM segments_v WHERE min_z <= 1250 AND max_z >= 1150) q""",
     SEG,
 )
@@ -131,7 +131,7 @@ def floor_plan_slice(spark, sf, elevation_mm: float = 1200.0, thickness_mm: floa
     r, angle = (E.extent("x") + E.extent("y")) / 4, 2 * F.pi() * F.col("i") / 12
     x = F.when(F.col("shape") == "cylinder", F.col("cx") + r * F.cos(angle)).when(F.col("i").isin(0, 3), F.col("min_x")).otherwise(F.col("max_x"))
     y = F.when(F.col("shape") == "cylinder", F.col("cy") + r * F.sin(angle)).when(F.col("i").isin(0, 1), F.col("min_y")).otherwise(F.col("max_y"))
-    return df.select("k", "i", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+    return df.select("k", "i", F.bround(x, 4).alias("x"), F.bround(y, 4).alias("y"))
 
 
 @query("SELECT bin, sum(point_count)::BIGINT AS weight, count(*) AS planes FROM (SELECT *, CAST(floor(CASE WHEN max_x - min_x >= max_y - min_y THEN 0 ELSE 90 END / 10.0) AS BIGINT) AS bin FROM segments_v WHERE shape = 'plane_vertical') q GROUP BY 1", SEG)
@@ -142,7 +142,7 @@ def dominant_orientation(spark, sf):
 @query(
     """WITH h AS (SELECT cz, point_count, k, CASE WHEN cz - lag(cz) OVER (ORDER BY cz, k) <= 350 THEN 0 ELSE 1 END AS new FROM segments_v WHERE shape = 'plane_horizontal'),
 g AS (SELECT *, sum(new) OVER (ORDER BY cz, k ROWS UNBOUNDED PRECEDING) AS grp FROM h)
-SELECT CAST(grp AS BIGINT) AS cluster, count(*) AS n, round(sum(cz * point_count) / sum(point_count), 1) AS level_mm FROM g GROUP BY 1""",
+SELECT CAST(grp AS BIGINT) AS cluster, count(*) AS n, round_even(sum(cz * point_count) / sum(point_count), 1) AS level_mm FROM g GROUP BY 1""",
     SEG,
 )
 def level_clusters(spark, sf):
@@ -158,7 +158,7 @@ _EITHER = lambda x, y: f"((a.element_type IN {_SET(x)} AND b.element_type IN {_S
 _WHITE = rules_sql.ALLOWED
 
 
-@query(f"WITH {_C} SELECT a.segment_id AS a_id, b.segment_id AS b_id, a.zone_id, CASE WHEN {_CL} < 0 THEN 'hard' ELSE 'soft' END AS clash_type, round({_CL}, 1) AS clearance_mm FROM c a JOIN c b ON a.k < b.k AND {_CL} < 20 AND NOT {_WHITE}", SEG)
+@query(f"WITH {_C} SELECT a.segment_id AS a_id, b.segment_id AS b_id, a.zone_id, CASE WHEN {_CL} < 0 THEN 'hard' ELSE 'soft' END AS clash_type, round_even({_CL}, 1) AS clearance_mm FROM c a JOIN c b ON a.k < b.k AND {_CL} < 20 AND NOT {_WHITE}", SEG)
 def clash_detection(spark, sf):
     return spatial.clashes(_classified(spark, sf))
 
@@ -172,17 +172,17 @@ _VOL = "(({0}.max_x - {0}.min_x) * ({0}.max_y - {0}.min_y) * ({0}.max_z - {0}.mi
 _INT = " * ".join(f"greatest(-({_GAP.format(a)}), 0)" for a in "xyz")
 
 
-@query(f"SELECT a.k AS a, b.k AS b, round(i / (va + vb - i), 6) AS iou, round(i / least(va, vb), 6) AS containment FROM (SELECT a, b, {_INT} AS i, {_VOL.format('a')} AS va, {_VOL.format('b')} AS vb FROM segments_v a JOIN segments_v b ON a.k < b.k AND {_CL} < 0) q", SEG)
+@query(f"SELECT a.k AS a, b.k AS b, round_even(i / (va + vb - i), 6) AS iou, round_even(i / least(va, vb), 6) AS containment FROM (SELECT a, b, {_INT} AS i, {_VOL.format('a')} AS va, {_VOL.format('b')} AS vb FROM segments_v a JOIN segments_v b ON a.k < b.k AND {_CL} < 0) q", SEG)
 def overlapping_boxes(spark, sf):
     df = view(spark, sf, SEG)
-    return spatial.box_pairs(df, df).filter((F.col("a.k") < F.col("b.k")) & (E.intersection() > 0)).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(E.iou(), 6).alias("iou"), F.round(E.containment(), 6).alias("containment"))
+    return spatial.box_pairs(df, df).filter((F.col("a.k") < F.col("b.k")) & (E.intersection() > 0)).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.bround(E.iou(), 6).alias("iou"), F.bround(E.containment(), 6).alias("containment"))
 
 
 _DIST = "sqrt((s.cx - d.dx) ** 2 + (s.cy - d.dy) ** 2 + (s.cz - d.dz) ** 2)"
 _DEV = f"""WITH pair AS (SELECT d.global_id, s.segment_id, {_DIST} AS distance FROM design_v d, segments_v s),
 best AS (SELECT global_id, arg_min(segment_id, (distance, segment_id)) AS segment_id, min(distance) AS distance FROM pair GROUP BY 1),
 near AS (SELECT segment_id, min(distance) AS distance FROM pair GROUP BY 1),
-r AS (SELECT global_id, CASE WHEN distance < 150 THEN segment_id END AS segment_id, CASE WHEN distance < 25 THEN 'MATCHED' WHEN distance < 150 THEN 'SHIFTED' ELSE 'MISSING' END AS status, CASE WHEN distance < 150 THEN round(distance, 3) END AS distance_mm FROM best
+r AS (SELECT global_id, CASE WHEN distance < 150 THEN segment_id END AS segment_id, CASE WHEN distance < 25 THEN 'MATCHED' WHEN distance < 150 THEN 'SHIFTED' ELSE 'MISSING' END AS status, CASE WHEN distance < 150 THEN round_even(distance, 3) END AS distance_mm FROM best
 UNION ALL SELECT NULL, segment_id, 'EXTRA', NULL FROM near WHERE distance >= 150)
 """
 
@@ -200,7 +200,7 @@ def deviation_heatmap(spark, sf):
 _MEP = "e AS (SELECT a.k AS a, b.k AS b, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2) AS d FROM segments_v a JOIN segments_v b ON a.k < b.k AND a.shape IN ('cylinder', 'box', 'valve_candidate') AND b.shape IN ('cylinder', 'box', 'valve_candidate') AND abs(a.cx - b.cx) <= 1000 AND abs(a.cy - b.cy) <= 1000 AND abs(a.cz - b.cz) <= 1000)"
 
 
-@query(f"WITH {_MEP} SELECT a, b, round(d, 3) AS distance_mm FROM e WHERE d <= 1000", SEG)
+@query(f"WITH {_MEP} SELECT a, b, round_even(d, 3) AS distance_mm FROM e WHERE d <= 1000", SEG)
 def mep_proximity(spark, sf):
     return spatial.mep_edges(view(spark, sf, SEG), 1000.0)
 
@@ -212,7 +212,7 @@ def mep_networks(spark, sf):
 
 @query(
     f"""WITH p AS (SELECT a.k AS opening, b.k AS host, abs(a.cy - b.cy) AS v FROM segments_v a JOIN segments_v b ON a.shape = 'void' AND b.shape = 'plane_vertical' AND {_GAP.format("z")} <= 200 AND a.cx >= b.min_x - 200 AND a.cx <= b.max_x + 200 AND abs(a.cy - b.cy) <= (b.max_y - b.min_y) / 2 + 200)
-SELECT opening, arg_min(host, (v, host)) AS host, round(min(v), 3) AS across_mm FROM p GROUP BY 1""",
+SELECT opening, arg_min(host, (v, host)) AS host, round_even(min(v), 3) AS across_mm FROM p GROUP BY 1""",
     SEG,
 )
 def opening_hosts(spark, sf):
@@ -236,7 +236,7 @@ def topology_relations(spark, sf):
     return spatial.topology(_classified(spark, sf))
 
 
-@query("SELECT k, CASE WHEN o IS NOT NULL THEN level END AS level, round(o, 3) AS overlap_mm FROM (SELECT s.k, arg_max(l.level, (least(max_z, l.top) - greatest(min_z, l.base), -l.level)) AS level, max(least(max_z, l.top) - greatest(min_z, l.base)) AS o FROM segments_v s LEFT JOIN (SELECT i AS level, i * 3000.0 AS base, (i + 1) * 3000.0 AS top FROM range(4) t(i)) l ON max_z > l.base AND min_z < l.top GROUP BY 1) q", SEG)
+@query("SELECT k, CASE WHEN o IS NOT NULL THEN level END AS level, round_even(o, 3) AS overlap_mm FROM (SELECT s.k, arg_max(l.level, (least(max_z, l.top) - greatest(min_z, l.base), -l.level)) AS level, max(least(max_z, l.top) - greatest(min_z, l.base)) AS o FROM segments_v s LEFT JOIN (SELECT i AS level, i * 3000.0 AS base, (i + 1) * 3000.0 AS top FROM range(4) t(i)) l ON max_z > l.base AND min_z < l.top GROUP BY 1) q", SEG)
 def storey_assignment(spark, sf):
     levels = spark.range(4).select(F.col("id").alias("level"), (F.col("id") * 3000.0).alias("base"), ((F.col("id") + 1) * 3000.0).alias("top"))
     return spatial.storeys_of(view(spark, sf, SEG), levels)
@@ -247,7 +247,7 @@ def storey_assignment(spark, sf):
 _CELL = "CAST(floor({0} / {1}) AS BIGINT)"
 
 
-@query("SELECT CAST(floor(x / 0.5) AS BIGINT) AS vx, CAST(floor(y / 0.5) AS BIGINT) AS vy, CAST(floor(z / 0.5) AS BIGINT) AS vz, count(*) AS n, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(avg(z), 6) AS mean_z FROM points_v GROUP BY 1, 2, 3", PTS)
+@query("SELECT CAST(floor(x / 0.5) AS BIGINT) AS vx, CAST(floor(y / 0.5) AS BIGINT) AS vy, CAST(floor(z / 0.5) AS BIGINT) AS vz, count(*) AS n, round_even(avg(x), 6) AS mean_x, round_even(avg(y), 6) AS mean_y, round_even(avg(z), 6) AS mean_z FROM points_v GROUP BY 1, 2, 3", PTS)
 def voxel_downsample(spark, sf):
     return points.voxels(view(spark, sf, PTS))
 
@@ -277,27 +277,27 @@ def height_profile(spark, sf):
     return points.profile(view(spark, sf, PTS))
 
 
-@query("SELECT CAST(floor(x / 0.3) AS BIGINT) AS gx, CAST(floor(y / 0.3) AS BIGINT) AS gy, count(*) AS n, round(max(z) - min(z), 6) AS span FROM points_v GROUP BY 1, 2 HAVING count(*) >= 10 AND round(max(z) - min(z), 6) >= 3", PTS)
+@query("SELECT CAST(floor(x / 0.3) AS BIGINT) AS gx, CAST(floor(y / 0.3) AS BIGINT) AS gy, count(*) AS n, round_even(max(z) - min(z), 6) AS span FROM points_v GROUP BY 1, 2 HAVING count(*) >= 10 AND round_even(max(z) - min(z), 6) >= 3", PTS)
 def column_cells(spark, sf):
     return points.column_cells(view(spark, sf, PTS), least_points=10)
 
 
-@query("SELECT surface, count(*) AS n, " + ", ".join(f"round(quantile_cont({c}, 0.05), 6) AS p5_{c}, round(quantile_cont({c}, 0.95), 6) AS p95_{c}" for c in "xyz") + " FROM points_v GROUP BY 1", PTS)
+@query("SELECT surface, count(*) AS n, " + ", ".join(f"round_even(quantile_cont({c}, 0.05), 6) AS p5_{c}, round_even(quantile_cont({c}, 0.95), 6) AS p95_{c}" for c in "xyz") + " FROM points_v GROUP BY 1", PTS)
 def robust_extents(spark, sf):
     return points.robust_extents(view(spark, sf, PTS))
 
 
-@query("SELECT surface, " + ", ".join(f"round(covar_samp({a}, {b}), 4) AS c{a}{b}" for i, a in enumerate("xyz") for b in "xyz"[i:]) + " FROM points_v GROUP BY 1", PTS)
+@query("SELECT surface, " + ", ".join(f"round_even(covar_samp({a}, {b}), 4) AS c{a}{b}" for i, a in enumerate("xyz") for b in "xyz"[i:]) + " FROM points_v GROUP BY 1", PTS)
 def covariance_features(spark, sf):
     return points.covariances(view(spark, sf, PTS))
 
 
-@query("SELECT surface, round(sqrt(avg(e * e)) * 1000, 4) AS sigma_mm FROM (SELECT surface, CASE surface WHEN 0 THEN y - 0.002 WHEN 1 THEN y - 6.002 WHEN 2 THEN x - 0.002 WHEN 3 THEN x - 8.002 END AS e FROM points_v) q WHERE e IS NOT NULL GROUP BY 1", PTS)
+@query("SELECT surface, round_even(sqrt(avg(e * e)) * 1000, 4) AS sigma_mm FROM (SELECT surface, CASE surface WHEN 0 THEN y - 0.002 WHEN 1 THEN y - 6.002 WHEN 2 THEN x - 0.002 WHEN 3 THEN x - 8.002 END AS e FROM points_v) q WHERE e IS NOT NULL GROUP BY 1", PTS)
 def plane_sigma(spark, sf):
     return points.plane_sigma(view(spark, sf, PTS), "surface", {0: (0, 1, 0, -0.002), 1: (0, 1, 0, -6.002), 2: (1, 0, 0, -0.002), 3: (1, 0, 0, -8.002)})
 
 
-@query("SELECT round(d, 6) AS diagonal, unit, CASE WHEN d BETWEEN lo AND hi THEN s ELSE 0 END::DOUBLE AS score FROM (SELECT sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) AS d FROM points_v) p, (VALUES ('m', 1.0, 2000.0, 0.75), ('mm', 1000.0, 2000000.0, 0.5), ('ft', 3.0, 6500.0, 0.6)) u(unit, lo, hi, s)", PTS)
+@query("SELECT round_even(d, 6) AS diagonal, unit, CASE WHEN d BETWEEN lo AND hi THEN s ELSE 0 END::DOUBLE AS score FROM (SELECT sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) AS d FROM points_v) p, (VALUES ('m', 1.0, 2000.0, 0.75), ('mm', 1000.0, 2000000.0, 0.5), ('ft', 3.0, 6500.0, 0.6)) u(unit, lo, hi, s)", PTS)
 def unit_resolution(spark, sf):
     return points.unit_scores(view(spark, sf, PTS))
 
@@ -312,7 +312,7 @@ def statistical_outliers(spark, sf):
     return points.outliers(view(spark, sf, PTS))
 
 
-@query("SELECT zone_id, round(points / area_m2, 4) AS density, round(noise / points, 4) AS noise_ratio, concat_ws(',', CASE WHEN points < 1000 THEN 'too_few_points' END, CASE WHEN points / area_m2 < 100 THEN 'low_density' END) AS errors, concat_ws(',', CASE WHEN noise / points > 0.1 THEN 'noisy' END, CASE WHEN area_m2 < 1 THEN 'small_area' END) AS warnings, points >= 1000 AND points / area_m2 >= 100 AS passed FROM (SELECT zone_id, sum(point_count) AS points, sum((max_x - min_x) * (max_y - min_y)) / 1e6 AS area_m2, sum(CASE WHEN shape = 'valve_candidate' THEN point_count ELSE 0 END) AS noise FROM segments_v GROUP BY 1) q", SEG)
+@query("SELECT zone_id, round_even(points / area_m2, 4) AS density, round_even(noise / points, 4) AS noise_ratio, concat_ws(',', CASE WHEN points < 1000 THEN 'too_few_points' END, CASE WHEN points / area_m2 < 100 THEN 'low_density' END) AS errors, concat_ws(',', CASE WHEN noise / points > 0.1 THEN 'noisy' END, CASE WHEN area_m2 < 1 THEN 'small_area' END) AS warnings, points >= 1000 AND points / area_m2 >= 100 AS passed FROM (SELECT zone_id, sum(point_count) AS points, sum((max_x - min_x) * (max_y - min_y)) / 1e6 AS area_m2, sum(CASE WHEN shape = 'valve_candidate' THEN point_count ELSE 0 END) AS noise FROM segments_v GROUP BY 1) q", SEG)
 def scan_quality_gate(spark, sf):
     scans = view(spark, sf, SEG).groupBy("zone_id").agg(F.sum("point_count").alias("points"), (F.sum(E.extent("x") * E.extent("y")) / 1e6).alias("area_m2"), F.sum(F.when(F.col("shape") == "valve_candidate", F.col("point_count")).otherwise(0)).alias("noise"))
     return quality.scan_gate(scans)
@@ -342,12 +342,12 @@ def station_classes(spark, sf):
     return quality.registration(view(spark, sf, STA))
 
 
-@query(f"SELECT round(g, 4) AS global_rmse_mm, round(r, 4) AS mean_ratio, (['A', 'B', 'C', 'FAIL'])[greatest(w, {_RICS.format('g', 'r', 0, 1, 2, 3)}) + 1] AS overall FROM (SELECT sqrt(avg(CASE WHEN station_index > 0 THEN rmse_mm * rmse_mm END)) AS g, avg(inlier_ratio) AS r, max({_RICS.format('rmse_mm', 'inlier_ratio', 0, 1, 2, 3)}) AS w FROM stations_v) q", STA)
+@query(f"SELECT round_even(g, 4) AS global_rmse_mm, round_even(r, 4) AS mean_ratio, (['A', 'B', 'C', 'FAIL'])[greatest(w, {_RICS.format('g', 'r', 0, 1, 2, 3)}) + 1] AS overall FROM (SELECT sqrt(avg(CASE WHEN station_index > 0 THEN rmse_mm * rmse_mm END)) AS g, avg(inlier_ratio) AS r, max({_RICS.format('rmse_mm', 'inlier_ratio', 0, 1, 2, 3)}) AS w FROM stations_v) q", STA)
 def registration_quality(spark, sf):
     return quality.registration_overall(view(spark, sf, STA))
 
 
-_CHK = "k AS (SELECT segment_id, round(greatest(sqrt(((k % 5) ** 2 + (k % 11) ** 2 + (k % 17) ** 2) / 3.0), (k % 13)::DOUBLE), 2) AS deviation_mm FROM segments_v)"
+_CHK = "k AS (SELECT segment_id, round_even(greatest(sqrt(((k % 5) ** 2 + (k % 11) ** 2 + (k % 17) ** 2) / 3.0), (k % 13)::DOUBLE), 2) AS deviation_mm FROM segments_v)"
 
 
 def _checks(spark, sf):
@@ -362,7 +362,7 @@ def deviation_checks(spark, sf):
     return _checks(spark, sf)
 
 
-@query(f"WITH {_CHK} SELECT count(*) AS n, round(100.0 * avg((deviation_mm <= 10)::INT), 1) AS pass_rate, max(deviation_mm) AS max_mm, round(avg(deviation_mm), 2) AS mean_mm, count(*) FILTER (deviation_mm > 10) AS n_failed FROM k", SEG)
+@query(f"WITH {_CHK} SELECT count(*) AS n, round_even(100.0 * avg((deviation_mm <= 10)::INT), 1) AS pass_rate, max(deviation_mm) AS max_mm, round_even(avg(deviation_mm), 2) AS mean_mm, count(*) FILTER (deviation_mm > 10) AS n_failed FROM k", SEG)
 def deviation_summary(spark, sf):
     return quality.deviation_summary(_checks(spark, sf))
 
@@ -373,7 +373,7 @@ def fmea_summary(spark, sf):
 
 
 _HAND = f"""{_C}, a(element_type, attribute) AS (VALUES {rules_sql.WANTED}),
-r AS (SELECT upper(substr(c.element_type, 1, 2)) || '-' || right(segment_id, 6) AS tag, c.element_type, attribute, CASE attribute WHEN 'diameter' THEN round((min_e + mid_e) / 2, 1) WHEN 'length' THEN round(max_e, 1) WHEN 'volume' THEN round(w * d * h / 1e9, 6) END AS value FROM c JOIN a USING (element_type))"""
+r AS (SELECT upper(substr(c.element_type, 1, 2)) || '-' || right(segment_id, 6) AS tag, c.element_type, attribute, CASE attribute WHEN 'diameter' THEN round_even((min_e + mid_e) / 2, 1) WHEN 'length' THEN round_even(max_e, 1) WHEN 'volume' THEN round_even(w * d * h / 1e9, 6) END AS value FROM c JOIN a USING (element_type))"""
 
 
 @query(f"WITH {_HAND} SELECT tag, element_type, attribute, value, CASE WHEN value IS NULL THEN 'PENDING' ELSE 'POPULATED' END AS status FROM r", SEG)
@@ -381,7 +381,7 @@ def handover_attributes(spark, sf):
     return quality.handover(_classified(spark, sf))
 
 
-@query(f"WITH {_HAND} SELECT element_type, count(*) AS asked, count(value) AS populated, round(100.0 * count(value) / count(*), 1) AS pct FROM r GROUP BY 1", SEG)
+@query(f"WITH {_HAND} SELECT element_type, count(*) AS asked, count(value) AS populated, round_even(100.0 * count(value) / count(*), 1) AS pct FROM r GROUP BY 1", SEG)
 def handover_coverage(spark, sf):
     return quality.coverage(handover_attributes(spark, sf))
 
@@ -439,7 +439,7 @@ def audit_chain_faults(spark, sf):
 # Metrics -----------------------------------------------------------------------------------------------------------
 
 _K = "k AS (SELECT label, (SELECT count(*) FROM labels_v WHERE y_true = label) AS support, (SELECT count(*) FROM labels_v WHERE y_pred = label) AS predicted, (SELECT count(*) FROM labels_v WHERE y_true = label AND y_pred = label) AS tp FROM (SELECT y_true AS label FROM labels_v UNION SELECT y_pred FROM labels_v) u)"
-_KM = f"{_K}, m AS (SELECT label, support, predicted, tp, round(coalesce(tp / nullif(predicted, 0), 0), 4) AS precision, round(coalesce(tp / nullif(support, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(support + predicted, 0), 0), 4) AS f1, round(coalesce(tp / nullif(support + predicted - tp, 0), 0), 4) AS iou FROM k)"
+_KM = f"{_K}, m AS (SELECT label, support, predicted, tp, round_even(coalesce(tp / nullif(predicted, 0), 0), 4) AS precision, round_even(coalesce(tp / nullif(support, 0), 0), 4) AS recall, round_even(coalesce(2 * tp / nullif(support + predicted, 0), 0), 4) AS f1, round_even(coalesce(tp / nullif(support + predicted - tp, 0), 0), 4) AS iou FROM k)"
 
 
 @query("SELECT y_true, y_pred, count(*) AS n FROM labels_v GROUP BY 1, 2", LAB)
@@ -452,12 +452,12 @@ def class_metrics(spark, sf):
     return metrics.class_metrics(view(spark, sf, LAB))
 
 
-@query(f"WITH {_KM} SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(avg(iou), 6) AS mean_iou FROM m", LAB)
+@query(f"WITH {_KM} SELECT round_even(sum(tp) / sum(support), 6) AS accuracy, round_even(avg(f1), 6) AS macro_f1, round_even(avg(iou), 6) AS mean_iou FROM m", LAB)
 def overall_metrics(spark, sf):
     return metrics.overall_metrics(view(spark, sf, LAB))
 
 
-_INST = "t AS (SELECT point_id, surface AS gt FROM points_v), p AS (SELECT point_id, CASE WHEN surface = 4 AND point_id % 4 >= 2 THEN 6 WHEN point_id % 10 = 0 THEN (surface + 1) % 6 ELSE surface END AS pred FROM points_v), i AS (SELECT gt, pred, count(*) AS shared, (SELECT count(*) FROM t t2 WHERE t2.gt = t.gt) AS nt, (SELECT count(*) FROM p p2 WHERE p2.pred = p.pred) AS np FROM t JOIN p USING (point_id) GROUP BY 1, 2), j AS (SELECT gt, pred, shared, round(shared / (nt + np - shared), 6) AS iou, nt, np FROM i)"
+_INST = "t AS (SELECT point_id, surface AS gt FROM points_v), p AS (SELECT point_id, CASE WHEN surface = 4 AND point_id % 4 >= 2 THEN 6 WHEN point_id % 10 = 0 THEN (surface + 1) % 6 ELSE surface END AS pred FROM points_v), i AS (SELECT gt, pred, count(*) AS shared, (SELECT count(*) FROM t t2 WHERE t2.gt = t.gt) AS nt, (SELECT count(*) FROM p p2 WHERE p2.pred = p.pred) AS np FROM t JOIN p USING (point_id) GROUP BY 1, 2), j AS (SELECT gt, pred, shared, round_even(shared / (nt + np - shared), 6) AS iou, nt, np FROM i)"
 
 
 def _instances(spark, sf):
@@ -478,18 +478,18 @@ def instance_metrics(spark, sf):
     return metrics.instance_metrics(pairs, truth)
 
 
-@query("SELECT point_id, arg_max(label, (p, -label)) AS label, max(p) AS p FROM (SELECT point_id, label, round(avg(p), 6) AS p FROM (SELECT point_id, l AS label, ((point_id * (l + 3) + c * 7) % 11) / 10.0E0 AS p FROM points_v, range(3) a(l), range(2) b(c) WHERE (point_id + c) % 3 <> 0) q GROUP BY 1, 2) q GROUP BY 1", PTS)
+@query("SELECT point_id, arg_max(label, (p, -label)) AS label, max(p) AS p FROM (SELECT point_id, label, round_even(avg(p), 6) AS p FROM (SELECT point_id, l AS label, ((point_id * (l + 3) + c * 7) % 11) / 10.0E0 AS p FROM points_v, range(3) a(l), range(2) b(c) WHERE (point_id + c) % 3 <> 0) q GROUP BY 1, 2) q GROUP BY 1", PTS)
 def chunk_reconciliation(spark, sf):
     v = view(spark, sf, PTS).select("point_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("label")).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).filter((F.col("point_id") + F.col("c")) % 3 != 0)
     return metrics.reconciled(v.withColumn("p", ((F.col("point_id") * (F.col("label") + 3) + F.col("c") * 7) % 11) / F.lit(10.0)))
 
 
-@query("WITH n AS (SELECT y_true AS label, count(*) AS n FROM labels_v GROUP BY 1) SELECT label, n, round(((SELECT sum(n) FROM n) + (SELECT count(*) FROM n)) / ((SELECT count(*) FROM n) * (n + 1)), 6) AS weight FROM n", LAB)
+@query("WITH n AS (SELECT y_true AS label, count(*) AS n FROM labels_v GROUP BY 1) SELECT label, n, round_even(((SELECT sum(n) FROM n) + (SELECT count(*) FROM n)) / ((SELECT count(*) FROM n) * (n + 1)), 6) AS weight FROM n", LAB)
 def class_weights(spark, sf):
     return metrics.class_weights(view(spark, sf, LAB))
 
 
-@query("SELECT query_id, CAST(r - 1 AS BIGINT) AS rank, vec_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS r FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1] - x[2])::DOUBLE * (x[1] - x[2])::DOUBLE)), 4) AS d2 FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) p) p WHERE r <= 3")
+@query("SELECT query_id, CAST(r - 1 AS BIGINT) AS rank, vec_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS r FROM (SELECT q.vec_id AS query_id, v.vec_id, round_even(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1] - x[2])::DOUBLE * (x[1] - x[2])::DOUBLE)), 4) AS d2 FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) p) p WHERE r <= 3")
 def nearest_vectors(spark, sf):
     return metrics.nearest_vectors(view(spark, sf, "embeddings"))
 
@@ -497,10 +497,10 @@ def nearest_vectors(spark, sf):
 # Windows over events -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round_even(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def hourly_events(spark, sf):
     e = view(spark, sf, "events")
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 4).alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, i")
@@ -582,7 +582,7 @@ def dbscan_clusters(spark, sf):
 
 @query()
 def pca_features(spark, sf):
-    return fits.eigen(view(spark, sf, PTS), "surface").select("surface", "n", *[F.round(c, 4).alias(c) for c in ("nx", "ny", "nz", "linearity", "planarity", "sphericity")])
+    return fits.eigen(view(spark, sf, PTS), "surface").select("surface", "n", *[F.bround(c, 4).alias(c) for c in ("nx", "ny", "nz", "linearity", "planarity", "sphericity")])
 
 
 @query()
@@ -641,7 +641,7 @@ def _coloured(spark, sf):
     return view(spark, sf, PTS).withColumns({"r": r.cast("double"), "g": F.when(i % 3 == 0, r).otherwise((i * 11) % 256).cast("double"), "b": F.when(i % 3 == 0, r).otherwise(F.col("surface") * 40).cast("double")})
 
 
-@query(f"WITH {_RGB} SELECT surface, count(*) AS n, '#' || " + " || ".join(f"lpad(to_hex(round(avg({c}))::BIGINT), 2, '0')" for c in "rgb") + " AS colour, round((var_pop(r) + var_pop(g) + var_pop(b)) / 3, 4) AS variance FROM rgb GROUP BY 1", PTS)
+@query(f"WITH {_RGB} SELECT surface, count(*) AS n, '#' || " + " || ".join(f"lpad(to_hex(round_even(avg({c}), 0)::BIGINT), 2, '0')" for c in "rgb") + " AS colour, round_even((var_pop(r) + var_pop(g) + var_pop(b)) / 3, 4) AS variance FROM rgb GROUP BY 1", PTS)
 def dominant_colours(spark, sf):
     return semantics.dominant_colours(_coloured(spark, sf), "surface")
 
@@ -664,7 +664,7 @@ def taxonomy_mapping(spark, sf):
     return semantics.mapped(view(spark, sf, SEG).select("segment_id", "shape"), "scan", "shape")
 
 
-@query("SELECT segment_id, round(s, 6) AS support, round(0.35 * confidence + 0.30 * s + 0.20 * ((k % 10) / 10.0E0) + 0.15 * 0.5, 6) AS confidence FROM (SELECT *, 0.4 * least(1.0, point_count / 50.0E0) + 0.4 * greatest(0.0, 1 - ((k % 8) / 100.0E0) / 0.05) + 0.2 * least(1.0, (max_x - min_x) * (max_y - min_y) / 1e6 / 0.5) AS s FROM segments_v) q", SEG)
+@query("SELECT segment_id, round_even(s, 6) AS support, round_even(0.35 * confidence + 0.30 * s + 0.20 * ((k % 10) / 10.0E0) + 0.15 * 0.5, 6) AS confidence FROM (SELECT *, 0.4 * least(1.0, point_count / 50.0E0) + 0.4 * greatest(0.0, 1 - ((k % 8) / 100.0E0) / 0.05) + 0.2 * least(1.0, (max_x - min_x) * (max_y - min_y) / 1e6 / 0.5) AS s FROM segments_v) q", SEG)
 def fused_confidence(spark, sf):
     rows = view(spark, sf, SEG).select("segment_id", F.col("confidence").alias("geometry"), F.col("point_count").alias("points"), ((F.col("k") % 8) / 100).alias("rmse_m"), (E.extent("x") * E.extent("y") / 1e6).alias("area_m2"), ((F.col("k") % 10) / 10).alias("semantic"), F.lit(0.5).alias("context"))
     return semantics.fused(rows).select("segment_id", "support", "confidence")
@@ -690,7 +690,7 @@ def output_hashes(spark, sf):
     return semantics.output_hash(view(spark, sf, SEG), "zone_id", "segment_id")
 
 
-@query(f"WITH {_C}, p AS (SELECT t.k, c2.k AS carrier, sqrt((t.cx - c2.cx) ** 2 + (t.cy - c2.cy) ** 2 + (t.cz - c2.cz) ** 2) AS d FROM c t JOIN c c2 ON t.element_type IN ('sprinkler', 'valve', 'smoke_detector', 'strainer', 'expansion_joint') AND c2.element_type IN {_SET(spatial.CARRIERS)}) SELECT k, arg_min(carrier, (d, carrier)) AS carrier, round(min(d), 3) AS distance_mm FROM p WHERE d <= 1500 GROUP BY 1", SEG)
+@query(f"WITH {_C}, p AS (SELECT t.k, c2.k AS carrier, sqrt((t.cx - c2.cx) ** 2 + (t.cy - c2.cy) ** 2 + (t.cz - c2.cz) ** 2) AS d FROM c t JOIN c c2 ON t.element_type IN ('sprinkler', 'valve', 'smoke_detector', 'strainer', 'expansion_joint') AND c2.element_type IN {_SET(spatial.CARRIERS)}) SELECT k, arg_min(carrier, (d, carrier)) AS carrier, round_even(min(d), 3) AS distance_mm FROM p WHERE d <= 1500 GROUP BY 1", SEG)
 def terminal_carriers(spark, sf):
     return mep.terminals(_classified(spark, sf))
 
@@ -699,7 +699,7 @@ def terminal_carriers(spark, sf):
     f"""WITH RECURSIVE c AS (SELECT *, (max_x - min_x) / 2 AS radius FROM segments_v WHERE shape = 'cylinder'),
 e AS (SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON a.k < b.k AND abs(a.radius - b.radius) <= 0.2 * greatest(a.radius, b.radius) AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) <= greatest(a.radius, b.radius) AND {_GZ} <= 1000),
 x AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT k, k AS m FROM c UNION SELECT r.k, x.b FROM r JOIN x ON r.m = x.a), w AS (SELECT k, min(m) AS chain FROM r GROUP BY 1)
-SELECT chain, count(*) AS parts, min(min_z) AS min_z, max(max_z) AS max_z, round(avg(radius), 4) AS radius FROM w JOIN c USING (k) GROUP BY 1""",
+SELECT chain, count(*) AS parts, min(min_z) AS min_z, max(max_z) AS max_z, round_even(avg(radius), 4) AS radius FROM w JOIN c USING (k) GROUP BY 1""",
     SEG,
 )
 def cylinder_chains(spark, sf):
@@ -733,7 +733,7 @@ def nearest_storey(spark, sf):
 
 
 @query(
-    f"""WITH w AS (SELECT *, round(cz / 3000.0) AS st FROM segments_v WHERE shape = 'plane_vertical' AND greatest(max_x - min_x, max_y - min_y) >= 800), o AS (SELECT *, round(cz / 3000.0) AS st FROM segments_v WHERE shape <> 'plane_vertical'),
+    f"""WITH w AS (SELECT *, round_even(cz / 3000.0, 0) AS st FROM segments_v WHERE shape = 'plane_vertical' AND greatest(max_x - min_x, max_y - min_y) >= 800), o AS (SELECT *, round_even(cz / 3000.0, 0) AS st FROM segments_v WHERE shape <> 'plane_vertical'),
 p AS (SELECT a.k, b.k AS wall, greatest({_GX}, {_GY}) AS g, CASE WHEN a.cy BETWEEN b.min_y - 500 AND b.max_y + 500 AND b.cx < a.cx AND b.max_x <= a.min_x THEN 'W' WHEN a.cy BETWEEN b.min_y - 500 AND b.max_y + 500 AND b.min_x >= a.max_x THEN 'E' WHEN a.cx BETWEEN b.min_x - 500 AND b.max_x + 500 AND b.max_y <= a.min_y THEN 'S' WHEN a.cx BETWEEN b.min_x - 500 AND b.max_x + 500 AND b.min_y >= a.max_y THEN 'N' END AS side FROM o a JOIN w b ON abs(a.st - b.st) <= 1 AND {_GX} <= 6000 AND {_GY} <= 6000),
 m AS (SELECT k, side, arg_min(wall, (g, wall)) AS wall FROM p WHERE side IS NOT NULL GROUP BY 1, 2)
 SELECT k, max(wall) FILTER (side = 'W') AS w, max(wall) FILTER (side = 'E') AS e, max(wall) FILTER (side = 'S') AS s, max(wall) FILTER (side = 'N') AS n FROM m GROUP BY 1 HAVING count(*) = 4""",
@@ -761,15 +761,15 @@ def solid_dimensions(spark, sf):
     return df.select("segment_id", F.when(flat, F.greatest(F.least(E.extent("x"), E.extent("y")), F.lit(200.0))).otherwise(E.extent("x")).alias("thickness_mm"), F.greatest(E.extent("z"), F.lit(10.0)).alias("height_mm"))
 
 
-@query("SELECT surface, round(sqrt(avg(least(x - x0, x1 - x, y - y0, y1 - y, z - z0, z1 - z) ** 2)) * 1000, 4) AS sigma_mm FROM points_v JOIN (SELECT surface, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM points_v GROUP BY 1) m USING (surface) GROUP BY 1", PTS)
+@query("SELECT surface, round_even(sqrt(avg(least(x - x0, x1 - x, y - y0, y1 - y, z - z0, z1 - z) ** 2)) * 1000, 4) AS sigma_mm FROM points_v JOIN (SELECT surface, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM points_v GROUP BY 1) m USING (surface) GROUP BY 1", PTS)
 def box_sigma(spark, sf):
     p = view(spark, sf, PTS)
     m = p.groupBy("surface").agg(*[f(c).alias(f"{c}{i}") for c in "xyz" for i, f in ((0, F.min), (1, F.max))])
     d = F.least(*[x for c in "xyz" for x in (F.col(c) - F.col(f"{c}0"), F.col(f"{c}1") - F.col(c))])
-    return p.join(m, "surface").groupBy("surface").agg(F.round(F.sqrt(F.avg(d * d)) * 1000, 4).alias("sigma_mm"))
+    return p.join(m, "surface").groupBy("surface").agg(F.bround(F.sqrt(F.avg(d * d)) * 1000, 4).alias("sigma_mm"))
 
 
-@query("SELECT segment_id, round(a, 4) AS angle FROM (SELECT segment_id, CASE WHEN degrees(atan2(y, x)) < 0 THEN degrees(atan2(y, x)) + 180 WHEN degrees(atan2(y, x)) >= 180 THEN degrees(atan2(y, x)) - 180 ELSE degrees(atan2(y, x)) END AS a FROM (SELECT segment_id, (k % 13) - 6.5E0 AS x, (k % 7) - 3.25E0 AS y FROM segments_v) q) q", SEG)
+@query("SELECT segment_id, round_even(a, 4) AS angle FROM (SELECT segment_id, CASE WHEN degrees(atan2(y, x)) < 0 THEN degrees(atan2(y, x)) + 180 WHEN degrees(atan2(y, x)) >= 180 THEN degrees(atan2(y, x)) - 180 ELSE degrees(atan2(y, x)) END AS a FROM (SELECT segment_id, (k % 13) - 6.5E0 AS x, (k % 7) - 3.25E0 AS y FROM segments_v) q) q", SEG)
 def wall_angles(spark, sf):
     df = view(spark, sf, SEG)
     return df.select("segment_id", E.axis_angle((F.col("k") % 13) - 6.5, (F.col("k") % 7) - 3.25).alias("angle"))
@@ -785,17 +785,17 @@ def _wall_features(spark, sf):
     return walls.plane_features(view(spark, sf, PTS).filter("surface < 4").withColumn("u", F.when(F.col("surface") < 2, F.col("x")).otherwise(F.col("y"))), "surface")
 
 
-@query(f"WITH {_WF} SELECT surface, points, round(length_m, 6) AS length_m, round(height_m, 6) AS height_m, round(density, 4) AS density, round(fill, 6) AS fill, round(z_continuity, 6) AS z_continuity FROM f", PTS)
+@query(f"WITH {_WF} SELECT surface, points, round_even(length_m, 6) AS length_m, round_even(height_m, 6) AS height_m, round_even(density, 4) AS density, round_even(fill, 6) AS fill, round_even(z_continuity, 6) AS z_continuity FROM f", PTS)
 def wall_features(spark, sf):
-    return _wall_features(spark, sf).select("surface", "points", F.round("length_m", 6).alias("length_m"), F.round("height_m", 6).alias("height_m"), F.round("density", 4).alias("density"), F.round("fill", 6).alias("fill"), F.round("z_continuity", 6).alias("z_continuity"))
+    return _wall_features(spark, sf).select("surface", "points", F.bround("length_m", 6).alias("length_m"), F.bround("height_m", 6).alias("height_m"), F.bround("density", 4).alias("density"), F.bround("fill", 6).alias("fill"), F.bround("z_continuity", 6).alias("z_continuity"))
 
 
 @query(
     f"""WITH {_WF}, g AS (SELECT *, surface <> 2 AS aligned, surface * 1.0E0 AS centre_m, surface * 0.15E0 AS curvature FROM f),
 s AS (SELECT *, greatest(0.0, least(1.0, (0.18 * least(height_m / 6, 1.0) + 0.18 * least(length_m / 4, 1.0) + 0.24 * greatest(0.0, least((fill - 0.15) / 0.45, 1.0)) + 0.14 * greatest(0.0, least((density - 15) / 75, 1.0)) + 0.10 + 0.08 * aligned::INT + 0.08 * CASE WHEN centre_m > 2 THEN 1.0 WHEN aligned THEN 0.5 ELSE 0 END) * CASE WHEN aligned THEN 1 ELSE 0.8 END * CASE WHEN curvature > 0.3 THEN greatest(0.1, 1 - 0.75 * curvature) ELSE 1 END)) AS score FROM g)
-SELECT surface, round(score, 6) AS score, {rules_sql.PLANE_CLASS} AS class FROM s""",
+SELECT surface, round_even(score, 6) AS score, {rules_sql.PLANE_CLASS} AS class FROM s""",
     PTS,
 )
 def wall_classes(spark, sf):
     rows = _wall_features(spark, sf).withColumns({"normals": F.lit(1.0), "aligned": F.col("surface") != 2, "centre_m": F.col("surface") * F.lit(1.0), "curvature": F.col("surface") * F.lit(0.15)})
-    return walls.wall_classes(rows).select("surface", F.round("score", 6).alias("score"), "class")
+    return walls.wall_classes(rows).select("surface", F.bround("score", 6).alias("score"), "class")

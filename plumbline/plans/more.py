@@ -81,14 +81,14 @@ def vertical_split(spark, sf):
 POSE = filters.Transform([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [10.0, -4.0, 2.5], 0.5)
 
 
-@query("SELECT point_id, round(2 * (y + 4), 6) AS x, round(-2 * (x - 10), 6) AS y, round(2 * (z - 2.5), 6) AS z FROM points_v", PTS)
+@query("SELECT point_id, round_even(2 * (y + 4), 6) AS x, round_even(-2 * (x - 10), 6) AS y, round_even(2 * (z - 2.5), 6) AS z FROM points_v", PTS)
 def inverse_transform(spark, sf):
-    return POSE.apply(view(spark, sf, PTS), back=True).select("point_id", *[F.round(c, 6).alias(c) for c in "xyz"])
+    return POSE.apply(view(spark, sf, PTS), back=True).select("point_id", *[F.bround(c, 6).alias(c) for c in "xyz"])
 
 
 @query("SELECT 0.0E0 AS max_error, 0.0E0 AS mean_error")
 def round_trip_error(spark, sf):
-    return POSE.round_trip(view(spark, sf, PTS)).select(F.round("max_error", 9).alias("max_error"), F.round("mean_error", 9).alias("mean_error"))
+    return POSE.round_trip(view(spark, sf, PTS)).select(F.bround("max_error", 9).alias("max_error"), F.bround("mean_error", 9).alias("mean_error"))
 
 
 @query("SELECT pose, faults FROM (VALUES ('good', ''), ('mirrored', 'determinant'), ('sheared', 'not_orthogonal,determinant'), ('flat', 'scale'), ('infinite', 'not_finite')) v(pose, faults)")
@@ -100,7 +100,7 @@ def transform_validity(spark, sf):
 
 
 @query(
-    """WITH m AS (SELECT k, round((min_x / 1000 - 1.5) * 1000, 4) AS min_x, round((max_z / 1000 - 0.5) * 1000, 4) AS max_z, CASE WHEN k % 4 <> 0 THEN greatest(100, least(600, round((max_y - min_y), 4))) END AS thickness_mm, CASE WHEN k % 3 = 0 THEN NULL ELSE (k % 20) / 2.0 END AS s FROM segments_v)
+    """WITH m AS (SELECT k, round_even((min_x / 1000 - 1.5) * 1000, 4) AS min_x, round_even((max_z / 1000 - 0.5) * 1000, 4) AS max_z, CASE WHEN k % 4 <> 0 THEN greatest(100, least(600, round_even((max_y - min_y), 4))) END AS thickness_mm, CASE WHEN k % 3 = 0 THEN NULL ELSE (k % 20) / 2.0 END AS s FROM segments_v)
 SELECT k, min_x, max_z, thickness_mm, CASE WHEN s IS NULL THEN 'LOA10' WHEN s <= 0.05 THEN 'LOA50' WHEN s <= 0.5 THEN 'LOA40' WHEN s <= 2.5 THEN 'LOA30' WHEN s <= 7.5 THEN 'LOA20' ELSE 'LOA10' END AS loa_tier FROM m""",
     SEG,
 )
@@ -143,7 +143,7 @@ def unknown_decisions(spark, sf):
     return workflow.unknown_decisions(*_gates(spark, sf)).select("decision_id", "gate_id")
 
 
-@query(f"WITH {_GATES}, e AS (SELECT gate_id, round((epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(raised_at::TIMESTAMP)) / 3.6e9, 4) AS hours FROM gates WHERE gate_id NOT IN (SELECT gate_id FROM dec)) SELECT gate_id, hours FROM e WHERE hours >= 24", AUD)
+@query(f"WITH {_GATES}, e AS (SELECT gate_id, round_even((epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(raised_at::TIMESTAMP)) / 3.6e9, 4) AS hours FROM gates WHERE gate_id NOT IN (SELECT gate_id FROM dec)) SELECT gate_id, hours FROM e WHERE hours >= 24", AUD)
 def escalated_gates(spark, sf):
     return workflow.escalated(*_gates(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp")).select("gate_id", "hours")
 
@@ -308,9 +308,9 @@ def wall_fits(spark, sf):
 
 @query(
     """WITH t AS (SELECT i, i * pi() / 2 / 44 AS a FROM range(45) r(i)), s AS (SELECT surface, i, a, count(*) AS n, min(z) AS z0, max(z) AS z1, min(x * cos(a) + y * sin(a)) AS u0, max(x * cos(a) + y * sin(a)) AS u1, min(y * cos(a) - x * sin(a)) AS v0, max(y * cos(a) - x * sin(a)) AS v1 FROM points_v, t GROUP BY 1, 2, 3),
-b AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY round((u1 - u0) * (v1 - v0), 12), i) AS r FROM s), c AS (SELECT *, (u0 + u1) / 2 * cos(a) - (v0 + v1) / 2 * sin(a) AS mx, (u0 + u1) / 2 * sin(a) + (v0 + v1) / 2 * cos(a) AS my FROM b WHERE r = 1 AND n >= 25 AND z1 - z0 >= 0.6 AND u1 - u0 >= 0.08 AND v1 - v0 >= 0.08),
+b AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY round_even((u1 - u0) * (v1 - v0), 12), i) AS r FROM s), c AS (SELECT *, (u0 + u1) / 2 * cos(a) - (v0 + v1) / 2 * sin(a) AS mx, (u0 + u1) / 2 * sin(a) + (v0 + v1) / 2 * cos(a) AS my FROM b WHERE r = 1 AND n >= 25 AND z1 - z0 >= 0.6 AND u1 - u0 >= 0.08 AND v1 - v0 >= 0.08),
 d AS (SELECT surface, stddev_pop(sqrt((x - mx) ** 2 + (y - my) ** 2)) / avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS cv FROM points_v JOIN c USING (surface) GROUP BY 1)
-SELECT surface, n, round(mx, 4) AS centre_x, round(my, 4) AS centre_y, round((z0 + z1) / 2, 4) AS centre_z, round(u1 - u0, 4) AS width_m, round(v1 - v0, 4) AS depth_m, round(z1 - z0, 4) AS height_m, round(degrees(a), 4) AS degrees, CASE WHEN cv < 0.12 AND least(u1 - u0, v1 - v0) / greatest(u1 - u0, v1 - v0) > 0.85 THEN 'CIRCULAR' ELSE 'RECTANGULAR' END AS profile FROM c JOIN d USING (surface)""",
+SELECT surface, n, round_even(mx, 4) AS centre_x, round_even(my, 4) AS centre_y, round_even((z0 + z1) / 2, 4) AS centre_z, round_even(u1 - u0, 4) AS width_m, round_even(v1 - v0, 4) AS depth_m, round_even(z1 - z0, 4) AS height_m, round_even(degrees(a), 4) AS degrees, CASE WHEN cv < 0.12 AND least(u1 - u0, v1 - v0) / greatest(u1 - u0, v1 - v0) > 0.85 THEN 'CIRCULAR' ELSE 'RECTANGULAR' END AS profile FROM c JOIN d USING (surface)""",
     PTS,
 )
 def column_fits(spark, sf):
@@ -325,12 +325,12 @@ def slab_fits(spark, sf):
 
 @query()
 def outline_polygons(spark, sf):
-    return fits.polygons(view(spark, sf, PTS), "surface").select("surface", "n", "corners", F.round("area", 4).alias("area_m2"))
+    return fits.polygons(view(spark, sf, PTS), "surface").select("surface", "n", "corners", F.bround("area", 4).alias("area_m2"))
 
 
 @query(
     """WITH p AS (SELECT o_orderkey % 8 AS rod, o_orderkey % 8 * 3 + (o_orderkey % 8 + 1) * 0.05 * cos(radians(o_orderkey * 104729 % 360)) AS y, (o_orderkey * 7919 % 4000) / 1000.0 * 0.1 + (o_orderkey % 8 + 1) * 0.05 * sin(radians(o_orderkey * 104729 % 360)) AS z, (o_orderkey * 7919 % 4000) / 1000.0 AS x FROM orders)
-SELECT rod, round(sqrt(avg((sqrt(pow(y - rod * 3, 2) + pow(z - 0.2, 2)) - 0.1) ** 2)) * 1000, 4) AS sigma_mm FROM p GROUP BY 1"""
+SELECT rod, round_even(sqrt(avg((sqrt(pow(y - rod * 3, 2) + pow(z - 0.2, 2)) - 0.1) ** 2)) * 1000, 4) AS sigma_mm FROM p GROUP BY 1"""
 )
 def cylinder_deviation(spark, sf):
     """Distances from a level cylinder of 10 cm radius about each pipe's mid height."""
@@ -376,11 +376,11 @@ def wall_l_junctions(spark, sf):
 
 @query(
     """WITH n AS (SELECT a.point_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d FROM points_v a JOIN points_v b ON a.point_id <> b.point_id GROUP BY 1), m AS (SELECT greatest(0.005, least(1.0, median(d))) AS s FROM n WHERE d > 1e-6), l AS (SELECT s, greatest(0.02, least(3.0, s * 2.5)) AS r FROM m), o AS (SELECT s, r, greatest(r * 1.5, least(8.0, s * 8)) AS q FROM l)
-SELECT round(s, 6) AS spacing, round(r, 6) AS local, round(q, 6) AS middle, round(greatest(q * 1.5, least(25.0, s * 25)), 6) AS whole FROM o""",
+SELECT round_even(s, 6) AS spacing, round_even(r, 6) AS local, round_even(q, 6) AS middle, round_even(greatest(q * 1.5, least(25.0, s * 25)), 6) AS whole FROM o""",
     PTS,
 )
 def multi_scale_radii(spark, sf):
-    return points.multi_scale_radii(view(spark, sf, PTS)).select(*[F.round(c, 6).alias(c) for c in ("spacing", "local", "middle", "whole")])
+    return points.multi_scale_radii(view(spark, sf, PTS)).select(*[F.bround(c, 6).alias(c) for c in ("spacing", "local", "middle", "whole")])
 
 
 @query("SELECT count(*) AS parts, min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y, sum(point_count)::BIGINT AS points, 2800.0E0 AS min_z, 3000.0E0 AS max_z FROM segments_v WHERE shape = 'plane_horizontal' AND abs(cz - 3000) <= 500 HAVING count(*) > 0", SEG)
@@ -440,7 +440,7 @@ _ENDS = "ln AS (SELECT k, k % 12 * 2.0 AS start_x, k % 7 * 2.0 AS start_y, k % 1
     f"""WITH {_ENDS}, e AS (SELECT k, 'start' AS part, start_x AS x, start_y AS y, start_x AS x1, start_y AS y1, end_x AS x2, end_y AS y2 FROM ln UNION ALL SELECT k, 'end', end_x, end_y, start_x, start_y, end_x, end_y FROM ln),
 j AS (SELECT e.*, l.k AS other, l.start_x AS x3, l.start_y AS y3, l.end_x AS x4, l.end_y AS y4, (x1 - x2) * (l.start_y - l.end_y) - (y1 - y2) * (l.start_x - l.end_x) AS den, degrees(atan2(y2 - y1, x2 - x1)) AS t1, degrees(atan2(l.end_y - l.start_y, l.end_x - l.start_x)) AS t2 FROM e JOIN ln l ON e.k <> l.k),
 q AS (SELECT *, ((x1 * y2 - y1 * x2) * (x3 - x4) - (x1 - x2) * (x3 * y4 - y3 * x4)) / den AS px, ((x1 * y2 - y1 * x2) * (y3 - y4) - (y1 - y2) * (x3 * y4 - y3 * x4)) / den AS py FROM j WHERE abs(den) >= 1e-8 AND abs(t1 - t2) BETWEEN 45 AND 135),
-b AS (SELECT *, row_number() OVER (PARTITION BY k, part ORDER BY round(sqrt((px - x) ** 2 + (py - y) ** 2), 9), other) AS r FROM q WHERE sqrt((px - x) ** 2 + (py - y) ** 2) <= 0.4 AND px BETWEEN least(x3, x4) - 0.4 AND greatest(x3, x4) + 0.4 AND py BETWEEN least(y3, y4) - 0.4 AND greatest(y3, y4) + 0.4)
+b AS (SELECT *, row_number() OVER (PARTITION BY k, part ORDER BY round_even(sqrt((px - x) ** 2 + (py - y) ** 2), 9), other) AS r FROM q WHERE sqrt((px - x) ** 2 + (py - y) ** 2) <= 0.4 AND px BETWEEN least(x3, x4) - 0.4 AND greatest(x3, x4) + 0.4 AND py BETWEEN least(y3, y4) - 0.4 AND greatest(y3, y4) + 0.4)
 SELECT ln.k, count(b.k) AS moved FROM ln LEFT JOIN b ON b.k = ln.k AND r = 1 GROUP BY 1""",
     SEG,
 )
@@ -453,13 +453,13 @@ def snapped_walls(spark, sf):
 
 @query(
     """WITH s AS (SELECT k, CASE k % 4 WHEN 0 THEN 0.55 * (k % 100) / 100.0 + 0.45 * (k % 7) / 7.0 ELSE (k % 100) / 100.0 END AS wall, CASE k % 4 WHEN 0 THEN 0.55 * (k % 50) / 50.0 ELSE (k % 50) / 50.0 END AS pipe FROM segments_v)
-SELECT k, CASE WHEN greatest(wall, pipe) >= 0.45 AND abs(wall - pipe) >= 0.10 THEN CASE WHEN wall > pipe THEN 'WALL' ELSE 'PIPE' END ELSE 'UNKNOWN' END AS label, round(greatest(wall, pipe), 6) AS score FROM s""",
+SELECT k, CASE WHEN greatest(wall, pipe) >= 0.45 AND abs(wall - pipe) >= 0.10 THEN CASE WHEN wall > pipe THEN 'WALL' ELSE 'PIPE' END ELSE 'UNKNOWN' END AS label, round_even(greatest(wall, pipe), 6) AS score FROM s""",
     SEG,
 )
 def open_world_labels(spark, sf):
     k = F.col("k")
     rows = view(spark, sf, SEG).select("k", F.create_map(F.lit("WALL"), (k % 100) / 100.0, F.lit("PIPE"), (k % 50) / 50.0).alias("geometric"), F.when(k % 4 == 0, F.create_map(F.lit("WALL"), (k % 7) / 7.0)).alias("neural"))
-    return semantics.open_world(rows).select("k", "label", F.round("score", 6).alias("score"))
+    return semantics.open_world(rows).select("k", "label", F.bround("score", 6).alias("score"))
 
 
 @query("SELECT segment_id, confidence * CASE WHEN shape = 'void' AND k % 3 = 0 THEN 0.4 WHEN shape = 'cylinder' AND k % 2 = 0 THEN 0.6 ELSE 1 END AS confidence FROM segments_v", SEG)
@@ -475,11 +475,11 @@ def floor_bands(spark, sf):
     return semantics.banded(view(spark, sf, SEG)).select("segment_id", "min_z", "cz")
 
 
-@query("SELECT k, round(greatest(0, least(1, 0.35 * least(1, point_count / 1800.0) + 0.25 * least(1, (max_x - min_x) * (max_z - min_z) / 1e6 / 12) + 0.2 * greatest(0, 1 - (k % 10) / 20.0 / 0.3) + 0.2 * greatest(0, least(1, 1 - CASE WHEN k % 5 = 0 THEN 0.05 ELSE (k % 8) / 100.0 END / 0.06)))), 6) AS confidence FROM segments_v", SEG)
+@query("SELECT k, round_even(greatest(0, least(1, 0.35 * least(1, point_count / 1800.0) + 0.25 * least(1, (max_x - min_x) * (max_z - min_z) / 1e6 / 12) + 0.2 * greatest(0, 1 - (k % 10) / 20.0 / 0.3) + 0.2 * greatest(0, least(1, 1 - CASE WHEN k % 5 = 0 THEN 0.05 ELSE (k % 8) / 100.0 END / 0.06)))), 6) AS confidence FROM segments_v", SEG)
 def cloud_wall_confidence(spark, sf):
     area = (F.col("max_x") - F.col("min_x")) * (F.col("max_z") - F.col("min_z")) / 1e6
     k = F.col("k")
-    return view(spark, sf, SEG).select("k", F.round(semantics.wall_confidence(F.col("point_count"), area, (k % 10) / 20, F.when(k % 5 != 0, (k % 8) / 100)), 6).alias("confidence"))
+    return view(spark, sf, SEG).select("k", F.bround(semantics.wall_confidence(F.col("point_count"), area, (k % 10) / 20, F.when(k % 5 != 0, (k % 8) / 100)), 6).alias("confidence"))
 
 
 @query("SELECT segment_id, shape AS label, shape IN ('cylinder', 'box') AND k % 2 = 0 AS valid FROM segments_v", SEG)
