@@ -37,3 +37,36 @@ def test_service_pairs_of_copies(spark):
     got = spatial.mep_edges(df, 400.0)
     assert not broadcasts(got)
     assert {(r.a, r.b): r.distance_mm for r in got.collect()} == {p: pytest.approx(d, abs=1e-3) for p, d in near(rows, 400.0).items()}
+
+
+def grown(pairs, nodes):
+    """Smallest node of each node's component."""
+    root = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_networks_of_copies(spark):
+    df, rows = boxes(spark, n=60, shape="cylinder")
+    rows = [r for r in rows if r[6] not in (0, 9, 18, 27, 36, 45)] + [(*rows[0][:6], 999, *rows[0][7:-3], 9e5, 0.0, 0.0)]
+    got = {r.k: r.network for r in spatial.mep_networks(spark.createDataFrame(rows, BOX), 300.0).collect()}
+    pairs = near(rows, 300.0)
+    assert got == grown(pairs, {x for p in pairs for x in p}) and 999 not in got
+
+
+@pytest.mark.parametrize("moved", [0.0, 100.0])
+def test_deviation_of_copies(spark, moved):
+    df, rows = boxes(spark, n=90)
+    far = [(*r[:-3], r[-3] + 9e5, *r[-2:]) for r in rows[:4]]
+    design = [(f"g{i}", r[-3] + moved, r[-2], r[-1]) for i, r in enumerate(rows[:30] + far[:2])]
+    scan = rows + far[2:]
+    got = spatial.deviation(spark.createDataFrame(design, "global_id string, dx double, dy double, dz double"), spark.createDataFrame(scan, BOX))
+    assert not broadcasts(got)
+    want = set()
+    for g, *c in design:
+        d, s = min((math.dist(c, centre(r)), r[0]) for r in scan)
+        want.add((g, s, "MATCHED" if d < 25 else "SHIFTED", round(d, 3)) if d < 150 else (g, None, "MISSING", None))
+    want |= {(None, r[0], "EXTRA", None) for r in scan if all(math.dist(c, centre(r)) >= 150 for _, *c in design)}
+    assert {tuple(r) for r in got.collect()} == want
