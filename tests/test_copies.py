@@ -70,3 +70,39 @@ def test_deviation_of_copies(spark, moved):
         want.add((g, s, "MATCHED" if d < 25 else "SHIFTED", round(d, 3)) if d < 150 else (g, None, "MISSING", None))
     want |= {(None, r[0], "EXTRA", None) for r in scan if all(math.dist(c, centre(r)) >= 150 for _, *c in design)}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def cloud(spark, n=160):
+    """Points on few places, in an order that mixes them, with one far off, one beside its cluster and one nowhere."""
+    at = [(i % 4 * 0.3, i // 4 * 0.3, 0.0) for i in range(8)] + [(5 + i % 2 * 0.3, i // 2 * 0.3, 1.0) for i in range(4)]
+    rows = [(k, *at[k * 5 % len(at)]) for k in range(n)] + [(n, 50.0, 0.0, 0.0), (n + 1, 1.25, 0.0, 0.0), (n + 2, None, 0.0, 0.0)]
+    return spark.createDataFrame(rows, "point_id long, x double, y double, z double"), rows
+
+
+@pytest.mark.parametrize("least", [1, 10, 30, 60])
+def test_dbscan_of_copies(spark, least):
+    df, rows = cloud(spark)
+    rows = [r for r in rows if r[1] is not None]
+    near_ = {a[0]: [b[0] for b in rows if math.dist(a[1:], b[1:]) <= 0.36] for a in rows}
+    cores = [k for k, v in near_.items() if len(v) >= least]
+    root = grown([(a, b) for a in cores for b in near_[a] if b in cores and a < b], cores)
+    want = root | {k: min(root[c] for c in v if c in root) for k, v in near_.items() if k not in root and any(c in root for c in v)}
+    assert {r.point_id: r.cluster for r in clusters.dbscan(df, 0.36, least).collect()} == want | ({162: 162} if least == 1 else {})
+
+
+def test_dbscan_pairs_places_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(clusters, "stored", lambda df, name, keep=clusters.stored: seen.append((name, keep(df, name))) or seen[-1][1])
+    clusters.dbscan(cloud(spark)[0], 0.36, 10).collect()
+    assert dict(seen)["pairs"].count() < 100  # of 163 points some 5000
+
+
+@pytest.mark.parametrize("least", [1, 20])
+def test_euclidean_of_copies(spark, least):
+    df, rows = cloud(spark)
+    got = clusters.euclidean(df, 0.36, least)
+    assert not broadcasts(got)
+    placed = [r for r in rows if r[1] is not None]
+    root = grown([(a[0], b[0]) for a, b in itertools.combinations(placed, 2) if math.dist(a[1:], b[1:]) <= 0.36], [r[0] for r in rows])
+    want = {k: r for k, r in root.items() if list(root.values()).count(r) >= least}
+    assert {r.point_id: r.cluster for r in got.collect()} == want
