@@ -28,7 +28,10 @@ def eigen(points: DataFrame, by: str) -> DataFrame:
 
     A group of fewer than three points has zero features. Signs: the largest component of a direction is positive.
     """
+    return _features(_sums(points, [by]), by)
 
+
+def _features(sums: DataFrame, by: str) -> DataFrame:
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
@@ -49,15 +52,26 @@ def eigen(points: DataFrame, by: str) -> DataFrame:
             out["sphericity"] = np.where(few, 0, w[:, 2] / top)
             yield out
 
-    kind = points.schema[by].dataType.simpleString()
+    kind = sums.schema[by].dataType.simpleString()
     names = ["n", "x", "y", "z", "dx", "dy", "dz", "nx", "ny", "nz", "l1", "l2", "l3", "linearity", "planarity", "sphericity"]
-    return _sums(points, [by]).mapInPandas(solve, f"{by} {kind}, " + ", ".join(f"{n} double" for n in names))
+    return sums.mapInPandas(solve, f"{by} {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def normals(points: DataFrame, radius: float, key: str = "point_id") -> DataFrame:
-    """The normal of each point from its neighbours within the radius, upwards where it has a vertical part."""
-    pairs = spatial.within_radius(points.select(key, "x", "y", "z"), points.select("x", "y", "z"), radius, ("x", "y", "z"))
-    e = eigen(pairs.select(F.col(f"a.{key}").alias(key), "b.x", "b.y", "b.z"), key)
+    """The normal of each point from its neighbours within the radius, upwards where it has a vertical part.
+
+    Points of one place have one normal, so places are paired, and each neighbour counts as often as it has points. Sums are taken
+    from the place itself, so nothing of their precision is lost.
+    """
+    xyz = ("x", "y", "z")
+    places, members = spatial.classes(spatial.finite(points.select(key, *xyz), xyz), key, list(xyz))
+    pairs = spatial.within_radius(places, places, radius, xyz)
+    away = pairs.select(F.col(f"a.{key}").alias("class"), *[F.col(f"a.{a}").alias(f"o{a}") for a in xyz], F.col("b.copies").cast("double").alias("w"), *[(F.col(f"b.{a}") - F.col(f"a.{a}")).alias(a) for a in xyz])
+    squares = [(a, b) for i, a in enumerate(xyz) for b in xyz[i:]]
+    s = away.groupBy("class").agg(F.sum("w").alias("n"), *[F.first(f"o{a}").alias(f"o{a}") for a in xyz], *[F.sum(F.col("w") * F.col(a)).alias(f"s{a}") for a in xyz], *[F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in squares])
+    mean = {a: F.col(f"s{a}") / F.col("n") for a in xyz}
+    sums = s.select("class", "n", *[(F.col(f"o{a}") + mean[a]).alias(a) for a in xyz], *[(F.col(f"s{a}{b}") / F.col("n") - mean[a] * mean[b]).alias(a + b) for a, b in squares])
+    e = spatial.met(members, _features(sums, "class"), "class").withColumnRenamed("member", key)
     turn = F.when(F.col("nz") < 0, -1.0).otherwise(1.0)
     return e.select(key, *[(F.col(f"n{a}") * turn).alias(f"n{a}") for a in "xyz"], "n", "planarity")
 

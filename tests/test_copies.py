@@ -106,3 +106,17 @@ def test_euclidean_of_copies(spark, least):
     root = grown([(a[0], b[0]) for a, b in itertools.combinations(placed, 2) if math.dist(a[1:], b[1:]) <= 0.36], [r[0] for r in rows])
     want = {k: r for k, r in root.items() if list(root.values()).count(r) >= least}
     assert {r.point_id: r.cluster for r in got.collect()} == want
+
+
+def test_normals_of_copies(spark):
+    df, rows = cloud(spark)
+    got = fits.normals(df, 0.5)
+    assert not broadcasts(got)
+    own = {r.point_id: r for r in got.collect()}
+    plain = {k: [p[1:] for p in rows if p[1] is not None and math.dist(p[1:], at) <= 0.5] for k, *at in rows if at[0] is not None}
+    assert {k: r.n for k, r in own.items()} == {k: len(v) for k, v in plain.items()}
+    pairs = spark.createDataFrame([(k, *map(float, p)) for k, v in plain.items() for p in v], "point_id long, x double, y double, z double")
+    for r in fits.eigen(pairs, "point_id").collect():
+        assert own[r.point_id].planarity == pytest.approx(r.planarity, abs=1e-9)
+        if r.l2 > 1e-6:
+            assert abs(r.nx * own[r.point_id].nx + r.ny * own[r.point_id].ny + r.nz * own[r.point_id].nz) == pytest.approx(1, abs=1e-9)
