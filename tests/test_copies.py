@@ -120,3 +120,37 @@ def test_normals_of_copies(spark):
         assert own[r.point_id].planarity == pytest.approx(r.planarity, abs=1e-9)
         if r.l2 > 1e-6:
             assert abs(r.nx * own[r.point_id].nx + r.ny * own[r.point_id].ny + r.nz * own[r.point_id].nz) == pytest.approx(1, abs=1e-9)
+
+
+def plain_merge(rows):
+    """Roots of flat segments by the rule as stated, pair by pair."""
+    links = []
+    for a, b in itertools.combinations([r for r in rows if r[2].startswith("plane")], 2):
+        (al, ah), (bl, bh) = (((r[7], r[9], r[11]), (r[8], r[10], r[12])) for r in (a, b))
+        gap = [max(x, y) - min(u, v) for x, y, u, v in zip(al, bl, ah, bh, strict=True)]
+        if a[2] != b[2] or abs(a[15] - b[15]) >= (300 if a[2] == "plane_sloped" else 150) or max(gap) > 0:
+            continue
+        both = math.prod(max(-g, 0) for g in gap)
+        va, vb = (math.prod(h - l for l, h in zip(*x, strict=True)) for x in ((al, ah), (bl, bh)))
+        share, inner = (both / (va + vb - both) if va + vb - both else 0), (both / min(va, vb) if min(va, vb) else 0)
+        side = (-gap[0] > 300 and gap[1] <= 120) or (-gap[1] > 300 and gap[0] <= 120)
+        if share >= 0.65 or inner >= 0.9 or (side and (-gap[2] > 300 or a[2] != "plane_vertical")):
+            links.append((a[6], b[6]))
+    return grown(links, [r[6] for r in rows])
+
+
+@pytest.mark.parametrize("shape, size", [("plane_vertical", (600.0, 90.0, 500.0)), ("plane_sloped", (600.0, 200.0, 250.0)), ("plane_horizontal", (300.0, 0.0, 0.0)), ("plane_vertical", (100.0, 0.0, 200.0)), ("box", (600.0, 90.0, 500.0))])
+def test_merge_of_copies(spark, shape, size, monkeypatch):
+    linked = []
+    monkeypatch.setattr(clusters, "components", lambda links, keep=clusters.components: linked.append(links) or keep(links))
+    order = [*BOX[:7], "min_x", "max_x", "min_y", "max_y", "min_z", "max_z", *BOX[-3:]]
+    df, _ = boxes(spark, n=60, shape=shape, size=size)
+    rows = [tuple(r) for r in df.select(*order).collect()]
+    got = {r.merged: (r.parts, r.point_count) for r in clusters.merged(df).collect()}
+    want = {}
+    for k, root in plain_merge(rows).items():
+        parts, points = want.get(root, (0, 0))
+        want[root] = (parts + 1, points + 10 + k)
+    assert got == want
+    if min(size) > 0:
+        assert linked[0].count() <= 36  # nine boxes, however many copies
