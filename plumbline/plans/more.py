@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
 from ..operators import filters, fits, ledger, openings, points, rebuild, segments, semantics, walls, workflow
 from .catalog import _C, AUD, PTS, SEG, query
 from .views import view
@@ -479,7 +480,7 @@ def floor_bands(spark, sf):
 def cloud_wall_confidence(spark, sf):
     area = (F.col("max_x") - F.col("min_x")) * (F.col("max_z") - F.col("min_z")) / 1e6
     k = F.col("k")
-    return view(spark, sf, SEG).select("k", F.bround(semantics.wall_confidence(F.col("point_count"), area, (k % 10) / 20, F.when(k % 5 != 0, (k % 8) / 100)), 6).alias("confidence"))
+    return view(spark, sf, SEG).select("k", E.round_even(semantics.wall_confidence(F.col("point_count"), area, (k % 10) / 20, F.when(k % 5 != 0, (k % 8) / 100)), 6).alias("confidence"))
 
 
 @query("SELECT segment_id, shape AS label, shape IN ('cylinder', 'box') AND k % 2 = 0 AS valid FROM segments_v", SEG)

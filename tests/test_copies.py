@@ -154,3 +154,31 @@ def test_merge_of_copies(spark, shape, size, monkeypatch):
     assert got == want
     if min(size) > 0:
         assert linked[0].count() <= 36  # nine boxes, however many copies
+
+
+def test_rounding_of_doubles_beside_a_half(spark):
+    from plumbline.functions import exprs as E
+    from pyspark.sql import functions as F
+    import duckdb
+
+    values = [0.5438365000000001, 0.16501949999999999, 0.5241815, 0.33860250000000003, -0.5438365000000001, 0.25, 0.1234564]
+    want = [duckdb.sql(f"SELECT round_even({v!r}::DOUBLE, 6)").fetchall()[0][0] for v in values]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(E.round_even(F.col("v"), 6)).collect()] == want
+
+
+def test_pairs_of_faces_in_one_pass(spark, monkeypatch):
+    df, _ = boxes(spark, n=90)
+    pairs = walls.face_candidates(df).select("a", "b", "distance_mm").collect()
+    assert len({(r.a, r.b) for r in pairs}) == len(pairs) > 300 and all(r.a < r.b for r in pairs)
+    want, used = {}, set()
+    for a in range(90):
+        best = min(((r.distance_mm, r.b) for r in pairs if r.a == a and r.b not in used), default=None)
+        if a not in used and best:
+            want[a] = best[1]
+            used |= {a, best[1]}
+    tables = []
+    monkeypatch.setattr(openings, "stored", lambda d, name, keep=openings.stored: tables.append(name) or keep(d, name))
+    own = spark.createDataFrame([(r.a, r.b, r.distance_mm) for r in pairs], "a long, b long, distance double")
+    for most in (0, 10_000):
+        assert {r.a: r.b for r in openings.paired(own, most).collect()} == want
+    assert tables == ["candidates"] * 2  # no rounds
