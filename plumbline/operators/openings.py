@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .joins import hot_join
 
-#: Open pairs that the driver finishes by itself.
+#: Pairs that the driver looks at by itself.
 LOCAL_PAIRS = 100_000
 
 
@@ -55,30 +58,31 @@ def wall_openings(points: DataFrame, walls: DataFrame, by: str, cell_m: float =
 
 def paired(candidates: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """Of candidate pairs (a < b, distance) those that come of looking at rows in order, each taking the nearest later row that is
-    still free, ties to the smaller. Rounds decide every row that no earlier open row competes with; a bounded rest is decided
-    by the driver."""
-    spark = candidates.sparkSession
-    open_ = stored(candidates.select("a", "b", F.col("distance").cast("double").alias("distance")), "candidates")
-    done = None
-    while (n := open_.count()) > local_pairs:
-        touch = open_.select(F.col("a").alias("x"), F.col("a").alias("first")).unionByName(open_.select(F.col("b").alias("x"), F.col("a").alias("first"))).groupBy("x").agg(F.min("first").alias("first"))
-        nearest = open_.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b", "m.distance")
-        free = nearest.join(touch.select(F.col("x").alias("a"), F.col("first").alias("fa")), "a").join(touch.select(F.col("x").alias("b"), F.col("first").alias("fb")), "b").filter("fa = a AND fb = a")
-        taken = stored(free.select("a", "b", "distance"), "paired")
-        gone = taken.select(F.explode(F.array("a", "b")).alias("x"))
-        open_ = stored(open_.join(gone.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "b"), "b", "left_anti"), "open_pairs")
-        done = taken if done is None else done.unionByName(taken)
-    rest, used = [], set()
-    by_row: dict[int, list[tuple[float, int]]] = {}
-    for r in open_.collect() if n else []:
-        by_row.setdefault(r["a"], []).append((r["distance"], r["b"]))
-    for a in sorted(by_row):
-        best = min(((d, b) for d, b in by_row[a] if b not in used), default=None) if a not in used else None
-        if best:
-            used |= {a, best[1]}
-            rest.append((a, best[1], best[0]))
-    local = spark.createDataFrame(rest, "a long, b long, distance double")
-    return local if done is None else done.unionByName(local)
+    still free, ties to the smaller.
+
+    What a row may take hangs on all rows before it, so the pass is one by its nature: up to `local_pairs` the driver makes it, more
+    pairs are sorted and streamed through one task, which holds the rows that are taken, not the pairs.
+    """
+    own = stored(candidates.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("distance").cast("double").alias("distance")), "candidates")
+    if own.count() > local_pairs:
+        return own.repartition(1).sortWithinPartitions("a", "distance", "b").mapInArrow(_take, own.schema)
+    rest = _taken(((r["a"], r["b"], r["distance"]) for r in own.orderBy("a", "distance", "b").collect()), set())
+    return candidates.sparkSession.createDataFrame(list(rest), "a long, b long, distance double")
+
+
+def _taken(pairs: Iterable[tuple[int, int, float]], used: set[int]) -> Iterator[tuple[int, int, float]]:
+    """Of pairs in the order of a, distance and b those whose rows are both still free; `used` keeps the rows that are taken."""
+    for a, b, distance in pairs:
+        if a not in used and b not in used:
+            used.update((a, b))
+            yield a, b, distance
+
+
+def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    used: set[int] = set()
+    for batch in batches:
+        found = list(_taken(zip(*(batch.column(n).to_pylist() for n in ("a", "b", "distance")), strict=True), used))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "distance"])
 
 
 def snapped(walls: DataFrame, by: str, reach_m: float = 0.40, degrees: float = 45.0) -> DataFrame:

@@ -67,13 +67,15 @@ def wall_groups(walls: DataFrame, offset_mm: float = 80.0, gap_mm: float = 1200.
 
 
 def face_candidates(walls: DataFrame, least_mm: float = 50.0, most_mm: float = 450.0) -> DataFrame:
-    """Opposing faces of a wall: parallel, a wall's thickness apart, overlapping along and in height."""
+    """Opposing faces of a wall: parallel, a wall's thickness apart, overlapping along and in height. Equal boxes are looked at once."""
     own = walls.filter("shape = 'plane_vertical'").withColumn("along_x", E.extent("x") >= E.extent("y"))
-    pairs = spatial.box_pairs(own, own, most_mm).filter("a.k < b.k AND a.along_x = b.along_x")
+    boxes, members = spatial.classes(own, "k", ["along_x", "cx", "cy", *(f"{m}_{x}" for m in ("min", "max") for x in E.AXES)])
+    pairs = spatial.box_pairs(boxes, boxes, most_mm, on=("along_x",)).filter("a.k < b.k OR (a.k = b.k AND a.copies > 1)")
     across = F.when(F.col("a.along_x"), F.abs(F.col("a.cy") - F.col("b.cy"))).otherwise(F.abs(F.col("a.cx") - F.col("b.cx")))
     along = F.when(F.col("a.along_x"), -E.gap("x")).otherwise(-E.gap("y"))
     tall = -E.gap("z") >= 0.25 * F.least(E.extent("z", "a"), E.extent("z", "b"))
-    return pairs.filter(across.between(least_mm, most_mm) & (along > 0) & tall).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), across.alias("distance_mm"), F.greatest(F.lit(100.0), F.least(F.lit(600.0), across)).alias("thickness_mm"))
+    found = pairs.filter(across.between(least_mm, most_mm) & (along > 0) & tall).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), across.alias("distance_mm"), F.greatest(F.lit(100.0), F.least(F.lit(600.0), across)).alias("thickness_mm"))
+    return spatial.spread_once(found, members).select("a", "b", "distance_mm", "thickness_mm")
 
 
 # Weights of the wall score, and the classes of a vertical plane in the order in which they are looked at.
