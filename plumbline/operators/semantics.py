@@ -67,8 +67,9 @@ def point_classes(points: DataFrame) -> DataFrame:
 
 
 def reinforced(relations: DataFrame, weight: float = 0.15, cap: float = 0.40) -> DataFrame:
-    """How much an element's relations raise its confidence: a part of their sum, up to the cap."""
-    return relations.groupBy("a").agg(F.count("*").alias("relations"), F.bround(F.least(F.lit(cap), weight * F.sum("confidence")), 6).alias("boost"))
+    """How much an element's relations raise its confidence: a part of their sum, up to the cap. A row may stand for `n` relations."""
+    n = F.col("n") if "n" in relations.columns else F.lit(1).cast("long")
+    return relations.groupBy("a").agg(F.sum(n).alias("relations"), F.bround(F.least(F.lit(cap), weight * F.sum(F.col("confidence") * n)), 6).alias("boost"))
 
 
 def identity(segments: DataFrame) -> DataFrame:

@@ -182,3 +182,35 @@ def test_pairs_of_faces_in_one_pass(spark, monkeypatch):
     for most in (0, 10_000):
         assert {r.a: r.b for r in openings.paired(own, most).collect()} == want
     assert tables == ["candidates"] * 2  # no rounds
+
+
+@pytest.mark.parametrize("at_once", [3, 256])
+def test_clashes_counted_by_class(spark, monkeypatch, at_once):
+    monkeypatch.setattr(spatial, "AT_ONCE", at_once)
+    df, rows = boxes(spark, n=90)
+    df = df.union(df.limit(9).selectExpr("concat('t', segment_id)", "null", *BOX[2:6], "k + 1000", *BOX[7:])).cache()
+    want = {}
+    for r in spatial.clashes(df).collect():
+        want[r.zone_id, r.clash_type] = want.get((r.zone_id, r.clash_type), 0) + 1
+    assert (None, "hard") in want
+    monkeypatch.setattr(spatial, "clashes", None)
+    assert {(r.zone_id, r.clash_type): r.n for r in spatial.clash_counts(df).collect()} == want
+
+
+def test_relations_of_copies(spark):
+    from plumbline.operators import semantics
+
+    df, rows = boxes(spark, n=45)
+    got = spatial.topology(df).collect()
+    kind = {r[6]: r[3] for r in rows}
+    box = {r.k: r for r in df.collect()}
+    close = lambda a, b: all(max(box[a][f"min_{x}"], box[b][f"min_{x}"]) - min(box[a][f"max_{x}"], box[b][f"max_{x}"]) <= 250 for x in "xyz")
+    want = {(a, b, "CONNECTED_TO") for a in kind for b in kind if a != b and kind[a] == kind[b] == "pipe" and close(a, b)}
+    want |= {(a, b, "SUPPORTED_BY") for a in kind for b in kind if (kind[a], kind[b]) == ("wall", "floor") and close(a, b) and abs(box[a].min_z - box[b].max_z) < 250}
+    want |= {(a, b, "INTERSECTS") for a in kind for b in kind if (kind[a], kind[b]) == ("wall", "floor") and close(a, b) and box[a].min_z <= box[b].max_z + 100}
+    assert {(r.a, r.b, r.relation) for r in got} == want and len(got) == len(want)
+    found, members = spatial.class_topology(df)
+    assert found.count() < len(want) / 10
+    whole = {r.a: (r.relations, r.boost) for r in semantics.reinforced(spatial.topology(df)).collect()}
+    by_class = {r.a: (r.relations, r.boost) for r in semantics.reinforced(found).collect()}
+    assert {m.member: by_class[m["class"]] for m in members.collect() if m["class"] in by_class} == whole
