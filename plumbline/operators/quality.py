@@ -50,11 +50,11 @@ def deviation_summary(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count("*").alias("n"), F.bround(100.0 * F.avg(F.col("passed").cast("double")), 1).alias("pass_rate"), F.max("deviation_mm").alias("max_mm"), F.bround(F.avg("deviation_mm"), 2).alias("mean_mm"), F.count_if(~F.col("passed")).alias("n_failed"))
 
 
-def heatmap(deviations: DataFrame) -> DataFrame:
-    """Rows by colour bucket of their distance."""
+def heatmap(deviations: DataFrame, n: str | None = None) -> DataFrame:
+    """Rows by colour bucket of their distance; a row counts `n` times."""
     d = F.col("distance_mm")
     bucket = E.case([(d.isNull(), F.lit("unknown")), (d < 5, F.lit("lt5")), (d < 15, F.lit("5_15")), (d < 50, F.lit("15_50"))], F.lit("ge50"))
-    return deviations.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return deviations.groupBy(bucket.alias("bucket")).agg((F.sum(n) if n else F.count("*")).alias("n"))
 
 
 def scan_gate(scans: DataFrame, least_points: int = 1000, least_density: float = 100.0) -> DataFrame:

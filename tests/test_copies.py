@@ -72,6 +72,22 @@ def test_deviation_of_copies(spark, moved):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_heatmap_counts_places(spark):
+    from plumbline.operators import quality
+    from plumbline.plans import catalog
+
+    _, rows = boxes(spark, n=90)
+    far = [(*r[:-3], r[-3] + 9e5, *r[-2:]) for r in rows[:4]] + [(*rows[0][:-3], x, 0.0, 0.0) for x in (None, math.nan, math.inf, -0.0)]
+    design = spark.createDataFrame([(f"g{i}", r[-3] + 4 * i if r[-3] is not None else None, r[-2], r[-1]) for i, r in enumerate(rows[:30] + far[:2] + far[4:])], "global_id string, dx double, dy double, dz double")
+    scan = spark.createDataFrame([(f"t{i}", *r[-3:]) for i, r in enumerate(rows + far[2:])], "segment_id string, cx double, cy double, cz double")
+    got = quality.heatmap(spatial.deviation_counts(design, scan), "n")
+    assert not broadcasts(got)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in quality.heatmap(spatial.deviation(design, scan)).collect()}
+    # No element is joined by its own: copies of a place make no rows of theirs.
+    plan = catalog.QUERIES["deviation_heatmap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "global_id" not in plan and "segment_id" not in plan
+
+
 def cloud(spark, n=160):
     """Points on few places, in an order that mixes them, with one far off, one beside its cluster and one nowhere."""
     at = [(i % 4 * 0.3, i // 4 * 0.3, 0.0) for i in range(8)] + [(5 + i % 2 * 0.3, i // 2 * 0.3, 1.0) for i in range(4)]
