@@ -20,12 +20,14 @@ from pyspark.sql import types as T
 
 from ..operators.components import components
 from ..operators.joins import hot_join
-from .common import pieces, stored
+from .common import pieces, stored, trimmed
 from .textops import NONSPACE, U, mix, words
 
 #: Buckets of the table of shingle counts that orders shingles rare-first. Any table gives right results; it has a fixed size.
 BITS = 20
 SKETCH = 1 << BITS
+#: Buckets of that table whose counts go in one row, and bytes of sets or postings that go in one Arrow batch.
+CHUNK, SENT_BYTES = 1 << 13, 2 << 20
 #: Postings that one task of the prefix join takes, about.
 POSTINGS = 300_000
 #: Members of a shared prefix shingle that meet in pairs at once; more are linked to their first member first.
@@ -76,8 +78,11 @@ def least_overlap(n: int, num: int, den: int) -> int:
 
 
 def profile(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Rows of kind 0: k, h (xxhash64 of the text), set (its name) and n (its size), one for each row; of kind 1: set (bucket) and n (rows that hold its shingles)."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("k", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("set", T.LongType()), T.StructField("n", T.LongType())])
+    """Rows of kind 0: k, h (xxhash64 of the text), set (its name) and n (its size), one for each row; of kind 1: set (number of a chunk of buckets) and counts (places in it, two bytes each, then the rows that hold their shingles, four each).
+
+    A task counts in one table, so packed counts spare Spark a row for each of its 2^20 buckets.
+    """
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("k", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("set", T.LongType()), T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SKETCH, np.int64)
@@ -88,31 +93,41 @@ def profile(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 sets = shingle_sets(b.column("t"), n)
                 if sets:
                     count += np.bincount((np.concatenate(sets) >> U(64 - BITS)).astype(np.int64), minlength=SKETCH)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), b.column("k"), b.column("h"), pa.array([mark(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=schema.names)
-        at = np.flatnonzero(count)
-        for at in np.array_split(at, len(at) // 100_000 + 1) if kind is not None and len(at) else []:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), kind), pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(count[at])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), b.column("k"), b.column("h"), pa.array([mark(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.binary())], names=schema.names)
+        while count.any():
+            now = np.minimum(count, 0xFFFFFFFF)
+            count -= now
+            for first in range(0, SKETCH, 16 * CHUNK):
+                rows = [(i // CHUNK, _packed(now[i : i + CHUNK])) for i in range(first, first + 16 * CHUNK, CHUNK) if now[i : i + CHUNK].any()]
+                if rows:
+                    at, packed = zip(*rows, strict=True)
+                    m = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.array(at, pa.int64()), pa.nulls(m, pa.int64()), pa.array(packed, pa.binary())], names=schema.names)
+
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).mapInArrow(trimmed(run), schema)
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, schema)
+
+def _packed(counts: np.ndarray) -> bytes:
+    """The counts of a chunk that are not 0: their places, then they."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes()
 
 
 def _counts(rows: DataFrame) -> np.ndarray:
-    """Rows of each bucket, from rows (set, n): summed by Spark and packed there, so that the driver gets 8 bytes a bucket."""
+    """Rows of each bucket, from rows (set, counts): summed by tasks and packed there, so that the driver gets 8 bytes a bucket."""
     size = 1 << 16
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = np.zeros(size, np.int64), None
         for b in batches:
-            if b.num_rows:
-                at = b.column("set").to_numpy()
-                part = int(at[0]) // size
-                table[at % size] = b.column("n").to_numpy()
+            for chunk, x in zip(b.column("set").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                part, first, m = chunk * CHUNK // size, chunk * CHUNK % size, len(x) // 6
+                table[first + np.frombuffer(x, np.uint16, m).astype(np.int64)] += np.frombuffer(x, np.uint32, m, 2 * m)
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["part", "n"])
 
-    summed = rows.groupBy("set").agg(F.sum("n").alias("n"))
     counts = np.zeros(SKETCH, np.int64)
-    for r in summed.repartitionById(SKETCH // size, F.floor(F.col("set") / size).cast("int")).mapInArrow(pack, "part int, n binary").collect():
+    for r in rows.repartitionById(SKETCH // size, F.floor(F.col("set") * CHUNK / size).cast("int")).mapInArrow(trimmed(pack), "part int, n binary").collect():
         counts[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["n"], np.int64)
     return counts
 
@@ -135,13 +150,19 @@ def postings(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, c
         held: list[tuple] = []
         size = 0
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             k, v, s, p, part = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.argsort(part, kind="stable")
             k, v, s, p, part = k[order], v[order], s[order], p[order], part[order]
             at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            rows = [(int(part[a]), k[a:b].tobytes(), v[a:b].tobytes(), s[a:b].tobytes(), p[a:b].tobytes()) for a, b in zip(at, [*at[1:], len(part)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows, sent = [], 0
+            for a, b in zip(at, [*at[1:], len(part)], strict=True):
+                rows.append((int(part[a]), k[a:b].tobytes(), v[a:b].tobytes(), s[a:b].tobytes(), p[a:b].tobytes()))
+                sent += 24 * int(b - a)
+                if sent > SENT_BYTES or b == len(part):
+                    yield _batch(rows, names, kinds)
+                    rows, sent = [], 0
 
         for batch in batches:
             for b in pieces(iter([batch]), "t"):
@@ -170,12 +191,12 @@ def postings(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, c
                 if cells:
                     yield pa.RecordBatch.from_arrays([pa.array([cells[0][0] % parts], pa.int32()), pa.nulls(1, pa.binary()), pa.array([np.array([c[0] for c in cells], np.int64).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([b"".join(c[1].tobytes() for c in cells)], pa.binary())], names=names)
                 if size > 2 * POSTINGS:
-                    yield out()
-                    held, size = [], 0
+                    yield from out()
+                    size = 0
         if held:
-            yield out()
+            yield from out()
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("t")).mapInArrow(trimmed(run), schema)
 
 
 def possible(n1: np.ndarray, n2: np.ndarray, p1: np.ndarray, p2: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -253,7 +274,7 @@ def met(packed: DataFrame, parts: int, num: int, den: int) -> DataFrame:
                 pairs = _pairs(*(np.concatenate(z) for z in zip(*found, strict=True)))
                 yield _met(0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64))
 
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(run, _MET)
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(trimmed(run), _MET)
 
 
 def _met(kind: int, *columns: np.ndarray, cells: list[bytes] | None = None) -> pa.RecordBatch:
@@ -278,7 +299,7 @@ def close(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     one, two = (cells.select(F.col("node").alias(c), F.col("cells").alias(d), F.col("n").alias(m)) for c, d, m in (("a", "x", "m"), ("b", "y", "n")))
-    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long"), "candidates")
+    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(trimmed(run), "a long, b long"), "candidates")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -313,22 +334,27 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, te
         seen: set[tuple[int, int]] = set()  # a text that is there again and again is sent once by a task
         for batch in batches:
             for b in pieces(iter([batch]), "t"):
-                node, to, out = [], [], []
+                rows, sent = [], 0
                 for v, others, s in zip(b.column("node").to_pylist(), b.column("to").to_pylist(), shingle_sets(b.column("t"), n), strict=True):
                     if mark(s) == v and (v, others[0]) not in seen:
                         if len(seen) >= 1 << 18:
                             seen.clear()
                         seen.add((v, others[0]))
-                        node += [v] * len(others)
-                        to += others
-                        out += [(s >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()] * len(others)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(to, pa.int64()), pa.array(out, pa.binary())], names=["a", "b", "s"])
+                        packed = (s >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                        for other in others:
+                            rows.append((v, other, packed))
+                            sent += len(packed) + 40
+                            if sent > SENT_BYTES:
+                                yield _batch(rows, ["a", "b", "s"], _SET)
+                                rows, sent = [], 0
+                if rows:
+                    yield _batch(rows, ["a", "b", "s"], _SET)
 
     # A node's partners are sent for in lists of a bounded length.
     sent = turned.groupBy(F.col("a").alias("node"), F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / 64)).alias("r")).agg(F.collect_list("b").alias("to")).drop("r").join(of, "node")
     own = turned.select(F.col("b").alias("node")).distinct().join(of, "node").withColumn("to", F.array("node"))
-    left = found(sent, "sent").mapInArrow(sets, "a long, b long, s binary").select("a", "b", F.col("s").alias("x"))
-    right = stored(found(own, "own").mapInArrow(sets, "a long, b long, s binary").select("b", F.col("s").alias("y")).dropDuplicates(["b"]), "heads")
+    left = found(sent, "sent").mapInArrow(trimmed(sets), "a long, b long, s binary").select("a", "b", F.col("s").alias("x"))
+    right = stored(found(own, "own").mapInArrow(trimmed(sets), "a long, b long, s binary").select("b", F.col("s").alias("y")).dropDuplicates(["b"]), "heads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -341,7 +367,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, te
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # Repeated rows of a text may give a pair once for each task, which components do not mind.
-    return stored(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "linked")
+    return stored(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long"), "linked")
 
 
 def apart(crowds: DataFrame, known: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -471,12 +497,13 @@ def link_counts(members: DataFrame, docs: DataFrame, key: str, text: str, n: int
         if done:
             yield _batch(done, ["set", "links"], (pa.int64(), pa.int64()))
 
-    dealt = found.mapInArrow(sent, "root long, i int, j int, set long, c long, mine int, s binary")
+    dealt = found.mapInArrow(trimmed(sent), "root long, i int, j int, set long, c long, mine int, s binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
     tiles = dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return tiles.mapInArrow(counted, "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
+    return tiles.mapInArrow(trimmed(counted), "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
 
 
+_SET = (pa.int64(), pa.int64(), pa.binary())
 _SENT = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
 
@@ -494,8 +521,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     component of null keys alone has none. Repeated rows give repeated results; an empty table gives none.
     """
     rows = stored(profile(docs, key, text, n), "profile")
-    named = rows.filter("kind = 0").drop("kind")
-    counts = _counts(rows.filter("kind = 1").select("set", "n"))
+    named = rows.filter("kind = 0").drop("kind", "counts")
+    counts = _counts(rows.filter("kind = 1").select("set", "counts"))
     classes = stored(named.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct(F.col("k").isNull().alias("no"), "k", "h")).alias("x"), F.max("n").alias("n"), F.count("*").alias("c")).select("set", "x.k", "x.h", "n", "c"), "classes")
     total, n_rows, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     parts = max(8, -(-total * (den - num) // (den * POSTINGS)))

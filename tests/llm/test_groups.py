@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import jaccard
@@ -96,6 +97,20 @@ def test_one_of_each_stays(spark):
     assert {r.doc_id for r in got.collect()} >= groups
 
 
+def test_shingle_counts_are_packed(spark):
+    """A task sends its table of counts in few rows, each of a bounded size; the sums are those of all rows."""
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(3000)) for _ in range(400)) for _ in range(60)] + ["a b c d e"] * 300 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = jaccard.profile(docs, "doc_id", "text", 3).filter("kind = 1").cache()
+    want = [0] * jaccard.SKETCH
+    for t in texts:
+        for x in jaccard.shingle_sets(pa.array([t], pa.string()), 3)[0].tolist():
+            want[x >> 64 - jaccard.BITS] += 1
+    assert jaccard._counts(rows).tolist() == want
+    assert rows.count() <= 3 * jaccard.SKETCH // jaccard.CHUNK and max(len(r.counts) for r in rows.collect()) <= 6 * jaccard.CHUNK
+
+
 def test_no_rows_no_groups(spark):
     assert jaccard.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
